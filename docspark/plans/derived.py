@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import chunking
+from docspark.functions import questions as Q
+from docspark.operators import bm25, chunking, dense, hints, matching
 from docspark.session import materialize, spread
 
 PAGE_CHARS = 3000
@@ -92,3 +93,68 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table of the corpus, written once per application."""
     return materialize(spark, "chunks", sf_dir, lambda: chunking.chunk_documents(corpus(spark, sf_dir)))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, question: the benchmark texts, each with a legal wording that depends on its id."""
+    b = table(spark, sf_dir, "benchmark")
+    i = F.col("item_id")
+    n, m, p = ((i % k + 1).cast("string") for k in (30, 3, 5))
+    tail = (
+        F.when(i % 6 == 0, F.concat(F.lit(" 제"), n, F.lit("조의"), m, F.lit(" 제2항 사용용도는?")))
+        .when(i % 6 == 1, F.concat(F.lit(" 별표 "), n, F.lit(" 연구활동비를 사용 가능")))
+        .when(i % 6 == 2, F.lit(" 종전 규정과 달라진 비목 연구활동비는 비교"))
+        .when(i % 6 == 3, F.concat(F.lit(" "), p, F.lit("p 혹은 제"), n, F.lit(" 조 제3호")))
+        .when(i % 6 == 4, F.concat(F.lit(" 별지 3 제7절 시행령에서는 제 "), n, F.lit("조")))
+        .otherwise(F.lit(" 비목"))
+    )
+    return b.select(i.alias("question_id"), F.concat("text", tail).alias("question"))
+
+
+def model_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hints a language model would supply per question, as a table."""
+    b = table(spark, sf_dir, "benchmark")
+    i = F.col("item_id")
+    none = F.array().cast("array<string>")
+    kind = (
+        F.when(i % 7 == 0, "article_lookup").when(i % 7 == 1, "comparison").when(i % 7 == 2, "chat")
+        .when(i % 7 == 3, "unknown").otherwise("open")
+    )
+    return b.select(
+        i.alias("question_id"), kind.alias("kind"), F.when(i % 14 == 2, " 안녕하세요 ").otherwise("").alias("chat_response"),
+        F.when(i % 5 == 0, F.array((i % 4).cast("int"), F.lit(12000))).otherwise(F.array().cast("array<int>"))
+        .alias("target_pages"),
+        F.when(i % 3 == 0, F.array(F.concat(F.lit(" 제"), (i % 30 + 1).cast("string"), F.lit("조 ")), F.lit("")))
+        .otherwise(none).alias("target_articles"),
+        none.alias("target_paragraphs"), none.alias("target_items"), none.alias("target_appendices"),
+        none.alias("target_forms"), none.alias("target_sections"),
+        F.when(i % 4 == 1, F.array(F.lit("혁신법에서는"), F.lit("비목"))).otherwise(none).alias("topic_keywords"),
+        (i % 9 == 4).alias("comparison_intent"),
+        F.when(i % 4 == 0, " 시행규칙").otherwise("").alias("doc_name_hint"),
+        F.when(i % 8 == 3, F.concat(F.lit("다시 "), F.col("text"))).otherwise("").alias("rewritten_query"),
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(spark, "vectors", sf_dir, lambda: dense.embed_chunks(spread(chunks(spark, sf_dir))))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(spark, "words", sf_dir, lambda: matching.word_index(spread(chunks(spark, sf_dir))))
+
+
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(spark, "bm25-index", sf_dir, lambda: bm25.chunk_terms(spread(chunks(spark, sf_dir))))
+
+
+def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(spark, "bm25-terms", sf_dir, lambda: bm25.term_stats(bm25_index(spark, sf_dir)))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with their merged hints and vector, written once: several candidate lists read them."""
+    return materialize(spark, "asked", sf_dir, lambda: dense.embed_questions(hinted(spark, sf_dir)))
+
+
+def hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hints.merge_hints(Q.parse_questions(questions(spark, sf_dir)), model_hints(spark, sf_dir))

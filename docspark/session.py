@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import shutil
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,21 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (what ``--py-files`` does), once per application."""
+    if spark.conf.get("spark.docspark.shipped", None):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="docspark-")
+    archive = shutil.make_archive(f"{folder}/docspark", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("spark.docspark.shipped", archive)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read, and go on from the written table."""
+    path = scratch_path(df.sparkSession, f"step-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
