@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from docspark.plans import retrieval, structure  # noqa: F401
+from docspark.plans import reports, retrieval, structure, syncing  # noqa: F401
 from docspark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

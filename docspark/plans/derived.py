@@ -6,12 +6,14 @@ into its own lines), so the structural operators run over the whole text of the
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import questions as Q
 from docspark.operators import bm25, chunking, dense, hints, matching
-from docspark.session import materialize, spread
+from docspark.session import materialize, scratch_path, spread
 
 PAGE_CHARS = 3000
 
@@ -158,3 +160,8 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hints.merge_hints(Q.parse_questions(questions(spark, sf_dir)), model_hints(spark, sf_dir))
+
+
+def scratch(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """A folder of this application for a written result of one table set."""
+    return scratch_path(spark, f"{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}")
