@@ -57,7 +57,11 @@ def pages_of(text):
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, doc_name, doc_type, source_file, pages."""
+    """doc_id, doc_name, doc_type, source_file, pages; written once per application."""
+    return spread(materialize(spark, "corpus", sf_dir, lambda: _corpus(spark, sf_dir)))
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     kind = (
         F.when(F.col("lang") == "en", "시행령").when(F.col("lang") == "fr", "시행규칙")

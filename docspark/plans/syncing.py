@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from docspark import profiles as P
 from docspark.functions.names import nfc
+from docspark.functions.pages import raw_dump
 from docspark.operators import sync as Y
 from docspark.plans import derived as D
 from docspark.plans.oracle.base import WS, q, with_chunks, with_corpus
 from docspark.plans.registry import query
 from docspark.plans.reports import TOXIC_FILES, toxic_files
-from docspark.plans.structure import raw_documents
+from docspark.plans.structure import RAW_PAGES, raw_documents
 from docspark.sources import files, sinks, tables
 
 CHUNK_SQL = "SELECT chunk_id, doc_name, doc_type, article_no, article_title, page, source_file, md5(text) AS text_md5 FROM "
@@ -102,11 +103,13 @@ def index_sample_excluding(spark, sf):
     return tables.index_sample_excluding(D.chunks(spark, sf), "혁신법 시행령 src1_1.pdf", 5).select("chunk_id", "article_no", "source_file")
 
 
-@query("write_raw_dump", with_corpus(" SELECT doc_id, length(text) AS n_chars FROM corpus"))
+@query("write_raw_dump", with_corpus(
+    " SELECT md5(string_agg('=== PAGE ' || page_num || ' ===' || chr(10) || text || chr(10) || chr(10), '' ORDER BY page_num)) AS dump_md5 FROM raw_pages GROUP BY doc_id", RAW_PAGES))
 def write_raw_dump(spark, sf):
-    rows = raw_documents(spark, sf).select("doc_id", F.explode("pages").alias("p"))
-    bare = F.length("p.text") - 2 * F.length(F.col("p.page_num").cast("string")) - 7
-    return rows.groupBy("doc_id").agg(F.sum(bare).cast("bigint").alias("n_chars"))
+    path = D.scratch(spark, "raw-dump", sf)
+    sinks.write_text(raw_documents(spark, sf).select(raw_dump(F.col("pages")).alias("dump")), "dump", path)
+    rows = spark.read.option("lineSep", "\u0000").text(path)
+    return rows.select(F.md5(F.col("value").cast("binary")).alias("dump_md5"))
 
 
 # --- upsert and delete -------------------------------------------------------------------------------------
