@@ -159,10 +159,14 @@ def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with their merged hints and vector, written once: several candidate lists read them."""
-    return materialize(spark, "asked", sf_dir, lambda: dense.embed_questions(hinted(spark, sf_dir)))
+    return materialize(spark, "asked", sf_dir, lambda: dense.embed_questions(merged_hints(spark, sf_dir)))
 
 
 def hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).drop("embedding")
+
+
+def merged_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hints.merge_hints(Q.parse_questions(questions(spark, sf_dir)), model_hints(spark, sf_dir))
 
 

@@ -77,7 +77,7 @@ def parse_query(spark, sf):
 @query("merge_hints", S.stmt(
     f"SELECT question_id, {_joined_sql(LISTS)}, {_PAGES_SQL}, comparison_intent, kind, doc_name_hint, chat_response, rewritten_query FROM hinted", *S.ASK))
 def merge_hints(spark, sf):
-    return D.hinted(spark, sf).select(
+    return D.merged_hints(spark, sf).select(
         "question_id", *_joined(LISTS), _pages(), "comparison_intent", "kind", "doc_name_hint", "chat_response", "rewritten_query"
     )
 
