@@ -131,32 +131,41 @@ def _best_of_block(k: int):
                     out_i += list(ids[at])
                     out_s += list(scores[j][at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_q, pa.int64()), pa.array(out_i, pa.string()), pa.array(out_s, pa.float64())],
-                    names=["question_id", "chunk_id", "score"],
+                    [pa.array(out_q, pa.string()), pa.array(out_i, pa.string()), pa.array(out_s, pa.float64())],
+                    names=["asked", "chunk_id", "score"],
                 )
 
     return run
 
 
+def _flat(structs: Column) -> Column:
+    return F.flatten(F.transform(structs, lambda s: F.transform(s["embedding"], lambda x: x.cast("double"))))
+
+
+def _question_blocks(questions: DataFrame, keys: list[str]) -> DataFrame:
+    """Questions (keys, block, asked, embedding) as rows of id lists and flat vectors."""
+    packed = questions.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("asked", "embedding"))).alias("q"))
+    return packed.select(*keys, "block", F.col("q.asked").alias("asked"), _flat(F.col("q")).alias("wanted"))
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """asked, chunk_id, score: the k best of every pair of blocks (ids, flat, asked, wanted)."""
+    return met.select("ids", "flat", "asked", "wanted").mapInArrow(_best_of_block(k), "asked string, chunk_id string, score double")
+
+
 def top_k(questions: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest items (chunk_id string, embedding) of every question (question_id, embedding).
+    """Exact k nearest items (chunk_id string, embedding) of every question (question_id bigint, embedding).
 
     A blocked matrix product: items are packed where they lie, questions in blocks of bounded size, and each pair of
     blocks yields k rows per question. Question blocks are broadcast while their measured size is under
     BROADCAST_BYTES; beyond that the blocks meet in a salted equi-join.
     """
     spark = questions.sparkSession
-    asked = questions.select("question_id", "embedding")
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    size = questions.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     n, dim = size["n"], size["dim"] or 0
     n_blocks = max(1, -(-n // QUESTION_BLOCK))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("question_id", "embedding"))).alias("q")
-    )
-    blocks = blocks.select(
-        "block", F.col("q.question_id").alias("asked"),
-        F.flatten(F.transform("q", lambda s: F.transform(s["embedding"], lambda x: x.cast("double")))).alias("wanted"),
-    )
+    block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)).cast("int")
+    blocks = _question_blocks(questions.select(block.alias("block"), F.col("question_id").cast("string").alias("asked"), "embedding"), [])
     packed = items.select("chunk_id", "embedding").mapInArrow(_pack, "ids array<string>, flat array<double>")
     packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     if n * dim * 8 <= BROADCAST_BYTES:
@@ -166,8 +175,27 @@ def top_k(questions: DataFrame, items: DataFrame, k: int) -> DataFrame:
         spread_blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         packed = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
         met = packed.join(spread_blocks, ["block", "salt"])
-    best = met.select("ids", "flat", "asked", "wanted").mapInArrow(
-        _best_of_block(k), "question_id bigint, chunk_id string, score double"
-    )
+    best = _best(met, k).withColumn("question_id", F.col("asked").cast("bigint")).drop("asked")
     order = W.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def top_k_within(asked: DataFrame, members: DataFrame, items: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Exact k nearest members of a question's own set: asked, chunk_id, score, rank.
+
+    ``asked``: keys, asked (a distinct string), embedding; ``members``: keys, chunk_id; ``items``: chunk_id, embedding. A set is
+    packed in blocks by the hash of its members, so a set that holds a third of all items is many blocks, and the pairs
+    of a set are scored inside the blocks without becoming rows.
+    """
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"))
+    split = F.ceil(F.col("n") / ITEM_BLOCK)
+    placed = members.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("chunk_id"), split))
+    packed = placed.join(items.select("chunk_id", "embedding"), "chunk_id").groupBy(*keys, "part").agg(
+        F.collect_list(F.struct("chunk_id", "embedding")).alias("i")
+    )
+    packed = packed.select(*keys, F.col("i.chunk_id").alias("ids"), _flat(F.col("i")).alias("flat"))
+    counts = asked.groupBy(*keys).agg(F.count("*").alias("n"))
+    blocked = asked.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("asked"), F.ceil(F.col("n") / QUESTION_BLOCK)))
+    best = _best(packed.join(_question_blocks(blocked.drop("n"), keys), keys), k)
+    order = W.partitionBy("asked").orderBy(F.desc("score"), "chunk_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -1,8 +1,8 @@
-"""Substring matching as equi-joins.
+"""Substring matching without theta joins.
 
-A needle is found in a text by cutting the text into every substring that is as long as some needle and joining on it. The cut
-is made on distinct short strings only (labels, or the words of the vocabulary), never on whole texts, and no row meets a
-row it does not match.
+A short list of needles is looked for in every distinct string as a bounded array. Beyond that bound the strings are cut into
+every substring that is as long as some needle, and joined on it. Both work on distinct short strings only (labels, or the
+words of the vocabulary), never on whole texts, and no row meets a row it does not match.
 """
 
 from __future__ import annotations
@@ -12,12 +12,26 @@ from pyspark.sql import functions as F
 
 from docspark.functions.tokens import words
 
+FEW_NEEDLES = 512
+FEW_NEEDLE_CHARS = 64 * 1024
+
 
 def contains_join(haystacks: DataFrame, needles: DataFrame) -> DataFrame:
     """(hay, needle) for every distinct ``hay`` string that contains a distinct ``needle`` string."""
     needles = needles.select("needle").filter(F.length("needle") > 0).distinct()
+    hays = haystacks.select("hay").distinct()
+    size = needles.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("needle")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= FEW_NEEDLES and size["chars"] <= FEW_NEEDLE_CHARS:
+        listed = needles.agg(F.array_sort(F.collect_list("needle"))).scalar()
+        found = F.filter("needles", lambda n: F.contains("hay", n))
+        return hays.withColumn("needles", listed).select("hay", F.explode(found).alias("needle"))
+    return contains_by_cutting(hays, needles)
+
+
+def contains_by_cutting(hays: DataFrame, needles: DataFrame) -> DataFrame:
+    """The same for any number of needles, as an equi-join on substrings."""
     lengths = needles.agg(F.coalesce(F.collect_set(F.length("needle")), F.array().cast("array<int>"))).scalar()
-    hays = haystacks.select("hay").distinct().withColumn("lengths", lengths)
+    hays = hays.withColumn("lengths", lengths)
     cuts = F.flatten(
         F.transform(
             F.filter("lengths", lambda n: n <= F.length("hay")),

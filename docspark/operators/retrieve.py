@@ -91,22 +91,17 @@ def filter_matches(filters: DataFrame, chunks: DataFrame, index: DataFrame) -> D
     return label_hits.unionByName(text_hits)
 
 
-def scored_matches(filters: DataFrame, matches: DataFrame, questions: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every filtered search with its matching chunks and their cosine."""
-    asked = filters.join(
-        questions.select("question_id", dense.unit(F.col("embedding")).alias("question_vec")), "question_id"
-    )
-    with_vec = matches.join(vectors.select("chunk_id", dense.unit(F.col("embedding")).alias("item_vec")), "chunk_id")
-    return with_vec.join(asked, ["field", "phrase"]).withColumn(
-        "cosine", F.round(dense.dot(F.col("question_vec"), F.col("item_vec")), 6)
-    ).drop("item_vec", "question_vec")
+def nearest_matches(filters: DataFrame, matches: DataFrame, questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Every filtered search with its 15 nearest matching chunks: the filter columns, chunk_id, cosine."""
+    keyed = filters.withColumn("asked", F.concat_ws(":", "question_id", "step", "seq"))
+    wanted = keyed.select("field", "phrase", "asked", "question_id").join(questions.select("question_id", "embedding"), "question_id")
+    best = dense.top_k_within(wanted.drop("question_id"), matches, vectors, ["field", "phrase"], P.FILTERED_CANDIDATES)
+    return best.join(keyed, "asked").withColumnRenamed("score", "cosine").drop("asked", "rank")
 
 
-def filtered_lists(filters: DataFrame, matches: DataFrame, scored: DataFrame) -> DataFrame:
+def filtered_lists(filters: DataFrame, matches: DataFrame, nearest: DataFrame) -> DataFrame:
     """Vector-ordered lists (15 each) and scan lists of the filtered searches as candidate rows."""
-    best = ranked(
-        scored, ["question_id", "step", "seq"], P.FILTERED_CANDIDATES, F.desc("cosine"), "chunk_id"
-    ).select(
+    best = nearest.select(
         "question_id", "step", "seq", F.lit(0).alias("sub"), "chunk_id",
         F.round(F.col("cosine") + F.col("boost"), 6).alias("score"),
     )
@@ -148,7 +143,7 @@ def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, inde
     )
     filters = settle(text_filters(questions))
     matches = settle(filter_matches(filters, chunks, index))
-    listed = filtered_lists(filters, matches, scored_matches(filters, matches, questions, vectors))
+    listed = filtered_lists(filters, matches, nearest_matches(filters, matches, questions, vectors))
     comparing = questions.filter("comparison_intent").select("question_id")
     fanned = category_top1(nearest.join(comparing, "question_id", "left_semi"), chunks).select(
         "question_id", F.lit(FANOUT).alias("step"), F.lit(0).alias("seq"), F.lit(0).alias("sub"), "chunk_id",
@@ -236,8 +231,7 @@ def structural_topn(
     filters = settle(text_filters(questions).filter("field = 'label'"))
     found = matching.label_matches(chunks, filters.select(F.col("phrase").alias("needle")).distinct())
     matches = settle(found.select(F.lit("label").alias("field"), F.col("needle").alias("phrase"), "chunk_id"))
-    scored = scored_matches(filters, matches, questions, vectors)
-    best = ranked(scored, ["question_id", "seq"], P.FILTERED_CANDIDATES, F.desc("cosine"), "chunk_id")
+    best = nearest_matches(filters, matches, questions, vectors)
     first = ranked(matches, ["field", "phrase"], P.SCAN_CANDIDATES, "chunk_id").drop("rank")
     scans = first.join(filters.select("field", "phrase", "question_id"), ["field", "phrase"])
     rows = best.select("question_id", "chunk_id", "cosine").unionByName(

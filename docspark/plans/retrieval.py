@@ -12,6 +12,7 @@ from docspark.operators import retrieve as R
 from docspark.plans import derived as D
 from docspark.plans.oracle import search as S
 from docspark.plans.registry import query
+from docspark.session import settle
 
 LISTS = ("article_nos", "paragraphs", "items", "appendices", "forms", "sections", "keywords", "doc_type_hints")
 
@@ -202,9 +203,9 @@ def _filtered(spark, sf, step):
     asked = D.asked(spark, sf)
     filters = R.text_filters(asked).filter(F.col("step") == step)
     chunks = D.chunks(spark, sf)
-    matches = R.filter_matches(filters, chunks, D.words(spark, sf))
-    scored = R.scored_matches(filters, matches, asked, D.vectors(spark, sf))
-    return R.filtered_lists(filters, matches, scored).select(
+    matches = settle(R.filter_matches(filters, chunks, D.words(spark, sf)))
+    nearest = R.nearest_matches(filters, matches, asked, D.vectors(spark, sf))
+    return R.filtered_lists(filters, matches, nearest).select(
         "question_id", F.col("seq").cast("bigint").alias("seq"), F.col("sub").cast("bigint").alias("sub"), "chunk_id", "score"
     )
 
