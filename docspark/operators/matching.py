@@ -40,7 +40,8 @@ def contains_by_cutting(hays: DataFrame, needles: DataFrame) -> DataFrame:
             ),
         )
     )
-    return hays.select("hay", F.explode(F.array_distinct(cuts)).alias("needle")).join(needles, "needle")
+    cut = hays.select("hay", F.explode(F.array_distinct(cuts)).alias("needle"))
+    return cut.join(needles, "needle").select("hay", "needle")
 
 
 def label_matches(chunks: DataFrame, labels: DataFrame) -> DataFrame:
