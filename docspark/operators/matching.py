@@ -1,8 +1,8 @@
 """Substring matching without theta joins.
 
-A short list of needles is looked for in every distinct string as a bounded array. Beyond that bound the strings are cut into
-every substring that is as long as some needle, and joined on it. Both work on distinct short strings only (labels, or the
-words of the vocabulary), never on whole texts, and no row meets a row it does not match.
+A short list of needles, of measured size, is looked for in every string as an array. Beyond that bound distinct short strings
+(labels, or the words of the vocabulary) are cut into every substring that is as long as some needle, and joined on it. Either
+way no row meets a row it does not match.
 """
 
 from __future__ import annotations
@@ -16,16 +16,23 @@ FEW_NEEDLES = 512
 FEW_NEEDLE_CHARS = 64 * 1024
 
 
+def few(needles: DataFrame) -> Column | None:
+    """The distinct needles as one array, if their measured number and size are small; else None."""
+    size = needles.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("needle")), F.lit(0)).alias("chars")).first()
+    if size["n"] > FEW_NEEDLES or size["chars"] > FEW_NEEDLE_CHARS:
+        return None
+    return needles.agg(F.array_sort(F.collect_list("needle"))).scalar()
+
+
 def contains_join(haystacks: DataFrame, needles: DataFrame) -> DataFrame:
     """(hay, needle) for every distinct ``hay`` string that contains a distinct ``needle`` string."""
     needles = needles.select("needle").filter(F.length("needle") > 0).distinct()
     hays = haystacks.select("hay").distinct()
-    size = needles.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("needle")), F.lit(0)).alias("chars")).first()
-    if size["n"] <= FEW_NEEDLES and size["chars"] <= FEW_NEEDLE_CHARS:
-        listed = needles.agg(F.array_sort(F.collect_list("needle"))).scalar()
-        found = F.filter("needles", lambda n: F.contains("hay", n))
-        return hays.withColumn("needles", listed).select("hay", F.explode(found).alias("needle"))
-    return contains_by_cutting(hays, needles)
+    listed = few(needles)
+    if listed is None:
+        return contains_by_cutting(hays, needles)
+    found = F.filter("needles", lambda n: F.contains("hay", n))
+    return hays.withColumn("needles", listed).select("hay", F.explode(found).alias("needle"))
 
 
 def contains_by_cutting(hays: DataFrame, needles: DataFrame) -> DataFrame:
@@ -58,10 +65,18 @@ def word_index(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
 
 
-def text_matches(index: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle, chunk_id) for needles that are one word each, by way of the vocabulary."""
-    found = contains_join(index.select(F.col("word").alias("hay")), needles)
-    return index.join(found, index["word"] == found["hay"]).select("needle", "chunk_id").distinct()
+def text_matches(chunks: DataFrame, index: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle, chunk_id) for needles that are one word each.
+
+    A short list is looked for in the texts in one pass; a long one goes by way of the words of the vocabulary.
+    """
+    needles = needles.select("needle").filter(F.length("needle") > 0).distinct()
+    listed = few(needles)
+    if listed is None:
+        found = contains_by_cutting(index.select(F.col("word").alias("hay")).distinct(), needles)
+        return index.join(found, index["word"] == found["hay"]).select("needle", "chunk_id").distinct()
+    found = F.filter("needles", lambda n: F.contains("text", n))
+    return chunks.select("chunk_id", "text").withColumn("needles", listed).select(F.explode(found).alias("needle"), "chunk_id")
 
 
 def phrase_tokens(phrase: Column) -> Column:
@@ -80,7 +95,7 @@ def phrase_matches(chunks: DataFrame, index: DataFrame, phrases: DataFrame) -> D
         F.array_distinct(F.flatten(F.transform("tokens", words))).alias("pieces"),
     )
     wanted = pieces.select("phrase", F.size("pieces").alias("n"), F.explode("pieces").alias("needle"))
-    hits = text_matches(index, wanted.select("needle"))
+    hits = text_matches(chunks, index, wanted.select("needle"))
     full = (
         wanted.join(hits, "needle").groupBy("phrase", "chunk_id").agg(F.count("*").alias("got"), F.max("n").alias("n"))
         .filter("got = n").select("phrase", "chunk_id")

@@ -78,7 +78,9 @@ def test_contains_join_ways_agree(spark):
     assert {tuple(r) for r in matching.contains_by_cutting(h.distinct(), n.distinct()).collect()} == want
 
 
-def test_phrases_need_every_token(spark):
+@pytest.mark.parametrize("bound", [512, 0])
+def test_phrases_need_every_token(spark, monkeypatch, bound):
+    monkeypatch.setattr(matching, "FEW_NEEDLES", bound)
     chunks = spark.createDataFrame([("1", "연구활동비를 사용한다"), ("2", "연구활동비"), ("3", "사용 A/B 시험"), ("4", "A B 시험")], "chunk_id string, text string")
     phrases = spark.createDataFrame([("연구활동비 사용",), ("A/B",), ("시험",)], "phrase string")
     got = {tuple(r) for r in matching.phrase_matches(chunks, matching.word_index(chunks), phrases).collect()}
