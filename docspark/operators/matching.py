@@ -79,6 +79,17 @@ def text_matches(chunks: DataFrame, index: DataFrame, needles: DataFrame) -> Dat
     return chunks.select("chunk_id", "text").withColumn("needles", listed).select(F.explode(found).alias("needle"), "chunk_id")
 
 
+def scan_texts(chunks: DataFrame, needles: DataFrame, n: int) -> DataFrame:
+    """(needle, chunk_id) for ``n`` distinct needles of any kind: the texts are passed over once per 512 needles."""
+    buckets = max(1, -(-n // max(FEW_NEEDLES, 1)))
+    lists = needles.groupBy(F.pmod(F.xxhash64("needle"), F.lit(buckets)).cast("int").alias("bucket")).agg(
+        F.array_sort(F.collect_list("needle")).alias("needles")
+    )
+    rows = chunks.select("chunk_id", "text", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    found = F.filter("needles", lambda n: F.contains("text", n))
+    return rows.join(lists, "bucket").select(F.explode(found).alias("needle"), "chunk_id")
+
+
 def phrase_tokens(phrase: Column) -> Column:
     return F.array_distinct(F.filter(F.split(phrase, r"\s+"), lambda t: t != ""))
 
@@ -101,9 +112,22 @@ def phrase_matches(chunks: DataFrame, index: DataFrame, phrases: DataFrame) -> D
         .filter("got = n").select("phrase", "chunk_id")
     )
     mixed = pieces.filter(~F.forall("tokens", lambda t: F.regexp_like(t, F.lit("^[가-힣A-Za-z0-9]+$"))))
-    plain = full.join(mixed.select("phrase"), "phrase", "left_anti")
+    plain = full.join(mixed.select("phrase"), "phrase", "left_anti").unionByName(
+        wordless_matches(chunks, pieces.filter((F.size("pieces") == 0) & (F.size("tokens") > 0)))
+    )
     checked = (
         full.join(mixed.select("phrase", "tokens"), "phrase").join(chunks.select("chunk_id", "text"), "chunk_id")
         .filter(F.forall("tokens", lambda t: F.contains("text", t))).select("phrase", "chunk_id")
     )
     return plain.unionByName(checked)
+
+
+def wordless_matches(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, chunk_id) for phrases (phrase, tokens) without a single word in them, such as marks and signs."""
+    wanted = phrases.select("phrase", F.size("tokens").alias("n"), F.explode("tokens").alias("needle"))
+    needles = wanted.select("needle").distinct()
+    count = needles.count()
+    if count == 0:
+        return phrases.select("phrase", F.lit("").alias("chunk_id")).limit(0)
+    hits = wanted.join(scan_texts(chunks, needles, count), "needle")
+    return hits.groupBy("phrase", "chunk_id").agg(F.count("*").alias("got"), F.max("n").alias("n")).filter("got = n").select("phrase", "chunk_id")

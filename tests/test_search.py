@@ -81,10 +81,10 @@ def test_contains_join_ways_agree(spark):
 @pytest.mark.parametrize("bound", [512, 0])
 def test_phrases_need_every_token(spark, monkeypatch, bound):
     monkeypatch.setattr(matching, "FEW_NEEDLES", bound)
-    chunks = spark.createDataFrame([("1", "연구활동비를 사용한다"), ("2", "연구활동비"), ("3", "사용 A/B 시험"), ("4", "A B 시험")], "chunk_id string, text string")
-    phrases = spark.createDataFrame([("연구활동비 사용",), ("A/B",), ("시험",)], "phrase string")
+    chunks = spark.createDataFrame([("1", "연구활동비를 사용한다"), ("2", "연구활동비"), ("3", "사용 A/B 시험"), ("4", "A B 시험 ※ ★")], "chunk_id string, text string")
+    phrases = spark.createDataFrame([("연구활동비 사용",), ("A/B",), ("시험",), ("※ ★",), ("※ ☆",), ("시험 ★",)], "phrase string")
     got = {tuple(r) for r in matching.phrase_matches(chunks, matching.word_index(chunks), phrases).collect()}
-    assert got == {("연구활동비 사용", "1"), ("A/B", "3"), ("시험", "3"), ("시험", "4")}
+    assert got == {("연구활동비 사용", "1"), ("A/B", "3"), ("시험", "3"), ("시험", "4"), ("※ ★", "4"), ("시험 ★", "4")}
 
 
 def test_label_does_not_match_a_branch_article(spark):
