@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from docspark import profiles as P
 from docspark.functions import tokens as T
+from docspark.session import settle
+
+BROADCAST_BYTES = 32 * 1024 * 1024
+ROW_BYTES = 64
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -53,18 +57,23 @@ def term_stats(index: DataFrame) -> DataFrame:
 def search(index: DataFrame, terms: DataFrame, questions: DataFrame, top_n: int = P.RRF_CANDIDATES) -> DataFrame:
     """question_id, chunk_id, score, rank; a repeated question token counts as often as it is asked.
 
-    The index is placed by chunk_id once, so scores add up inside a partition and only ``top_n`` rows per question
-    and partition move on. The asked terms are small; the planner broadcasts them by their size, or else sorts.
+    The asked terms are broadcast while their measured size is under BROADCAST_BYTES. The index is then placed by chunk_id
+    once, scores add up inside a partition, and only ``top_n`` rows per question and partition move on. Beyond that size
+    the terms meet the postings in a shuffled join, whose skewed partitions are split at run time.
     """
-    asked = (
+    asked = settle(
         questions.select("question_id", F.explode(T.index_tokens(F.col("question"))).alias("term"))
         .groupBy("question_id", "term").agg(F.count("*").alias("times"))
         .join(terms.select("term", "idf"), "term")
         .select("question_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
     )
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    small = size["n"] * ROW_BYTES + size["chars"] * 4 <= BROADCAST_BYTES
     mean_len = index.agg(F.avg("doc_len")).scalar()
     norm = F.lit(P.BM25_K1) * (1 - P.BM25_B + P.BM25_B * F.col("doc_len") / mean_len)
-    placed = index.withColumn("norm", norm).repartition("chunk_id")
+    placed = index.withColumn("norm", norm)
+    if small:
+        placed, asked = placed.repartition("chunk_id"), F.broadcast(asked)
     posted = placed.select("chunk_id", "norm", F.explode("terms").alias("t")).select(
         "chunk_id", F.col("t.term").alias("term"),
         (F.col("t.tf") * (P.BM25_K1 + 1) / (F.col("t.tf") + F.col("norm"))).alias("gain"),

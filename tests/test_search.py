@@ -100,7 +100,9 @@ def test_tokens(spark):
     assert got == ["연구활동비", "사용용도", "budget", "매뉴얼", "3D프린터"]
 
 
-def test_bm25_formula(spark):
+@pytest.mark.parametrize("limit", [bm25.BROADCAST_BYTES, 0])
+def test_bm25_formula(spark, monkeypatch, limit):
+    monkeypatch.setattr(bm25, "BROADCAST_BYTES", limit)
     texts = ["alpha beta beta", "alpha gamma", "alpha delta delta delta", "beta"]
     chunks = spark.createDataFrame([(str(i), t, "", "") for i, t in enumerate(texts)], "chunk_id string, text string, article_no string, article_title string")
     index = bm25.chunk_terms(chunks)
