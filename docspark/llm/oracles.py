@@ -39,3 +39,40 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
   row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(key), 1, 8))::BIGINT, doc_id, text_crc32, size) - 1 AS slot, grown_shard
 FROM sized JOIN home USING (key)
 """
+
+SUBSTRINGS = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT r, doc_id, s, md5(array_to_string(ws[s : s + 49], ' ')) AS h FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w)
+), first AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)
+), cut AS (
+  SELECT DISTINCT r, unnest(range(s, s + 50)) AS p FROM win JOIN first USING (h) WHERE doc_id > lo
+), gone AS (SELECT r, count(*) AS n, list(p) AS ps FROM cut GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ')
+    ELSE array_to_string(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]), ' ') END) AS kept_sha256
+FROM w LEFT JOIN gone USING (r)
+"""
+
+JACCARD = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), sh AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) END) AS s
+  FROM d
+), e AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS t FROM sh
+), pairs AS (
+  SELECT a.r AS x, b.r AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM e a JOIN e b ON a.t = b.t AND a.r <> b.r AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90 GROUP BY ALL
+), links AS (SELECT x, y FROM pairs WHERE 100 * c >= 90 * (nx + ny - c)
+), reach AS (
+  SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), least AS (SELECT x, min(sh.doc_id) AS m FROM reach JOIN sh ON sh.r = reach.y GROUP BY x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(m, doc_id), doc_id) AS component_id FROM sh LEFT JOIN least ON x = r
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import oracles, sharding, topk
+from docspark.llm import ngram_join, oracles, sharding, substring, topk
 from docspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(oracles.JACCARD)
+def op1_ngram_jaccard_join(spark, sf_dir):
+    """Documents linked by 90 % of equal 3-word shingles, as components."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 @query(oracles.TOP_K)
 def op7_bit_sliced_top_k(spark, sf_dir):
     """Five best inner products of every 50th vector against all others."""
@@ -46,3 +52,9 @@ def op10_jump_shards(spark, sf_dir):
     from pyspark.sql import functions as F
 
     return sharding.assign(table(spark, sf_dir, "documents"), 16).withColumn("law", F.lit("key"))
+
+
+@query(oracles.SUBSTRINGS)
+def op6_substring_dedup(spark, sf_dir):
+    """All documents without the 50-word windows that an earlier document holds."""
+    return substring.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
