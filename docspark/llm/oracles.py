@@ -76,3 +76,41 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(m, doc_id), doc_id) AS component_id FROM sh LEFT JOIN least ON x = r
 """
+
+MIXTURE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8))::BIGINT AS spot
+  FROM documents
+), src AS (
+  SELECT row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s, source, sum(size)::BIGINT AS source_size, sum(size)::BIGINT * 3 AS cap FROM d GROUP BY source
+), w AS (SELECT *, [5, 2, 1][s % 3 + 1] AS weight FROM src
+), fill AS (
+  SELECT 1 AS i, (SELECT sum(source_size) FROM w) / CAST((SELECT sum(weight) FROM w) AS DOUBLE) AS level
+  UNION ALL
+  SELECT i + 1, ((SELECT sum(source_size) FROM w) - coalesce((SELECT sum(cap) FROM w WHERE cap <= level * weight), 0))
+    / CAST((SELECT sum(weight) FROM w WHERE cap > level * weight) AS DOUBLE) FROM fill WHERE i < (SELECT count(*) FROM w)
+), top AS (SELECT level FROM fill ORDER BY i DESC LIMIT 1
+), t AS (
+  SELECT s, source, source_size, round(CASE WHEN cap <= level * weight THEN cap ELSE level * weight END, 6)::DOUBLE AS target,
+    source_size // 1024 AS whole, (source_size + 1023) // 1024 AS each FROM w, top
+), q AS (
+  SELECT *, CAST(round(target) AS BIGINT) // source_size AS passes, CAST(round(target) AS BIGINT) % source_size AS rest FROM t WHERE source_size > 0
+), g AS (
+  SELECT *, g // each AS pass, g % each AS j FROM (SELECT *, unnest(range(0, passes * each + (rest + 1023) // 1024)) AS g FROM q)
+), slots AS (
+  SELECT s, CASE WHEN j < whole THEN ((CASE WHEN whole % 1000003 <> 0 THEN 1000003 ELSE 1000033 END) * j
+      + ('0x' || substr(md5('block:' || s || ':' || pass), 1, 8))::BIGINT) % whole ELSE j END AS block,
+    least(1024, CASE WHEN pass < passes THEN source_size ELSE rest END - j * 1024) AS take
+  FROM g
+), placed AS (
+  SELECT doc_id, size, s, source_size, target, d.spot, row_number() OVER () AS r,
+    coalesce(sum(size) OVER (PARTITION BY s ORDER BY spot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), pieces AS (
+  SELECT r, s, start, size, unnest(range(start // 1024, (start + size - 1) // 1024 + 1)) AS block FROM placed WHERE size > 0
+), taken AS (
+  SELECT r, sum(greatest(0, least(block * 1024 + take, start + size) - greatest(block * 1024, start))) AS n FROM pieces JOIN slots USING (s, block) GROUP BY r
+)
+SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) AS BIGINT) AS taken FROM placed LEFT JOIN taken USING (r)
+"""

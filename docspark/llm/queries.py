@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import ngram_join, oracles, sharding, substring, topk
+from docspark.llm import mixing, ngram_join, oracles, sharding, substring, topk
 from docspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op10_jump_shards(spark, sf_dir):
 def op6_substring_dedup(spark, sf_dir):
     """All documents without the 50-word windows that an earlier document holds."""
     return substring.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(oracles.MIXTURE)
+def op5_mixture(spark, sf_dir):
+    """Words that the mixture of all sources takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().withColumnRenamed("key", "doc_id")
