@@ -114,3 +114,23 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) AS BIGINT) AS taken FROM placed LEFT JOIN taken USING (r)
 """
+
+LINES = r"""
+WITH l AS (
+  SELECT r, doc_id, pos, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws, line
+  FROM (SELECT r, doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM (
+    SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+), u AS (
+  SELECT row_number() OVER (ORDER BY min(struct_pack(d := doc_id, p := pos))) AS k, ws, len(ws) AS n FROM l WHERE len(ws) > 0 GROUP BY ws
+), v AS (
+  SELECT k, n, n AS longer, p, hash(list_concat(ws[1 : p], ws[p + 2 : n])) AS h FROM (SELECT *, unnest(range(0, n)) AS p FROM u WHERE n >= 8)
+  UNION ALL SELECT k, n, n + 1, p, hash(ws) FROM (SELECT *, unnest(range(0, n + 1)) AS p FROM u WHERE n >= 8)
+), near AS (SELECT DISTINCT v.k FROM v JOIN (SELECT longer, p, h, min(k) AS hub FROM v GROUP BY ALL) USING (longer, p, h) WHERE hub < v.k
+), firsts AS (SELECT ws, k, k IN (SELECT k FROM near) AS near FROM u
+), marked AS (
+  SELECT l.*, len(l.ws) > 0 AND (coalesce(near, false) OR row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) > 1) AS gone FROM l LEFT JOIN firsts USING (ws)
+), texts AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY r
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, texts.text FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN texts USING (r)
+"""

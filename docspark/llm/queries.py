@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import mixing, ngram_join, oracles, sharding, substring, topk
+from docspark.llm import line_dedup, mixing, ngram_join, oracles, sharding, substring, topk
 from docspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op6_substring_dedup(spark, sf_dir):
 def op5_mixture(spark, sf_dir):
     """Words that the mixture of all sources takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).taken().withColumnRenamed("key", "doc_id")
+
+
+@query(oracles.LINES)
+def op3_line_dedup(spark, sf_dir):
+    """All documents without the lines that an earlier line repeats, exactly or within one word edit."""
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
