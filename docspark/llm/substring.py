@@ -1,12 +1,15 @@
 """Substring dedup: words covered by a window whose word sequence also starts in an earlier document are removed.
 
 1. Rabin-Karp hashes of all runs of ANCHOR words are rolled over every text, and each window of ``length`` words is named by the
-   smallest of the runs inside it. Equal windows have equal names, and neighbouring windows mostly share theirs, so the distinct names
-   of a document are few. They are counted in Spark; only a window with a name that occurs in two documents can repeat.
-2. The windows with such a name are hashed with two Rabin-Karp hashes (128 bits) and counted in Spark by the smallest document id.
-3. Windows that start in a later document are joined back; a document's repeated windows merge into maximal intervals, which go.
-
-The set of names travels to the scan as a bitmap of bounded size, whose false positives the count removes. Texts with no such window
+   smallest of the runs inside it. Equal windows have equal names. Neighbouring windows mostly share theirs: a stretch of windows with one name is
+   one row, with a Rabin-Karp hash of all its words.
+2. The names are counted in Spark. Only a window with a name that occurs in two documents can repeat. Where all stretches of a name are equal, their
+   windows repeat as they stand, and the stretches of later documents are repeated windows.
+3. Where stretches of a name differ, each window of them gets two Rabin-Karp hashes, which are counted in Spark by the smallest document id, and
+   those that start in a later document are joined back.
+4. A document's repeated windows merge into maximal intervals, which go.
+
+The names of steps 2 and 3 travel to the scans as bitmaps of bounded size, whose false positives the counts remove. Texts with no such window
 are finished in the scan and do not move.
 
 Cases: a null or blank text has no words; with fewer than ``length`` words nothing is removed; windows repeated inside one document
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm import bitmap
+from docspark.llm.scratch import settle_wide
 from docspark.llm.words import Words, inverse, mix, pieces, powers, words
 from docspark.session import settle
 
@@ -70,36 +74,63 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _stretches(found: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First position (in the piece), number of windows, text and name of every run of neighbouring windows with one name."""
+    at, text, names = _windows(found, length, anchor)
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return at[first], np.diff(np.append(first, len(at))), text[first], names[first]
+
+
+def _span_hashes(hashes: np.ndarray, at: np.ndarray, n: np.ndarray, base: int) -> np.ndarray:
+    """Rabin-Karp hash modulo 2^64 of n words from each position on."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(base, len(hashes)), out=sums[1:])
+    return mix((sums[at + n] - sums[at]) * powers(inverse(base), len(hashes) + 1)[at] + n.astype(np.uint64))
+
+
 def _names(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            _, text, names = _windows(words(batch.column("text")), length, anchor)
-            new = np.ones(len(names), bool)
-            new[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(names[new].view(np.int64)), pa.array(_ids(batch)[text[new]])], names=["name", "id"])
+            found = words(batch.column("text"))
+            at, n, text, names = _stretches(found, length, anchor)
+            spans = _span_hashes(found.hashes, at, n + length - 1, _BASES[1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names.view(np.int64)), pa.array(spans.view(np.int64)), pa.array(_ids(batch)[text]), pa.array(_marks(found)[text]),
+                    pa.array((at - found.at[:-1][text]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                ],
+                names=["name", "span", "id", "mark", "start", "n"],
+            )
 
     return run
 
 
-def _fingerprint(found: Words) -> np.ndarray:
-    """Hash of each text's word sequence, to tell rows with equal ids apart."""
+def _marks(found: Words) -> np.ndarray:
+    """32-bit hash of each text's word sequence, to tell rows with equal ids apart."""
     sums = np.zeros(len(found.hashes) + 1, np.uint64)
     n = np.diff(found.at)
     place = np.arange(len(found.hashes)) - np.repeat(found.at[:-1], n)
     np.cumsum(mix(found.hashes + mix(place.astype(np.uint64) + np.uint64(1))), out=sums[1:])
-    return mix(sums[found.at[1:]] - sums[found.at[:-1]] + n.astype(np.uint64)).view(np.int64)
+    return (mix(sums[found.at[1:]] - sums[found.at[:-1]] + n.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _repeats(length: int, anchor: int, shared):
+def _repeats(length: int, anchor: int, mixed):
+    """The windows of stretches that may differ under one name."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = words(batch.column("text"))
             at, text, names = _windows(found, length, anchor)
-            hit = bitmap.holds(shared.value, names)
+            hit = bitmap.holds(mixed.value, names)
             at, text = at[hit], text[hit]
             h1, h2 = (rolling(found.hashes, length, b)[at] if len(at) else np.zeros(0, np.uint64) for b in _BASES)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(_ids(batch)[text]), pa.array(_fingerprint(found)[text]), pa.array((at - found.at[:-1][text]).astype(np.int32))],
+                [
+                    pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(_ids(batch)[text]),
+                    pa.array(_marks(found)[text]), pa.array((at - found.at[:-1][text]).astype(np.int32)),
+                ],
                 names=["h1", "h2", "id", "mark", "start"],
             )
 
@@ -111,11 +142,13 @@ def _kept(body: bytes) -> str:
 
 
 def _base(length: int, anchor: int, shared):
+    """Size and, where no window can repeat, the finished row of every text; the other texts travel on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             column = batch.column("text")
             found = words(column)
-            _, text, names = _windows(found, length, anchor)
+            _, _, text, names = _stretches(found, length, anchor)
             open_ = np.zeros(len(found), bool)
             open_[text[bitmap.holds(shared.value, names)]] = True
             raw = found.data.tobytes()
@@ -123,18 +156,18 @@ def _base(length: int, anchor: int, shared):
             shas = [None if o else _kept(b" ".join(raw[a:b].split())) for o, a, b in zip(open_.tolist(), lo, hi)]
             texts = [raw[a:b].decode() if o else None for o, a, b in zip(open_.tolist(), lo, hi)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(_fingerprint(found)), pa.array(np.diff(found.at)), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
+                [batch.column("id"), pa.array(_marks(found)), pa.array(np.diff(found.at)), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
                 names=["id", "mark", "n_words", "sha", "open_text"],
             )
 
     return run
 
 
-def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of n words lie in a window from one of the starts on."""
+def covered(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """Which of n words lie in a window from one of the starts, or of the ``counts`` positions from it, on."""
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, starts, 1)
-    np.add.at(change, starts + length, -1)
+    np.add.at(change, starts + counts + length - 1, -1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -142,11 +175,11 @@ def _finish(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas, texts = [], [], []
-            for n, sha, text, starts in zip(*(batch.column(c).to_pylist() for c in ("n_words", "sha", "open_text", "starts"))):
+            for n, sha, text, starts, counts in zip(*(batch.column(c).to_pylist() for c in ("n_words", "sha", "open_text", "starts", "counts"))):
                 if text is None:
                     gone, kept = 0, None
                 else:
-                    out = covered(n, np.array(starts or [], np.int64), length)
+                    out = covered(n, np.array(starts or [], np.int64), np.array(counts or [], np.int64), length)
                     gone, all_words = int(out.sum()), text.encode().split()
                     body = b" ".join(w for w, x in zip(all_words, out.tolist()) if not x)
                     sha, kept = _kept(body), body.decode()
@@ -169,14 +202,16 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text:
     """
     anchor = min(ANCHOR, length)
     rows = docs.select(F.coalesce(F.col(id).cast("bigint"), F.lit(_LEAST)).alias("id"), F.col(text).alias("text"))
-    names = rows.mapInArrow(_names(length, anchor), "name bigint, id bigint")
-    shared = settle(names.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("name"))
-    held = bitmap.build(shared, "name")
-    windows = settle(rows.mapInArrow(_repeats(length, anchor, held), "h1 bigint, h2 bigint, id bigint, mark bigint, start int"))
+    stretches = settle_wide(rows.mapInArrow(_names(length, anchor), "name bigint, span bigint, id bigint, mark int, start int, n int"))
+    sides = (F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("span").alias("one"), F.max("span").alias("other"))
+    shared = settle(stretches.groupBy("name").agg(*sides).filter("lo < hi").select("name", "lo", (F.col("one") != F.col("other")).alias("mixed")))
+    later = stretches.join(shared.filter("not mixed"), "name").filter("id > lo").select("id", "mark", "start", "n")
+    windows = rows.mapInArrow(_repeats(length, anchor, bitmap.build(shared.filter("mixed"), "name")), "h1 bigint, h2 int, id bigint, mark int, start int")
+    windows = settle_wide(windows)
     first = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
-    later = windows.join(first, ["h1", "h2"]).filter("id > lo")
-    starts = later.groupBy("id", "mark").agg(F.collect_set("start").alias("starts"))
-    base = rows.mapInArrow(_base(length, anchor, held), "id bigint, mark bigint, n_words bigint, sha string, open_text string")
-    joined = base.join(starts, ["id", "mark"], "left").select("id", "n_words", "sha", "open_text", "starts")
+    single = windows.join(first, ["h1", "h2"]).filter("id > lo").select("id", "mark", "start", F.lit(1).alias("n"))
+    gone = later.union(single).distinct().groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    base = rows.mapInArrow(_base(length, anchor, bitmap.build(shared, "name")), "id bigint, mark int, n_words bigint, sha string, open_text string")
+    joined = base.join(gone, ["id", "mark"], "left").select("id", "n_words", "sha", "open_text", F.col("gone.start").alias("starts"), F.col("gone.n").alias("counts"))
     out = joined.mapInArrow(_finish(length), "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, changed_text string")
     return out.withColumn("id", F.when(F.col("id") != _LEAST, F.col("id"))).withColumnRenamed("id", id)
