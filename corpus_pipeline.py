@@ -1,8 +1,65 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing of sources, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; ``run`` writes each result as Parquet and reads it again.
+SQL cannot express the language model's inference, so tests hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docspark.llm import language, line_dedup, mixing, ngram_join, packing
+from docspark.session import settle, ship_package
+
+LEAST_SHARE = 0.5
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise ValueError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of which no language explains LEAST_SHARE of the words, go; a missing lang is filled in."""
+    ship_package(spark)
+    found = language.predict(docs, language.fit(docs), docs.columns)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines are cut out; documents of which no word is left go."""
+    left = line_dedup.deduplicate(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(line_dedup.WORD))
+    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 80 % of equal 5-word shingles, the one with the smallest id stays."""
+    ship_package(spark)
+    kept = ngram_join.join(docs, 5, 80, 100).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture of all sources: a row for every pass over a source that takes words of a document."""
+    mixed = mixing.mixed_texts(docs, mixing.mix(docs))
+    return mixed.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches of the mixture in optimal length buckets."""
+    return packing.pack(docs, keep=("lang", "source"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", join_near_copies),
+    ("source_mixing", mix_sources),
+    ("length_packing", pack_batches),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -124,6 +124,25 @@ def _slots(sources: DataFrame, block: int) -> DataFrame:
     return rows.select("s", "pass", moved.alias("block"), F.least(F.lit(block).cast("bigint"), left).alias("take"), shard.alias("shard"))
 
 
+def mixed_texts(docs: DataFrame, plan: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The mixture as rows of ``docs``: one row for every pass that takes words of a document.
+
+    A pass that takes a document as a whole has its text as it is, else the words taken, joined by a space. The columns of ``docs`` stay, ``key`` repeats.
+    Rows that repeat with id and text are told apart by their place only and share one of their rows' other columns.
+    """
+    piece = F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__pieces")
+    taken = plan.spans().groupBy("key", "mark", "s", "start", "pass").agg(piece, F.sum(F.col("last") - F.col("first")).alias("__n"))
+    sizes = plan.documents.select("s", "start", F.col("size").alias("__size")).filter("__size > 0")
+    taken = taken.join(sizes, ["s", "start"]).select(F.col("key").alias("__key"), F.col("mark").alias("__mark"), "__pieces", "__n", "__size")
+    once = docs.withColumn("__mark", F.xxhash64(F.col(text))).dropDuplicates([key, "__mark"])
+    met = once.join(taken, once["__mark"].eqNullSafe(taken["__mark"]) & once[key].eqNullSafe(taken["__key"])).drop("__mark", "__key")
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    cut = F.flatten(F.transform("__pieces", lambda p: F.slice("__words", (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int"))))
+    some = F.when(F.col("__n") < F.col("__size"), F.array_join(cut, " ")).otherwise(F.col(text))
+    partial = met.withColumn("__words", F.when(F.col("__n") < F.col("__size"), words))
+    return partial.withColumn(text, some).select(*docs.columns)
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> Mix:
     """Plan of the mixture of all documents."""
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))

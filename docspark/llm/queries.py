@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docspark.llm import line_dedup, mixing, ngram_join, oracles, sharding, substring, topk
+from docspark.llm import fingerprint, language, line_dedup, mixing, ngram_join, oracles, packing, quality, sharding, substring, topk
 from docspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,7 @@ def op7_bit_sliced_top_k(spark, sf_dir):
 @query(oracles.SHARDS)
 def op10_jump_shards(spark, sf_dir):
     """All documents in shards 0 to 15 under the law ``key``."""
-    from pyspark.sql import functions as F
+
 
     return sharding.assign(table(spark, sf_dir, "documents"), 16).withColumn("law", F.lit("key"))
 
@@ -70,3 +71,28 @@ def op5_mixture(spark, sf_dir):
 def op3_line_dedup(spark, sf_dir):
     """All documents without the lines that an earlier line repeats, exactly or within one word edit."""
     return line_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query()
+def op2_weighted_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return fingerprint.edited(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_language_mixture(spark, sf_dir):
+    """The language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    return language.predict(docs, language.fit(docs.filter("not held_out")), ["doc_id", "held_out"])
+
+
+@query()
+def op8_fourier_quality(spark, sf_dir):
+    """Calibrated quality of every document, learned from the labels that are not held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_length_buckets(spark, sf_dir):
+    """All documents in batches of 16 optimal length buckets."""
+    return packing.pack(table(spark, sf_dir, "documents"))
