@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark import profiles as P
 from docspark.functions import tokens as T
+from docspark.operators.blocks import Best
 from docspark.session import settle
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_BYTES = 64
+ITEM_BLOCK = 2048
+QUESTION_BLOCK = 512
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -54,33 +62,100 @@ def term_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def _pack_asked(asked: DataFrame, blocks: int) -> DataFrame:
+    """Questions in blocks: parallel lists of question, term and weight."""
+    block = F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int")
+    entries = F.collect_list(F.struct(F.col("question_id").cast("string").alias("asked"), "term", "weight"))
+    packed = asked.groupBy(block.alias("block")).agg(entries.alias("e"))
+    return packed.select("block", F.col("e.asked").alias("asked"), F.col("e.term").alias("term"), F.col("e.weight").alias("weight"))
+
+
+def _pack_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring chunks of a partition as one row of parallel lists: ids, number of terms, terms and gains."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ITEM_BLOCK):
+            part = batch.slice(at, ITEM_BLOCK)
+            terms, gains = part.column("terms"), part.column("gains")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], kind) for x, kind in (
+                    (part.column("chunk_id").to_pylist(), pa.list_(pa.string())), (pc.list_value_length(terms).to_pylist(), pa.list_(pa.int32())),
+                    (terms.flatten().to_pylist(), pa.list_(pa.string())), (gains.flatten().to_numpy(zero_copy_only=False), pa.list_(pa.float64())),
+                )],
+                names=["ids", "sizes", "terms", "gains"],
+            )
+
+
+def _scored(k: int):
+    """Scores of blocks of chunks against blocks of questions, by sums over the terms both hold; k rows per question and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids = np.array(batch.column("ids")[row].as_py(), dtype=object)
+                sizes = batch.column("sizes")[row].values.to_numpy(zero_copy_only=False)
+                gains = batch.column("gains")[row].values.to_numpy(zero_copy_only=False)
+                asked_terms, asked = batch.column("term")[row].values, batch.column("asked")[row].values.to_pylist()
+                weights = batch.column("weight")[row].values.to_numpy(zero_copy_only=False)
+                known = asked_terms.unique()
+                at = pc.index_in(batch.column("terms")[row].values, known).fill_null(-1).to_numpy(zero_copy_only=False)
+                chunk, hit = np.repeat(np.arange(len(ids)), sizes), at >= 0
+                order = np.argsort(at[hit], kind="stable")
+                chunk, gain, term = chunk[hit][order], gains[hit][order], at[hit][order]
+                start = np.searchsorted(term, np.arange(len(known) + 1))
+                asked_at = pc.index_in(asked_terms, known).to_numpy(zero_copy_only=False)
+                by_question: dict[str, list[int]] = {}
+                for i, question in enumerate(asked):
+                    by_question.setdefault(question, []).append(i)
+                for question, entries in by_question.items():
+                    score = np.zeros(len(ids))
+                    for i in entries:
+                        a, b = start[asked_at[i]], start[asked_at[i] + 1]
+                        score[chunk[a:b]] += weights[i] * gain[a:b]
+                    score = np.round(score, 6)
+                    found = np.flatnonzero(score > 0)
+                    if len(found):
+                        best.add(question, ids[found], score[found])
+                if best.full:
+                    yield best.hand_out()
+        yield best.hand_out()
+
+    return run
+
+
 def search(index: DataFrame, terms: DataFrame, questions: DataFrame, top_n: int = P.RRF_CANDIDATES) -> DataFrame:
     """question_id, chunk_id, score, rank; a repeated question token counts as often as it is asked.
 
-    The asked terms are broadcast while their measured size is under BROADCAST_BYTES. The index is then placed by chunk_id
-    once, scores add up inside a partition, and only ``top_n`` rows per question and partition move on. Beyond that size
-    the terms meet the postings in a shuffled join, whose skewed partitions are split at run time.
+    A blocked top-k: chunks are packed where they lie, each with all its terms, so the index is not shuffled. Questions come in
+    blocks of about QUESTION_BLOCK; a task scores its chunks against a block and hands on ``top_n`` rows per question, so no
+    (question, chunk) pair becomes a row. Question blocks are broadcast while the asked terms' measured size is under
+    BROADCAST_BYTES, beyond that the blocks meet in a salted equi-join.
     """
+    spark = index.sparkSession
     asked = settle(
         questions.select("question_id", F.explode(T.index_tokens(F.col("question"))).alias("term"))
         .groupBy("question_id", "term").agg(F.count("*").alias("times"))
         .join(terms.select("term", "idf"), "term")
         .select("question_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
     )
-    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
-    small = size["n"] * ROW_BYTES + size["chars"] * 4 <= BROADCAST_BYTES
+    size = asked.agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("q"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["q"] // QUESTION_BLOCK))
+    packed_asked = _pack_asked(asked, blocks)
     mean_len = index.agg(F.avg("doc_len")).scalar()
     norm = F.lit(P.BM25_K1) * (1 - P.BM25_B + P.BM25_B * F.col("doc_len") / mean_len)
-    placed = index.withColumn("norm", norm)
-    if small:
-        placed, asked = placed.repartition("chunk_id"), F.broadcast(asked)
-    posted = placed.select("chunk_id", "norm", F.explode("terms").alias("t")).select(
-        "chunk_id", F.col("t.term").alias("term"),
-        (F.col("t.tf") * (P.BM25_K1 + 1) / (F.col("t.tf") + F.col("norm"))).alias("gain"),
-    )
-    scores = (
-        posted.join(asked, "term").groupBy("question_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("score")).filter("score > 0")
-    )
+    gain = F.transform("terms", lambda t: t["tf"] * (P.BM25_K1 + 1) / (t["tf"] + F.col("norm")))
+    rows = index.withColumn("norm", norm).select("chunk_id", F.col("terms.term").alias("terms"), gain.alias("gains"))
+    packed = rows.mapInArrow(_pack_index, "ids array<string>, sizes array<int>, terms array<string>, gains array<double>")
+    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if size["n"] * ROW_BYTES + size["chars"] * 4 <= BROADCAST_BYTES:
+        met = packed.join(F.broadcast(packed_asked), "block")
+    else:
+        salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        salted = packed_asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).join(salted, ["block", "salt"])
+    columns = ["ids", "sizes", "terms", "gains", "asked", "term", "weight"]
+    best = met.select(*columns).mapInArrow(_scored(top_n), "asked string, chunk_id string, score double")
+    kind = questions.schema["question_id"].dataType
+    scores = best.select(F.col("asked").cast(kind).alias("question_id"), "chunk_id", "score")
     order = W.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)

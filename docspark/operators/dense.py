@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions import tokens as T
+from docspark.operators.blocks import Best
 
 DIM = 64
 ITEM_BLOCK = 2048
@@ -97,6 +99,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, ITEM_BLOCK):
             part = batch.slice(at, ITEM_BLOCK)
             ids = part.column(0).to_pylist()
+            lengths = pc.unique(pc.list_value_length(part.column(1)))
+            if len(lengths) > 1:
+                raise ValueError(f"vectors of lengths {sorted(lengths.to_pylist(), key=str)}: find them with validate()")
             flat = part.column(1).flatten().cast(pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids], pa.list_(pa.string())), pa.array([flat.to_numpy()], pa.list_(pa.float64()))],
@@ -104,36 +109,34 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _rows_normalised(flat: np.ndarray, n: int) -> np.ndarray:
-    m = flat.reshape(n, -1)
+def _rows_normalised(flat: np.ndarray, n: int, dim: int) -> np.ndarray:
+    """(n, dim) matrix of unit rows; a block with vectors of another length is an error, as scores would mix rows."""
+    if len(flat) != n * dim:
+        raise ValueError(f"{n} vectors hold {len(flat)} numbers, questions have {dim} each: find them with validate()")
+    m = flat.reshape(n, dim)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 def _best_of_block(k: int):
-    """Scores of a block of items against a block of questions; the k best items of every question go on."""
+    """Scores of blocks of items against blocks of questions; a task hands on the k best items of every question it saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k)
         for batch in batches:
             for row in range(batch.num_rows):
                 ids = np.array(batch.column(0)[row].as_py(), dtype=object)
                 asked = batch.column(2)[row].as_py()
-                items = _rows_normalised(batch.column(1)[row].values.to_numpy(zero_copy_only=False), len(ids))
-                wanted = _rows_normalised(batch.column(3)[row].values.to_numpy(zero_copy_only=False), len(asked))
+                flat = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                dim = len(flat) // len(asked)
+                wanted = _rows_normalised(flat, len(asked), dim)
+                items = _rows_normalised(batch.column(1)[row].values.to_numpy(zero_copy_only=False), len(ids), dim)
                 scores = np.round(wanted @ items.T, 6)
-                keep = min(k, len(ids))
-                floor = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                out_q, out_i, out_s = [], [], []
                 for j, question in enumerate(asked):
-                    at = np.flatnonzero(scores[j] >= floor[j])
-                    at = at[np.lexsort((ids[at].astype(str), -scores[j][at]))][:keep]
-                    out_q += [question] * len(at)
-                    out_i += list(ids[at])
-                    out_s += list(scores[j][at])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_q, pa.string()), pa.array(out_i, pa.string()), pa.array(out_s, pa.float64())],
-                    names=["asked", "chunk_id", "score"],
-                )
+                    best.add(question, ids, scores[j])
+                if best.full:
+                    yield best.hand_out()
+        yield best.hand_out()
 
     return run
 
@@ -156,9 +159,9 @@ def _best(met: DataFrame, k: int) -> DataFrame:
 def top_k(questions: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """Exact k nearest items (chunk_id string, embedding) of every question (question_id bigint, embedding).
 
-    A blocked matrix product: items are packed where they lie, questions in blocks of bounded size, and each pair of
-    blocks yields k rows per question. Question blocks are broadcast while their measured size is under
-    BROADCAST_BYTES; beyond that the blocks meet in a salted equi-join.
+    A blocked matrix product: items are packed where they lie, questions in blocks of bounded size, and a task yields the k best
+    rows of a question over all its blocks. Question blocks are broadcast while their measured size is under BROADCAST_BYTES;
+    beyond that the blocks meet in a salted equi-join. Vectors of another length than the questions' stop the search with an error.
     """
     spark = questions.sparkSession
     size = questions.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
@@ -184,18 +187,20 @@ def top_k_within(asked: DataFrame, members: DataFrame, items: DataFrame, keys: l
     """Exact k nearest members of a question's own set: asked, chunk_id, score, rank.
 
     ``asked``: keys, asked (a distinct string), embedding; ``members``: keys, chunk_id; ``items``: chunk_id, embedding. A set is
-    packed in blocks by the hash of its members, so a set that holds a third of all items is many blocks, and the pairs
-    of a set are scored inside the blocks without becoming rows.
+    packed in blocks by the hash of its members. The blocks of a set are spread over partitions by their number, and the (few)
+    question blocks of the set are sent to each of those numbers, so a set that holds a third of all items is many blocks in
+    many partitions. Pairs are scored inside the blocks without becoming rows.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"))
-    split = F.ceil(F.col("n") / ITEM_BLOCK)
-    placed = members.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("chunk_id"), split))
-    packed = placed.join(items.select("chunk_id", "embedding"), "chunk_id").groupBy(*keys, "part").agg(
+    sizes = members.groupBy(*keys).agg(F.ceil(F.count("*") / ITEM_BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("chunk_id"), F.col("parts"))
+    packed = members.join(sizes, keys).withColumn("part", part).join(items.select("chunk_id", "embedding"), "chunk_id").groupBy(*keys, "part").agg(
         F.collect_list(F.struct("chunk_id", "embedding")).alias("i")
     )
-    packed = packed.select(*keys, F.col("i.chunk_id").alias("ids"), _flat(F.col("i")).alias("flat"))
+    packed = packed.select(*keys, "part", F.col("i.chunk_id").alias("ids"), _flat(F.col("i")).alias("flat"))
     counts = asked.groupBy(*keys).agg(F.count("*").alias("n"))
     blocked = asked.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("asked"), F.ceil(F.col("n") / QUESTION_BLOCK)))
-    best = _best(packed.join(_question_blocks(blocked.drop("n"), keys), keys), k)
+    blocks = _question_blocks(blocked.drop("n"), keys).join(sizes, keys)
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    best = _best(packed.join(blocks, [*keys, "part"]), k)
     order = W.partitionBy("asked").orderBy(F.desc("score"), "chunk_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
