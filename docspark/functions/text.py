@@ -93,8 +93,4 @@ def parent_label(label: Column) -> Column:
 
 def part_number(label: Column) -> Column:
     """Part number in the label, 0 for a label without parts."""
-    return F.coalesce(
-        F.try_to_number(F.nullif(F.regexp_extract(label, r"\(part (\d+)/\d+\)", 1), F.lit("")), F.lit("999999"))
-        .cast("bigint"),
-        F.lit(0).cast("bigint"),
-    )
+    return F.coalesce(F.regexp_extract(label, r"\(part (\d+)/\d+\)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))

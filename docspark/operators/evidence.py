@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from docspark import profiles as P
 from docspark.functions.text import is_blank, strip
 
+TURN_STRETCH = 1000
 COLUMNS = ("doc_name", "doc_type", "article_no", "article_title", "page", "text")
 
 
-def law_names(question: Column, doc_names: Column, limit: int = P.LAWS_PER_QUESTION) -> Column:
-    """Laws to look up: named in the question, then the documents found, else the question itself; at most ``limit``."""
+def law_names(question: Column, doc_names: Column, limit: int | None = None) -> Column:
+    """Laws to look up: named in the question, then the documents found, else the question itself; the first ``limit`` or all."""
     found = F.transform(F.regexp_extract_all(question, F.lit(P.LAW_NAME), F.lit(0)), lambda m: F.regexp_replace(m, r"\s+", ""))
     named = F.filter(found, lambda m: ~m.isin(*P.LAW_WORDS_ALONE))
     bases = F.filter(F.transform(doc_names, lambda d: strip(F.get(F.split(d, r"[\(\[<]"), F.lit(0)))), lambda d: d != "")
     merged = F.array_distinct(F.concat(named, bases))
-    return F.when(F.size(merged) > 0, F.slice(merged, 1, limit)).otherwise(F.array(question))
+    return F.when(F.size(merged) > 0, merged if limit is None else F.slice(merged, 1, limit)).otherwise(F.array(question))
 
 
 def _evidence(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -139,26 +140,39 @@ def context_stats(contexts: DataFrame) -> DataFrame:
     )
 
 
+def turn_positions(turns: DataFrame) -> DataFrame:
+    """The turns with ``at``, their place in the conversation (from 0, by turn number, which may have gaps).
+
+    Places are counted inside stretches of TURN_STRETCH turn numbers and summed up over the stretches, so a long conversation is
+    not sorted as a whole.
+    """
+    rows = turns.withColumn("stretch", F.floor(F.col("turn") / TURN_STRETCH))
+    before = F.sum("n").over(W.partitionBy("conv_id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
+    counts = rows.groupBy("conv_id", "stretch").agg(F.count("*").alias("n")).select("conv_id", "stretch", F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.row_number().over(W.partitionBy("conv_id", "stretch").orderBy("turn", "role", "text"))
+    return rows.withColumn("nth", nth).join(counts, ["conv_id", "stretch"]).withColumn("at", F.col("before") + F.col("nth") - 1).drop("stretch", "before", "nth")
+
+
 def history(turns: DataFrame, shape: tuple[int, int, int, str]) -> DataFrame:
     """conv_id, turn, history: the turns before each turn, by position, then blank and foreign ones left out.
 
-    ``turn`` counts 0, 1, 2, ... within a conversation. Every kept turn is handed, already cut, to the positions that
-    look back on it, so no conversation is gathered or sorted as a whole.
+    Every kept turn is handed, already cut, to the positions that look back on it, so no conversation is gathered.
     """
     back, user_chars, assistant_chars, mark = shape
+    turns = turn_positions(turns)
     role, content = F.trim("role"), strip(F.col("text"))
-    kept = turns.select("conv_id", "turn", role.alias("role"), content.alias("content")).filter(
+    kept = turns.select("conv_id", F.col("at").alias("from"), role.alias("role"), content.alias("content")).filter(
         F.col("role").isin("user", "assistant") & (F.col("content") != "")
     )
     limit = F.when(F.col("role") == "user", user_chars).otherwise(assistant_chars)
     cut = F.when(F.length("content") > limit, F.concat(F.left("content", limit), F.lit(mark))).otherwise(F.col("content"))
     head = F.when(F.col("role") == "user", P.USER_TURN).otherwise(P.ASSISTANT_TURN)
     handed = kept.select(
-        "conv_id", F.explode(F.sequence(F.col("turn") + 1, F.col("turn") + back)).alias("at"), "turn", F.concat(head, cut).alias("block")
+        "conv_id", F.explode(F.sequence(F.col("from") + 1, F.col("from") + back)).alias("at"), "from", F.concat(head, cut).alias("block")
     )
-    gathered = handed.groupBy("conv_id", F.col("at").alias("turn")).agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("t"), "block"))).alias("b"))
+    gathered = handed.groupBy("conv_id", "at").agg(F.array_sort(F.collect_list(F.struct("from", "block"))).alias("b"))
     text = F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")
-    return turns.select("conv_id", "turn").join(gathered, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce(text, F.lit("")).alias("history"))
+    return turns.select("conv_id", "turn", "at").join(gathered, ["conv_id", "at"], "left").select("conv_id", "turn", F.coalesce(text, F.lit("")).alias("history"))
 
 
 def answer_routes(questions: DataFrame, cache: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def law_queries(spark, sf):
     hits = smart_hits(spark, sf).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("slot", "doc_name"))).alias("h"))
     rows = D.questions(spark, sf).join(hits, "question_id", "left")
     names = F.coalesce(F.transform("h", lambda h: h["doc_name"]), F.array().cast("array<string>"))
-    return rows.select("question_id", "question", V.law_names(F.col("question"), names).alias("names"))
+    return rows.select("question_id", "question", V.law_names(F.col("question"), names, P.LAWS_PER_QUESTION).alias("names"))
 
 
 def fetched_laws(spark, sf):
@@ -133,7 +133,7 @@ def web_results(spark, sf):
 @query("law_names", S.stmt(f"SELECT question_id, array_to_string({S.distinct('list_concat(' + _NAMED + ', [])')}, '|') AS named FROM questions", S.QUESTIONS))
 def law_names(spark, sf):
     none = F.array().cast("array<string>")
-    named = V.law_names(F.col("question"), none, 1000)
+    named = V.law_names(F.col("question"), none)
     asked = F.size(named) == 1
     return D.questions(spark, sf).select("question_id", F.when(asked & (F.get(named, F.lit(0)) == F.col("question")), "").otherwise(F.array_join(named, "|")).alias("named"))
 
@@ -228,9 +228,10 @@ def _history_sql(shape):
     back, user, assistant, mark = shape
     text = strip("text")
     cut = f"CASE WHEN length({text}) > lim THEN left({text}, lim) || '{mark}' ELSE {text} END"
-    return f"""SELECT a.conv_id, a.turn, coalesce(string_agg(CASE WHEN b.role = 'user' THEN {q(P.USER_TURN)} ELSE {q(P.ASSISTANT_TURN)} END || b.content, chr(10) || chr(10) ORDER BY b.turn), '') AS history
- FROM conversations a LEFT JOIN (SELECT conv_id, turn, role, {cut} AS content FROM (SELECT *, CASE WHEN role = 'user' THEN {user} ELSE {assistant} END AS lim FROM conversations) WHERE role IN ('user', 'assistant') AND {text} <> '') b
- ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.turn >= a.turn - {back} GROUP BY 1, 2"""
+    placed = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nth FROM conversations"
+    return f"""SELECT a.conv_id, a.turn, coalesce(string_agg(CASE WHEN b.role = 'user' THEN {q(P.USER_TURN)} ELSE {q(P.ASSISTANT_TURN)} END || b.content, chr(10) || chr(10) ORDER BY b.nth), '') AS history
+ FROM ({placed}) a LEFT JOIN (SELECT conv_id, nth, role, {cut} AS content FROM (SELECT *, CASE WHEN role = 'user' THEN {user} ELSE {assistant} END AS lim FROM ({placed})) WHERE role IN ('user', 'assistant') AND {text} <> '') b
+ ON a.conv_id = b.conv_id AND b.nth < a.nth AND b.nth >= a.nth - {back} GROUP BY a.conv_id, a.turn, a.nth"""
 
 
 for _name, _shape in (("history_window", P.HISTORY_PROMPT), ("history_analyzer", P.HISTORY_ANALYZER), ("history_view", P.HISTORY_VIEW)):
@@ -245,9 +246,12 @@ _HINT_SQL = (
 @query("user_prompt", S.stmt(f"""SELECT question_id, {_HINT_SQL} || CASE WHEN coalesce(history, '') <> '' THEN {q(P.HISTORY_HEAD)} || history || chr(10) || chr(10) ELSE '' END
  || '[검색된 근거]' || chr(10) || coalesce(blocks, '{P.NO_EVIDENCE}') || chr(10) || chr(10) || '[질문]' || chr(10) || question AS prompt
  FROM routes LEFT JOIN (SELECT question_id, string_agg('[근거 ' || place || ']' || chr(10) || '문서명: ' || doc_name || chr(10) || '조문: ' || article_no || chr(10) || '페이지: ' || page || chr(10) || '내용:' || chr(10) || text, chr(10) || chr(10) ORDER BY place) AS blocks FROM evidence GROUP BY 1) USING (question_id)
- LEFT JOIN (SELECT conv_id AS question_id, history FROM ({_history_sql(P.HISTORY_PROMPT)}) WHERE turn = 2) USING (question_id)""", *EVID))
+ LEFT JOIN (SELECT conv_id AS question_id, history FROM ({_history_sql(P.HISTORY_PROMPT)}) QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)) USING (question_id)""", *EVID))
 def user_prompt(spark, sf):
-    past = V.history(D.table(spark, sf, "conversations"), P.HISTORY_PROMPT).filter("turn = 2")
+    """The question of a conversation follows its last turn."""
+    turns = D.table(spark, sf, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    past = V.history(turns, P.HISTORY_PROMPT).join(last, ["conv_id", "turn"])
     return V.user_prompts(routes(spark, sf), evidence(spark, sf), past.select(F.col("conv_id").alias("question_id"), "history"))
 
 
@@ -298,7 +302,8 @@ pass_a AS (SELECT case_id, category, coalesce(bool_or(ok), false) AS passed FROM
 pass_b AS (SELECT case_id, category, coalesce(bool_or(ok), false) AS passed FROM cases LEFT JOIN (SELECT * FROM ok_b WHERE rank <= 5) USING (case_id) GROUP BY 1, 2),
 cats AS (SELECT category, count(*) FILTER (WHERE passed) AS n_pass, count(*) AS n_total, count(*) FILTER (WHERE passed) / count(*) AS r FROM pass_a GROUP BY 1),
 cat_rows AS (SELECT category, n_pass, n_total, round(r, 4) AS rate, [{', '.join(f'{t}::DOUBLE' for t in P.EVAL_THRESHOLDS)}][category] AS threshold, r >= [{', '.join(f'{t}::DOUBLE' for t in P.EVAL_THRESHOLDS)}][category] AS ok FROM cats),
-ab AS (SELECT case_id, a.passed AS a_passed, b.passed AS b_passed, value AS a_ms, value / 2 AS b_ms FROM pass_a a JOIN pass_b b USING (case_id) JOIN events ON event_id = case_id)
+ab AS (SELECT case_id, a.passed AS a_passed, b.passed AS b_passed, value AS a_ms, value / 2 AS b_ms FROM pass_a a JOIN pass_b b USING (case_id)
+ LEFT JOIN (SELECT event_id % (SELECT count(*) FROM questions) AS case_id, avg(value) AS value FROM events GROUP BY 1) USING (case_id))
 """
 EVAL = [*S.SMART, S.STRUCTURAL, S.BM25, S.FUSED, CASES, RESULTS]
 
@@ -362,9 +367,11 @@ def eval_acceptance(spark, sf):
 
 
 def _compared(spark, sf):
-    ms = D.table(spark, sf, "events").select(F.col("event_id").alias("case_id"), "value")
-    a = _passed(spark, sf, "smart").join(ms, "case_id").withColumn("latency_ms", F.col("value"))
-    b = _passed(spark, sf, "hybrid").join(ms, "case_id").withColumn("latency_ms", F.col("value") / 2)
+    """Outcomes with the mean latency of a case, taken from all events dealt out to the cases; a case without events has none."""
+    n = D.questions(spark, sf).count()
+    ms = D.table(spark, sf, "events").groupBy((F.col("event_id") % n).alias("case_id")).agg(F.avg("value").alias("value"))
+    a = _passed(spark, sf, "smart").join(ms, "case_id", "left").withColumn("latency_ms", F.col("value"))
+    b = _passed(spark, sf, "hybrid").join(ms, "case_id", "left").withColumn("latency_ms", F.col("value") / 2)
     return E.compare(a, b)
 
 

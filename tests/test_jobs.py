@@ -124,3 +124,33 @@ def test_page_cache_default_name(spark, tmp_path):
 def test_pending(spark, force, want):
     both = spark.createDataFrame([("a",), ("b",)], "path string")
     assert {r.path for r in sync.pending(both, both.filter("path = 'a'"), force).collect()} == want
+
+
+def test_history_counts_positions(spark, monkeypatch):
+    """Turn numbers with gaps, over several stretches."""
+    from docspark.operators import evidence
+
+    monkeypatch.setattr(evidence, "TURN_STRETCH", 7)
+    turns = spark.createDataFrame([(1, t, "user", f"q{t}") for t in (0, 5, 10, 15)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.history for r in evidence.history(turns, (2, 100, 100, "…")).collect()}
+    assert got[0] == "" and [got[10].count("q0"), got[10].count("q5")] == [1, 1] and "q0" not in got[15] and "q10" in got[15]
+
+
+def test_numbers_of_any_length(spark):
+    from docspark.functions.text import part_number
+    from docspark.operators import evaluate
+
+    row = spark.createDataFrame([("제1조 (part 12345678/99999999)",), ("제1조",)], "label string").select(part_number(F.col("label")).alias("n")).collect()
+    assert [r.n for r in row] == [12345678, 0]
+    hit = spark.createDataFrame([("page_equals", "12345678", 12345678, "", "", "", 0.5)], "kind string, arg string, page long, article_no string, text string, doc_name string, score double")
+    assert hit.select(evaluate.holds().alias("ok")).first().ok
+
+
+def test_all_laws_and_cases_without_latency(spark):
+    from docspark.operators import evaluate, evidence
+
+    names = spark.range(1).select(evidence.law_names(F.lit("질문"), F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: F.concat(F.lit("법"), i.cast("string")))).alias("n")).first().n
+    assert len(names) == 1500
+    a = spark.createDataFrame([(1, True, 4.0), (2, True, None)], "case_id long, passed boolean, latency_ms double")
+    summary = evaluate.ab_summary(evaluate.compare(a, a)).first()
+    assert summary.n_cases == 2 and summary.a_mean_ms == 4.0

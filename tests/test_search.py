@@ -154,3 +154,32 @@ def test_model_hints_come_first_and_rules_apply(spark):
     assert got[1].rewritten_query == "별표 2 학생인건비 지급 기준 151쪽"
     assert got[2].keywords == [] and got[2].chat_response == H.CHAT_DEFAULT and got[2].rewritten_query == ""
     assert got[3].kind == "open" and got[3].keywords == ["학생인건비"]
+
+
+def test_vectors_of_other_lengths_stop_the_search(spark):
+    """Numbers of one row must not be scored as another's."""
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "question_id bigint, embedding array<double>")
+    for rows in ([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0])], [("a", [1.0, 0.0])], [("a", [1.0, 0.0, 0.0, 0.0]), ("b", None)]):
+        with pytest.raises(Exception, match="find them with validate"):
+            dense.top_k(asked, spark.createDataFrame(rows, "chunk_id string, embedding array<double>").coalesce(1), 5).collect()
+
+
+def test_a_common_set_meets_in_many_partitions(spark, monkeypatch):
+    """A phrase that half of the chunks hold is scored in many tasks."""
+    monkeypatch.setattr(dense, "ITEM_BLOCK", 10)
+    items = spark.range(400).select(F.col("id").cast("string").alias("chunk_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    members = items.filter("chunk_id % 2 = 0").select(F.lit("common").alias("phrase"), "chunk_id")
+    asked = spark.createDataFrame([("common", "1", [1.0, 0.0])], "phrase string, asked string, embedding array<double>")
+    seen = []
+    real = dense._best
+    monkeypatch.setattr(dense, "_best", lambda met, k: seen.append(met) or real(met, k))
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = dense.top_k_within(asked, members, items, ["phrase"], 3).collect()
+        held = seen[0].groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 3 and held >= 4
