@@ -123,8 +123,8 @@ def _scored(k: int):
     return run
 
 
-def search(index: DataFrame, terms: DataFrame, questions: DataFrame, top_n: int = P.RRF_CANDIDATES) -> DataFrame:
-    """question_id, chunk_id, score, rank; a repeated question token counts as often as it is asked.
+def search(index: DataFrame, terms: DataFrame, questions: DataFrame, top_n: int = P.RRF_CANDIDATES, text: str = "question") -> DataFrame:
+    """question_id, chunk_id, score, rank for the texts in ``text``; a repeated question token counts as often as it is asked.
 
     A blocked top-k: chunks are packed where they lie, each with all its terms, so the index is not shuffled. Questions come in
     blocks of about QUESTION_BLOCK; a task scores its chunks against a block and hands on ``top_n`` rows per question, so no
@@ -133,7 +133,7 @@ def search(index: DataFrame, terms: DataFrame, questions: DataFrame, top_n: int
     """
     spark = index.sparkSession
     asked = settle(
-        questions.select("question_id", F.explode(T.index_tokens(F.col("question"))).alias("term"))
+        questions.select("question_id", F.explode(T.index_tokens(F.col(text))).alias("term"))
         .groupBy("question_id", "term").agg(F.count("*").alias("times"))
         .join(terms.select("term", "idf"), "term")
         .select("question_id", "term", (F.col("times") * F.col("idf")).alias("weight"))

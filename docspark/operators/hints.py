@@ -24,6 +24,12 @@ def union(first: Column, second: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(both, strip), lambda s: F.length(s) > 0))
 
 
+def searched_text() -> Column:
+    """What is embedded and searched: the rewritten question, which stands without earlier turns, else the question itself."""
+    rewritten = strip(F.coalesce("rewritten_query", F.lit("")))
+    return F.when(rewritten == "", F.col("question")).otherwise(rewritten)
+
+
 def merge_hints(parsed: DataFrame, model: DataFrame) -> DataFrame:
     """``parsed`` rows with the model's hints taken in; questions without a model row stay as they are."""
     m = model.select("question_id", F.struct(*[c for c in model.columns if c != "question_id"]).alias("m"))

@@ -262,9 +262,12 @@ def hybrid_search(
     questions: DataFrame, chunks: DataFrame, vectors: DataFrame, index: DataFrame, terms: DataFrame,
     top_k: int = 8, doc_type: str | None = None,
 ) -> DataFrame:
-    """Rank fusion of dense, BM25 and structural lists. The type filter meets BM25 only after its top 30."""
+    """Rank fusion of dense, BM25 and structural lists. The type filter meets BM25 only after its top 30.
+
+    BM25 looks for the text that was embedded: ``searched`` where questions have it, else ``question``.
+    """
     typed = of_type(chunks, doc_type)
-    sparse = bm25.search(index, terms, questions, P.RRF_CANDIDATES)
+    sparse = bm25.search(index, terms, questions, P.RRF_CANDIDATES, "searched" if "searched" in questions.columns else "question")
     if doc_type is not None:
         vectors = vectors.join(typed.select("chunk_id"), "chunk_id", "left_semi")
         kept = sparse.join(typed.select("chunk_id"), "chunk_id", "left_semi").drop("rank")

@@ -158,12 +158,17 @@ def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions with their merged hints and vector, written once: several candidate lists read them."""
-    return materialize(spark, "asked", sf_dir, lambda: dense.embed_questions(merged_hints(spark, sf_dir)))
+    """Questions with their merged hints, ``searched`` (the text to search) and its vector, written once: several candidate lists read them."""
+
+    def build():
+        merged = merged_hints(spark, sf_dir)
+        return dense.embed_questions(merged.withColumn("searched", hints.searched_text()), "searched")
+
+    return materialize(spark, "asked", sf_dir, build)
 
 
 def hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir).drop("embedding")
+    return asked(spark, sf_dir).drop("embedding", "searched")
 
 
 def merged_hints(spark: SparkSession, sf_dir: str) -> DataFrame:

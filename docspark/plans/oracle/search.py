@@ -131,7 +131,7 @@ VECTORS = f"""
 vectors AS MATERIALIZED (SELECT chunk_id, {_counts('toks')} AS vec FROM chunk_tokens)
 """
 ASKED = f"""
-asked AS MATERIALIZED (SELECT *, {_counts(tokens('question'))} AS qvec FROM hinted)
+asked AS MATERIALIZED (SELECT *, {_counts(tokens("CASE WHEN rewritten_query <> '' THEN rewritten_query ELSE question END"))} AS qvec FROM hinted)
 """
 
 
@@ -151,7 +151,7 @@ stats AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_len FROM chunk_tokens
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM df, stats),
 idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN {P.BM25_EPSILON} * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q_terms AS (SELECT question_id, term, count(*) AS times FROM (SELECT question_id, unnest({tokens('question')}) AS term FROM questions) GROUP BY ALL),
+q_terms AS (SELECT question_id, term, count(*) AS times FROM (SELECT question_id, unnest({tokens("CASE WHEN rewritten_query <> '' THEN rewritten_query ELSE question END")}) AS term FROM hinted) GROUP BY ALL),
 bm25 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT question_id, chunk_id, round(sum(times * idf * tf * {P.BM25_K1 + 1} / (tf + {P.BM25_K1} * (1 - {P.BM25_B} + {P.BM25_B} * doc_len / avg_len))), 6) AS score
   FROM q_terms JOIN idf USING (term) JOIN postings USING (term), stats GROUP BY question_id, chunk_id) WHERE score > 0) WHERE rank <= {P.RRF_CANDIDATES})

@@ -159,12 +159,12 @@ def join_embeddings(spark, sf):
 def cosine_pairs(spark, sf):
     """Cosine of the pairs the inverted index proposes."""
     asked = D.asked(spark, sf)
-    pairs = bm25.search(D.bm25_index(spark, sf), D.bm25_terms(spark, sf), asked).select("question_id", "chunk_id")
+    pairs = bm25.search(D.bm25_index(spark, sf), D.bm25_terms(spark, sf), asked, text="searched").select("question_id", "chunk_id")
     return dense.score_pairs(pairs, asked, D.vectors(spark, sf)).select("question_id", "chunk_id", "score")
 
 
 @query("bm25_index", S.stmt(
-    "SELECT chunk_id, doc_len::BIGINT AS doc_len, term, tf, df, round(idf, 6) AS idf FROM postings JOIN idf USING (term)", *S.INDEX, S.QUESTIONS, S.BM25))
+    "SELECT chunk_id, doc_len::BIGINT AS doc_len, term, tf, df, round(idf, 6) AS idf FROM postings JOIN idf USING (term)", *S.INDEX, *S.ASK, S.BM25))
 def bm25_index(spark, sf):
     index, terms = D.bm25_index(spark, sf), D.bm25_terms(spark, sf)
     posted = index.select("chunk_id", F.col("doc_len").cast("bigint").alias("doc_len"), F.explode("terms").alias("t"))
@@ -173,9 +173,9 @@ def bm25_index(spark, sf):
     ).select("chunk_id", "doc_len", "term", "tf", "df", "idf")
 
 
-@query("bm25_search", S.stmt("SELECT question_id, chunk_id, score, rank FROM bm25", *S.INDEX, S.QUESTIONS, S.BM25))
+@query("bm25_search", S.stmt("SELECT question_id, chunk_id, score, rank FROM bm25", *S.INDEX, *S.ASK, S.BM25))
 def bm25_search(spark, sf):
-    out = bm25.search(D.bm25_index(spark, sf), D.bm25_terms(spark, sf), D.questions(spark, sf))
+    out = bm25.search(D.bm25_index(spark, sf), D.bm25_terms(spark, sf), D.asked(spark, sf), text="searched")
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -183,3 +183,15 @@ def test_a_common_set_meets_in_many_partitions(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(got) == 3 and held >= 4
+
+
+def test_the_rewritten_question_is_searched(spark):
+    """A follow-up question finds what its rewritten text names, not what its own words do."""
+    chunks = spark.createDataFrame([("a", "alpha alpha", "", ""), ("b", "beta beta", "", ""), ("c", "gamma", "", ""), ("d", "delta", "", "")], "chunk_id string, text string, article_no string, article_title string")
+    index = bm25.chunk_terms(chunks)
+    rows = [(1, "alpha", " beta "), (2, "alpha", ""), (3, "alpha", None)]
+    asked = spark.createDataFrame(rows, "question_id bigint, question string, rewritten_query string").withColumn("searched", H.searched_text())
+    got = {r.question_id: r.chunk_id for r in bm25.search(index, bm25.term_stats(index), asked, 1, "searched").collect()}
+    assert got == {1: "b", 2: "a", 3: "a"}
+    near = dense.top_k(dense.embed_questions(asked, "searched"), dense.embed_chunks(chunks), 1).collect()
+    assert {r.question_id: r.chunk_id for r in near} == {1: "b", 2: "a", 3: "a"}
