@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm import bitmap
 from docspark.llm.components import components
+from docspark.llm.scratch import settle_wide
 from docspark.llm.words import mix, multipliers, pieces, words
 from docspark.session import settle
 
@@ -150,12 +151,15 @@ def _profile(k: int):
             marks = [set_marks(s) for s in sets]
             counters += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(sets), pa.int32()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())],
-                names=["counter", "id", "n", "s1", "s2"],
+                [
+                    pa.nulls(len(sets), pa.int32()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()),
+                    pa.array([m[1] for m in marks], pa.int64()), pa.array([histogram(s) if len(s) else None for s in sets], pa.binary()),
+                ],
+                names=["counter", "id", "n", "s1", "s2", "hist"],
             )
         at = np.flatnonzero(counters)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), none, pa.array(counters[at]), none, none], names=["counter", "id", "n", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), none, pa.array(counters[at]), none, none, pa.nulls(len(at), pa.binary())], names=["counter", "id", "n", "s1", "s2", "hist"])
 
     return run
 
@@ -174,8 +178,8 @@ def _signatures(k: int, sizes, bounds, num: int, den: int, counters):
 
 
 def histogram(tokens: np.ndarray) -> bytes:
-    """64 counters of a set. Their distance is at most the number of tokens that only one of two sets has."""
-    return np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype(np.uint16).tobytes()
+    """64 counters of a set, up to 255. Their distance is at most the number of tokens that only one of two sets has."""
+    return np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
 
 
 def _sets(k: int, live):
@@ -186,10 +190,10 @@ def _sets(k: int, live):
             rows = [i for i in np.flatnonzero(bitmap.holds(live.value, nodes.view(np.uint64))).tolist() if len(sets[i])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(nodes[rows]), pa.array([set_marks(sets[i])[1] for i in rows], pa.int64()), pa.array([len(sets[i]) for i in rows], pa.int64()),
-                    pa.array([histogram(sets[i]) for i in rows], pa.binary()), pa.array([sets[i].tobytes() for i in rows], pa.binary()), batch.column("id").take(pa.array(rows, pa.int64())),
+                    pa.array(nodes[rows]), pa.array([set_marks(sets[i])[1] for i in rows], pa.int64()),
+                    pa.array([sets[i].tobytes() for i in rows], pa.binary()), batch.column("id").take(pa.array(rows, pa.int64())),
                 ],
-                names=["node", "s2", "n", "hist", "tokens", "id"],
+                names=["node", "s2", "tokens", "id"],
             )
 
     return run
@@ -201,7 +205,7 @@ def may_link(n1, n2, gap, num: int, den: int):
 
 
 def _hist_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, 64).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 64).astype(np.int16)
 
 
 def _possible(num: int, den: int):
@@ -214,21 +218,47 @@ def _possible(num: int, den: int):
     return run
 
 
+def pairs_within(cell: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, hist: np.ndarray, num: int, den: int) -> np.ndarray:
+    """(2, pairs): pairs of neighbouring rows with one cell number that are in different components and may link.
+
+    All rows are compared with the row d places on, for growing d, so small cells cost no loop of their own. In a cell of two blocks only rows of
+    different blocks meet.
+    """
+    found = [np.zeros((2, 0), np.int64)]
+    first = np.arange(len(cell))
+    for d in range(1, len(cell)):
+        first = first[first + d < len(cell)]
+        first = first[cell[first] == cell[first + d]]
+        if not len(first):
+            break
+        a, b = first, first + d
+        met = (label[a] != label[b]) & (node[a] != node[b]) & ((side[a] == 0) | (side[a] != side[b])) & may_link(n[a], n[b], 0, num, den)
+        a, b = a[met], b[met]
+        near = may_link(n[a], n[b], np.abs(hist[a] - hist[b]).sum(axis=1, dtype=np.int64), num, den)
+        found.append(np.sort(np.stack((node[a[near]], node[b[near]])), axis=0))
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
 def _within(num: int, den: int):
-    """Pairs of one cell of a group that are in different components and may link."""
+    """Rows come sorted by group and blocks; a cell that a batch does not end is kept for the next."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j")])
+            new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))[: table.num_rows]
+            ends = np.flatnonzero(new)
+            whole = int(ends[-1]) if len(ends) else 0
+            rest = table.slice(whole)
+            yield compared(table.slice(0, whole), np.cumsum(new[:whole]))
+        if rest is not None:
+            yield compared(rest, np.zeros(rest.num_rows, np.int64))
+
+    def compared(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
         node, label, n, side = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
-        hist = _hist_rows(table.column("hist"))
-        left = np.flatnonzero(side <= 1)
-        right = left if (side == 1).all() else np.flatnonzero(side == 2)
-        pairs: list[np.ndarray] = []
-        for i in left.tolist():
-            rest = right[(label[right] != label[i]) & (node[right] != node[i])]
-            rest = rest[may_link(n[i], n[rest], np.abs(hist[rest] - hist[i]).sum(axis=1), num, den)]
-            pairs.append(np.stack((np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i]))))
-        found = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+        found = pairs_within(cell, node, label, n, side, _hist_rows(table.column("hist")), num, den)
+        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -246,57 +276,65 @@ def _verify(num: int, den: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    small = sets.select("node", "n", "hist").dropDuplicates(["node"])
-    side = lambda df, x: df.select(*(F.col(c).alias({"node": x}.get(c, f"{c}_{x}")) for c in df.columns))
-    open_ = pairs.join(side(small, "a"), "a").join(side(small, "b"), "b").mapInArrow(_possible(num, den), "a bigint, b bigint")
-    full = sets.select("node", "tokens")
-    return open_.join(side(full, "a"), "a").join(side(full, "b"), "b").mapInArrow(_verify(num, den), "a bigint, b bigint").distinct()
+def _side(df: DataFrame, x: str) -> DataFrame:
+    return df.select(*(F.col(c).alias({"node": x}.get(c, f"{c}_{x}")) for c in df.columns))
+
+
+def _filtered(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and histograms let link."""
+    small = nodes.select("node", "n", "hist")
+    return pairs.join(_side(small, "a"), "a").join(_side(small, "b"), "b").mapInArrow(_possible(num, den), "a bigint, b bigint").distinct()
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link. Only texts that are in a pair send their tokens, one text of each set."""
+    asked = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    found = rows.mapInArrow(_sets(k, bitmap.build(asked, "node")), "node bigint, s2 bigint, tokens binary, id bigint")
+    one = asked.join(nodes, "node").select("node", "s2", "first")
+    sets = found.join(one, ["node", "s2"]).filter(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["node", "s2", "id"])
+    sets = settle_wide(sets.select("node", "tokens"))
+    return settle_wide(pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").mapInArrow(_verify(num, den), "a bigint, b bigint").distinct())
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components in one signature group, found in blocks of about BLOCK members."""
     known = members.join(labels, members["node"] == labels["labelled"], "left").select("sig", "node", F.coalesce("component", "node").alias("label"))
     several = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = known.join(several.select("sig", blocks.alias("blocks")), "sig").join(sets.select("node", "n", "hist").dropDuplicates(["node"]), "node")
+    rows = known.join(several.select("sig", blocks.alias("blocks")), "sig").join(nodes.select("node", "n", "hist"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
-        F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"),
-        F.when(x == F.col("own"), 0).when(x > F.col("own"), 1).otherwise(2).alias("side")))
-    dealt = rows.withColumn("own", own).withColumn("cell", F.explode(cells)).select("sig", "node", "label", "n", "hist", "cell.*")
-    dealt = dealt.withColumn("side", F.when(F.col("i") == F.col("j"), 1).otherwise(F.col("side")))
-    return dealt.groupBy("sig", "i", "j").applyInArrow(_within(num, den), "a bigint, b bigint").distinct()
+        F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.signum(x - F.col("own")).cast("int").alias("side")))
+    dealt = rows.withColumn("own", own).withColumn("cell", F.explode(cells)).select("sig", "cell.*", "node", "label", "n", "hist")
+    sorted_rows = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return sorted_rows.mapInArrow(_within(num, den), "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
     """id, n_shingles, component_id of every row; ``k`` words a shingle, similarity ``num / den``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    profile = settle(rows.mapInArrow(_profile(k), "counter int, id bigint, n bigint, s1 bigint, s2 bigint"))
-    own = profile.filter("counter is null").drop("counter")
+    profile = settle_wide(rows.mapInArrow(_profile(k), "counter int, id bigint, n bigint, s1 bigint, s2 bigint, hist binary"))
+    own = profile.filter("counter is null").select("id", "n", "s1", "s2")
     counters = np.zeros(COUNTERS, np.int64)
     for row in profile.filter("counter is not null").groupBy("counter").agg(F.sum("n").alias("n")).toArrow().to_batches():
         counters[row.column("counter").to_numpy()] = row.column("n").to_numpy()
     usual = float(counters.mean())
     bounds = tuple(int((usual + 6 * usual**0.5 + 16) * 16**i) for i in range(len(sizes) - 1))
     shared = spark.sparkContext.broadcast(counters)
-    sigs = settle(rows.mapInArrow(_signatures(k, sizes, bounds, num, den, shared), "sig bigint, node bigint"))
+    sigs = settle_wide(rows.mapInArrow(_signatures(k, sizes, bounds, num, den, shared), "sig bigint, node bigint"))
     groups = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").drop("far")
     members = settle(sigs.join(groups, "sig").select("sig", "hub", "node").distinct())
-    nodes = settle(members.select("node").distinct())
-    live = bitmap.build(nodes, "node")
-    firsts = own.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("first"))
-    found = rows.mapInArrow(_sets(k, live), "node bigint, s2 bigint, n bigint, hist binary, tokens binary, id bigint")
-    firsts_of = firsts.select(F.col("s1").alias("node"), "s2", "first")
-    sets = settle(found.join(firsts_of, ["node", "s2"]).filter(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["node", "s2", "id"]).drop("id", "first"))
+    of_sets = profile.filter("counter is null and n > 0").groupBy("s1", "s2").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.first("hist").alias("hist"))
+    nodes = settle(of_sets.withColumnRenamed("s1", "node"))
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = settle(_linked(stars, sets, num, den))
+    links = _linked(settle(_filtered(stars, nodes, num, den)), rows, nodes, k, num, den)
     labels = components(links).select(F.col("node").alias("labelled"), "component")
-    more = settle(_linked(_open_pairs(members.select("sig", "node"), labels, sets, num, den), sets, num, den))
+    open_ = settle(_open_pairs(members.select("sig", "node"), labels, nodes, num, den))
+    more = _linked(open_, rows, nodes, k, num, den) if open_.limit(1).count() else links.limit(0)
     final = components(links.union(more)) if more.limit(1).count() else labels.withColumnRenamed("labelled", "node")
-    of_set = firsts.join(final.select(F.col("node").alias("s1"), "component"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    of_set = nodes.select(F.col("node").alias("s1"), "s2", "first").join(final.select(F.col("node").alias("s1"), "component"), "s1", "left")
+    of_set = of_set.withColumn("component", F.coalesce("component", "s1"))
     least = of_set.groupBy("component").agg(F.min("first").alias("component_id"))
     named = of_set.join(least, "component").select("s1", "s2", "component_id")
     out = own.join(named, ["s1", "s2"], "left")
