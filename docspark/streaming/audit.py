@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.session import path_exists, settle
+
 
 def daily_counts(events: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Events (timestamp, verdict) per day and verdict; rows later than the watermark are dropped."""
@@ -14,19 +16,26 @@ def daily_counts(events: DataFrame, watermark: str = "2 days") -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there, write it as parquet and stop."""
+def keep_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
+    """Process what is there in update mode and keep the last state of every key; the first key is the table's partition.
+
+    A micro-batch brings the keys it changed. Only the partitions of these are read and written again.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        new = settle(batch)
+        spark = new.sparkSession
+        if path_exists(spark, path):
+            old = spark.read.schema(new.schema).parquet(path)
+            touched = old.join(new.select(keys[0]).distinct(), keys[0], "left_semi").join(new.select(*keys), keys, "left_anti")
+            new = settle(new.unionByName(touched))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(keys[0]).parquet(path)
+
     query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode)
-        .trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
-def latest_counts(batch: DataFrame, path: str) -> None:
-    """Replace the counts of the day windows a micro-batch updated."""
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-
-
-def read_log(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def read_log(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 64) -> DataFrame:
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder)

@@ -1,74 +1,33 @@
-"""Circuit breaker per channel over a log of call outcomes.
-
-A success resets the counter. From the fifth failure in a row on, each failure disables the channel for an hour; calls
-in that time are rejected and do not count, and the end of the hour does not reset the counter.
-"""
+"""Outcomes of calls per channel: hourly counts as a stream, and runs of failures as gaps and islands."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from docspark import profiles as P
 
-OUTPUT = "channel bigint, event_id bigint, ts timestamp, outcome string, failures bigint, disabled_until timestamp"
-STATE = "failures bigint, until_us bigint"
-
 
-def walk(calls: pd.DataFrame, failures: int, until_us: int) -> tuple[pd.DataFrame, int, int]:
-    """Outcome of every call of one channel, in time order, going on from the given state."""
-    calls = calls.sort_values(["ts", "event_id"])
-    stamps = calls["ts"].astype("datetime64[us]").astype("int64").tolist()
-    outcome, counts, untils = [], [], []
-    for now, ok in zip(stamps, calls["ok"].tolist()):
-        if now < until_us:
-            outcome.append("rejected")
-        elif ok:
-            failures, until_us = 0, 0
-            outcome.append("ok")
-        else:
-            failures += 1
-            if failures >= P.BREAKER_LIMIT:
-                until_us = now + P.BREAKER_SECONDS * 1_000_000
-            outcome.append("failed")
-        counts.append(failures)
-        untils.append(pd.Timestamp(until_us, unit="us") if until_us else pd.NaT)
-    out = calls[["channel", "event_id", "ts"]].assign(outcome=outcome, failures=counts, disabled_until=untils)
-    return out, failures, until_us
+def hourly_outcomes(calls: DataFrame, watermark: str = "2 hours") -> DataFrame:
+    """channel, hour, n_ok, n_failed of calls (channel, ts, ok); works on a stream, which drops rows later than the watermark."""
+    windowed = calls.withWatermark("ts", watermark).groupBy("channel", F.window("ts", "1 hour"))
+    counts = windowed.agg(F.count(F.when(F.col("ok"), 1)).alias("n_ok"), F.count(F.when(~F.col("ok"), 1)).alias("n_failed"))
+    return counts.select("channel", F.col("window.start").alias("hour"), "n_ok", "n_failed")
 
 
-def breaker(calls: DataFrame) -> DataFrame:
-    """Calls (channel, event_id, ts, ok) with their outcome and the state after them.
+def failure_runs(calls: DataFrame) -> DataFrame:
+    """channel, first_ts, last_ts, n_failures, trips of every run of failures between two successes of a channel.
 
-    The log is sorted by channel and time over the cluster with spilling, then each channel is walked batch by batch.
+    A run is named by the number of successes before it. Successes are counted per channel and day, summed up over the days, and
+    counted on inside a day, so a busy channel is many groups. ``trips``: the run is as long as the breaker's limit.
     """
-    ordered = calls.repartition("channel").sortWithinPartitions("channel", "ts", "event_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel, failures, until = None, 0, 0
-        for frame in frames:
-            for value, part in frame.groupby("channel", sort=False):
-                if value != channel:
-                    channel, failures, until = value, 0, 0
-                out, failures, until = walk(part, failures, until)
-                yield out
-
-    return ordered.mapInPandas(run, OUTPUT)
-
-
-def breaker_stream(calls: DataFrame) -> DataFrame:
-    """Stream form with the state kept per channel between micro-batches."""
-
-    def run(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, until = state.get if state.exists else (0, 0)
-        got = [f for f in frames if len(f)]
-        if got:
-            out, failures, until = walk(pd.concat(got), failures, until)
-            state.update((failures, until))
-            yield out
-
-    return calls.groupBy("channel").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = calls.withColumn("day", F.to_date("ts"))
+    ok = F.col("ok").cast("bigint")
+    earlier = F.sum("n").over(W.partitionBy("channel").orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+    days = rows.groupBy("channel", "day").agg(F.sum(ok).alias("n")).select("channel", "day", F.coalesce(earlier, F.lit(0)).alias("before"))
+    inside = W.partitionBy("channel", "day").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    counted = rows.withColumn("inside", F.sum(ok).over(inside)).join(days, ["channel", "day"])
+    failed = counted.filter(~F.col("ok")).groupBy("channel", (F.col("before") + F.col("inside")).alias("run"))
+    runs = failed.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_failures"))
+    return runs.select("channel", "first_ts", "last_ts", "n_failures", (F.col("n_failures") >= P.BREAKER_LIMIT).alias("trips"))

@@ -10,7 +10,7 @@ from docspark import schemas
 from docspark.operators import answers, evidence, quality, sync, usage
 from docspark.session import scratch_path
 from docspark.sources import files, tables
-from docspark.streaming import breaker
+from docspark.streaming import audit, outcomes
 
 NOW, OLD = P.CHUNKER_VERSION, P.LEGACY_VERSION
 
@@ -60,15 +60,37 @@ def calls(*marks):
     return [(1, i, start + timedelta(seconds=s), ok) for i, (s, ok) in enumerate(marks)]
 
 
-def test_breaker(spark):
-    marks = [(i, False) for i in range(4)] + [(4, True)] + [(5 + i, False) for i in range(5)] + [(20, True), (3700, False), (3800, True), (7400, True)]
+def test_failure_runs(spark):
+    marks = [(i, False) for i in range(4)] + [(4, True)] + [(5 + i, False) for i in range(5)] + [(20, True), (90000, False), (180000, False), (180001, True)]
     df = spark.createDataFrame(calls(*marks), "channel bigint, event_id bigint, ts timestamp, ok boolean")
-    got = {r.event_id: r for r in breaker.breaker(df).collect()}
-    assert got[4].outcome == "ok" and got[4].failures == 0
-    assert got[9].failures == 5 and got[9].disabled_until == datetime(2024, 1, 1) + timedelta(seconds=9 + 3600)
-    assert got[10].outcome == "rejected" and got[10].failures == 5
-    assert got[11].outcome == "failed" and got[11].failures == 6
-    assert got[12].outcome == "rejected" and got[13].outcome == "ok" and got[13].failures == 0
+    got = sorted((r.first_ts, r.n_failures, r.trips) for r in outcomes.failure_runs(df).collect())
+    assert [g[1:] for g in got] == [(4, False), (5, True), (2, False)] and got[2][0] == datetime(2024, 1, 1) + timedelta(seconds=90000)
+
+
+def test_late_rows_do_not_count(spark, tmp_path):
+    """The watermark drops a row that comes after its hour is closed; other hours keep their last state."""
+    log, start = str(tmp_path / "log"), datetime(2024, 1, 1)
+    schema = "channel bigint, ts timestamp, ok boolean"
+    for no, rows in enumerate([[(1, 0, True), (1, 1, False)], [(1, 10, True)], [(1, 11, True)], [(1, 0, False), (1, 10, False)]]):
+        one = spark.createDataFrame([(c, start + timedelta(hours=h), ok) for c, h, ok in rows], schema)
+        one.coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(schema).parquet(log)
+        counted = outcomes.hourly_outcomes(stream).withColumn("day", F.to_date("hour"))
+        audit.keep_updates(counted, str(tmp_path / "out"), str(tmp_path / "state"), ["day", "hour", "channel"])
+    got = {(r.hour - start).seconds // 3600: (r.n_ok, r.n_failed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (1, 0), 1: (0, 1), 10: (1, 1), 11: (1, 0)}
+
+
+def test_a_file_that_arrives_again_replaces_its_chunks(spark, tmp_path):
+    from docspark.streaming import ingest
+
+    schema = "source_file string, doc_name string, doc_type string, pages array<struct<page_num:int,text:string>>"
+    for text in ("제1조(목적)\n" + "가" * 200, "제1조(목적)\n" + "나" * 200 + "\n제2조(정의)\n" + "다" * 200):
+        docs = spark.createDataFrame([("a.pdf", "혁신법", "법률", [(1, text)])], schema)
+        ingest.upsert_documents(docs, str(tmp_path / "table"))
+    ingest.upsert_documents(spark.createDataFrame([("b.pdf", "혁신법", "법률", [(1, text)])], schema), str(tmp_path / "table"))
+    rows = spark.read.parquet(str(tmp_path / "table")).collect()
+    assert sorted((r.source_file, r.article_no) for r in rows) == [(f, a) for f in ("a.pdf", "b.pdf") for a in ("제1조(목적)", "제2조(정의)")] and "가" * 50 not in "".join(r.text for r in rows)
 
 
 def test_answers(spark):
