@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import warnings
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from docspark import profiles as P
 from docspark.functions import text as X
@@ -18,18 +20,29 @@ from docspark.session import settle
 HEADER = "(?md)" + "|".join(P.LOOKUP_HEADER)
 
 
-@F.pandas_udf(StringType())
-def safe_pattern(patterns: pd.Series) -> pd.Series:
-    """The pattern itself when it compiles, else quoted as a literal."""
-
-    def check(p: str) -> str:
+@lru_cache(maxsize=4096)
+def compiled(query: str) -> re.Pattern:
+    """The query as a case-blind pattern, or as a literal where it is none."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
         try:
-            re.compile(p)
-            return p
-        except re.error:
-            return r"\Q" + p.replace(r"\E", r"\E\\E\Q") + r"\E"
+            return re.compile(query, re.IGNORECASE | re.MULTILINE)
+        except (re.error, OverflowError, RecursionError):
+            return re.compile(re.escape(query), re.IGNORECASE)
+
+
+@F.pandas_udf(StructType([StructField("match", StringType()), StructField("at", IntegerType())]))
+def first_match(queries: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """First match of each query in its text and its place from 1; the engine that decides whether a query is a pattern also runs it."""
+    found = [compiled(q).search(t) if t is not None else None for q, t in zip(queries, texts)]
+    return pd.DataFrame({"match": [m.group() if m else None for m in found], "at": [m.start() + 1 if m else 0 for m in found]})
 
-    return patterns.map(check)
+
+def quoted(label: Column) -> Column:
+    """The label as a pattern: as it is when it has letters, digits and plain marks only, else as a literal."""
+    plain = F.regexp_like(label, F.lit(r"^[\p{L}\p{N}\s.,:_-]*$"))
+    literal = F.concat(F.lit(r"\Q"), F.replace(label, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.when(plain, label).otherwise(literal)
 
 
 def list_documents(docs: DataFrame) -> DataFrame:
@@ -81,20 +94,23 @@ def resolve_doc_name(requests: DataFrame, docs: DataFrame, nfc) -> DataFrame:
 
 
 def read_page(requests: DataFrame, docs: DataFrame) -> DataFrame:
-    """Page text or an error per request (request_id, source_file, page_num as text)."""
-    rows = requests.join(docs.select("source_file", "pages"), "source_file", "left")
+    """Page text or an error per request (request_id, source_file, page_num as text).
+
+    Requests meet the number of pages of their document, then the one page they ask for: no document is copied as a whole.
+    """
+    rows = requests.join(docs.select("source_file", F.size("pages").alias("n")), "source_file", "left")
     number = F.expr("try_cast(page_num AS int)")
     hwp = F.regexp_like(F.lower("source_file"), F.lit(r"\.hwpx?$"))
-    n = F.size("pages")
-    text = F.get("pages", number - 1)["text"]
+    n = F.col("n")
     error = (
-        F.when(F.col("pages").isNull(), "not_found").when(n == 0, "empty").when(hwp, F.lit(None))
+        F.when(n.isNull(), "not_found").when(n == 0, "empty").when(hwp, F.lit(None))
         .when(number.isNull(), "not_integer").when((number < 1) | (number > n), "out_of_range")
     )
-    whole = F.get("pages", F.lit(0))["text"]
-    rows = rows.withColumn("error", error).withColumn("text", F.when(error.isNotNull(), "").when(hwp, whole).otherwise(text))
+    rows = rows.withColumn("error", error).withColumn("wanted", F.when(error.isNull(), F.when(hwp, 1).otherwise(number)))
+    pages = docs.select("source_file", F.posexplode("pages").alias("pos", "p")).select("source_file", (F.col("pos") + 1).alias("wanted"), F.col("p.text").alias("text"))
+    met = rows.join(pages, ["source_file", "wanted"], "left").withColumn("text", F.when(F.col("error").isNull(), F.col("text")).otherwise(""))
     page = F.when(hwp & F.col("error").isNull(), 1).otherwise(F.coalesce(number, F.lit(0)))
-    return rows.select("request_id", "source_file", page.cast("bigint").alias("page"), "text", F.length("text").cast("bigint").alias("char_count"), "error")
+    return met.select("request_id", "source_file", page.cast("bigint").alias("page"), "text", F.length("text").cast("bigint").alias("char_count"), "error")
 
 
 def search_text(requests: DataFrame, pages: DataFrame, max_results: int = 5) -> DataFrame:
@@ -103,11 +119,10 @@ def search_text(requests: DataFrame, pages: DataFrame, max_results: int = 5) ->
     ``pages``: source_file, page_num, text. A query that is no valid pattern is taken literally.
     """
     asked = requests.filter(~X.is_blank(F.coalesce("query", F.lit(""))))
-    patterns = asked.select("query").distinct().withColumn("pattern", F.concat(F.lit("(?im)"), safe_pattern(F.col("query"))))
-    rows = asked.join(patterns, "query").join(pages, "source_file").filter(F.regexp_like("text", F.col("pattern")))
+    rows = asked.join(pages, "source_file").withColumn("m", first_match("query", "text")).filter("m.match is not null")
     order = W.partitionBy("request_id").orderBy("page_num")
     first = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_results)
-    first = first.withColumn("match", F.regexp_substr("text", F.col("pattern"))).withColumn("at", F.regexp_instr("text", F.col("pattern")))
+    first = first.withColumn("match", F.col("m.match")).withColumn("at", F.col("m.at"))
     low = F.greatest(F.col("at") - P.EXCERPT_MARGIN, F.lit(1))
     high = F.col("at") + F.length("match") + P.EXCERPT_MARGIN
     excerpt = F.translate(F.substring(F.col("text"), low, high - low), "\n", " ")
@@ -153,7 +168,7 @@ def article_span(requests: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("end", F.coalesce(nxt, F.length("full")))
     rows = rows.withColumn("body", F.coalesce(X.strip(F.substring(F.col("full"), F.col("start") + 1, F.col("end") - F.col("start"))), F.lit("")))
     hwp = F.regexp_like(F.lower("source_file"), F.lit(r"\.hwpx?$"))
-    query = F.concat(F.lit("(?im)"), F.when(F.col("known"), F.when(F.startswith("norm", F.lit("제")), F.col("norm")).otherwise(F.col("article_no"))).otherwise(F.col("article_no")))
+    query = F.concat(F.lit("(?im)"), F.when(F.col("known"), F.when(F.startswith("norm", F.lit("제")), F.col("norm")).otherwise(F.col("article_no"))).otherwise(quoted(F.col("article_no"))))
     rows = rows.withColumn("query", query).withColumn(
         "named", F.slice(F.filter("pages", lambda p: F.regexp_like(p["text"], F.col("query"))), 1, P.FALLBACK_PAGES)
     )

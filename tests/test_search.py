@@ -195,3 +195,27 @@ def test_the_rewritten_question_is_searched(spark):
     assert got == {1: "b", 2: "a", 3: "a"}
     near = dense.top_k(dense.embed_questions(asked, "searched"), dense.embed_chunks(chunks), 1).collect()
     assert {r.question_id: r.chunk_id for r in near} == {1: "b", 2: "a", 3: "a"}
+
+
+def test_any_pattern_is_survived(spark):
+    """Patterns that only one engine knows, broken ones and empty ones give rows or literal matches, and no request ends another's."""
+    from docspark.operators import lookup
+
+    pages = spark.createDataFrame([("d", 1, "제1조 a(b [x ax"), ("d", 2, r"\Q 제2조")], "source_file string, page_num int, text string")
+    queries = ["(?P<n>제)", "(?a)x", "x{,2}", "[[]x", "a(b", "(", r"\Q", "*", "A", "", None]
+    asked = spark.createDataFrame([(i, "d", q) for i, q in enumerate(queries)], "request_id bigint, source_file string, query string")
+    got = {(r.request_id, r.page): r.match for r in lookup.search_text(asked, pages).collect()}
+    assert got[0, 1] == got[0, 2] == "제" and got[1, 1] == "x" and got[3, 1] == "[x" and got[4, 1] == "a(b" and got[5, 1] == "(" and got[6, 2] == r"\Q" and got[8, 1] == "a"
+    labels = spark.createDataFrame([(1, "제1조 a(b"), (2, "*")], "request_id bigint, article_no string").withColumn("source_file", F.lit("d"))
+    docs = pages.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("page_num", "text"))).alias("pages"))
+    assert lookup.article_span(labels, docs).count() == 2
+
+
+def test_a_page_is_met_by_its_number(spark):
+    from docspark.operators import lookup
+
+    docs = spark.createDataFrame([("a.pdf", [(1, "x"), (2, "y")]), ("b.hwp", [(1, "z")]), ("c.pdf", [])], "source_file string, pages array<struct<page_num:int,text:string>>")
+    asked = [(1, "a.pdf", "2"), (2, "a.pdf", "3"), (3, "a.pdf", "q"), (4, "b.hwp", "9"), (5, "c.pdf", "1"), (6, "no", "1"), (7, "a.pdf", "2")]
+    rows = lookup.read_page(spark.createDataFrame(asked, "request_id bigint, source_file string, page_num string"), docs)
+    got = {r.request_id: (r.text, r.error) for r in rows.collect()}
+    assert got == {1: ("y", None), 7: ("y", None), 2: ("", "out_of_range"), 3: ("", "not_integer"), 4: ("z", None), 5: ("", "empty"), 6: ("", "not_found")}
