@@ -19,9 +19,11 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of which no language explains LEAST_SHARE of the words, go; a missing lang is filled in."""
     ship_package(spark)
-    found = language.predict(docs, language.fit(docs), docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    found = language.predict(rows, language.fit(docs), ["doc"])
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    lang = F.coalesce("doc.lang", "lang_pred").alias("lang")
+    return kept.select(*(lang if c == "lang" else F.col(f"doc.{c}") for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
