@@ -386,14 +386,20 @@ def ab_regressions(spark, sf):
     return _compared(spark, sf).filter("change <> 'same'").select("case_id", "change")
 
 
-@query("write_eval_baseline")
+_BASELINE = "case_id bigint, category bigint, question string, passed boolean, topk array<struct<rank:bigint,ok:boolean,article_no:string,page:bigint,score:double,doc_name:string>>"
+
+
+@query("write_eval_baseline", S.stmt("""SELECT cases.case_id, cases.category, question, passed, h.rank, ok, article_no, page, round(score, 4) AS score, doc_name
+ FROM cases JOIN pass_a USING (case_id) LEFT JOIN (SELECT * FROM hits_a JOIN ok_a USING (case_id, rank) WHERE rank <= 5) h ON h.case_id = cases.case_id""", *EVAL))
 def write_eval_baseline(spark, sf):
+    """The written file, read back into columns."""
     path = D.scratch(spark, "eval-baseline", sf)
     hits = hits_of(spark, sf, "smart")
     results = E.predicate_results(hits, predicates(spark, sf))
     report = E.baseline_report(cases(spark, sf), results, E.case_results(cases(spark, sf), results), hits)
     report.write.mode("overwrite").json(path)
-    return spark.read.schema("case_id bigint, json string").json(path)
+    rows = spark.read.schema("case_id bigint, json string").json(path).select(F.from_json("json", _BASELINE).alias("r")).select("r.*")
+    return rows.select("case_id", "category", "question", "passed", F.explode_outer("topk").alias("t")).select("case_id", "category", "question", "passed", "t.*")
 
 
 GATE = f"""findings AS (
@@ -419,9 +425,21 @@ def coverage_gate(spark, sf):
     return Z.gate_verdict(findings(spark, sf))
 
 
-@query("write_coverage_report")
+_REPORT = (
+    "gate struct<overall_ok:boolean,n_findings:bigint,n_failing:bigint>, "
+    "articles struct<n_chunks:bigint,n_labels:bigint,n_forced:bigint,forced_ratio:double,n_appendix_in_manual:bigint>, "
+    "metrics struct<total:bigint,avg_len:double,max_len:bigint,n_blank:bigint,n_appendix_in_pdf:bigint>"
+)
+
+
+@query("write_coverage_report", with_chunks(f""" SELECT * FROM
+ (SELECT NOT coalesce(bool_or(fails), false) AS overall_ok, count(*) AS n_findings, count(*) FILTER (WHERE fails) AS n_failing FROM findings),
+ (SELECT count(*) AS n_chunks, count(DISTINCT article_no) AS n_labels, count(*) FILTER (WHERE contains(article_no, '(part ')) AS n_forced,
+  round(avg(contains(article_no, '(part ')::INT), 6) AS forced_ratio, count(*) FILTER (WHERE contains(doc_name, '매뉴얼') AND starts_with(article_no, '별표')) AS n_appendix_in_manual FROM chunks),
+ (SELECT count(*) AS total, round(avg(length(text)), 4) AS avg_len, max(length(text)) AS max_len, count(*) FILTER (WHERE article_no IN ('', {q(P.PREAMBLE_LABEL)})) AS n_blank,
+  count(*) FILTER (WHERE starts_with(article_no, '별표 ') AND contains(lower(source_file), 'pdf')) AS n_appendix_in_pdf FROM chunks)""", G.PAGE_LENGTHS, *K.LOOKUP_CTES, GATE))
 def write_coverage_report(spark, sf):
-    """The verdict, the article report and the index metrics as one JSON row."""
+    """The verdict, the article report and the index metrics as one JSON row, read back into columns."""
     chunks = D.chunks(spark, sf)
     verdict = Z.gate_verdict(findings(spark, sf))
     parts = {"articles": Z.article_coverage(chunks), "metrics": Z.index_metrics(chunks)}
@@ -429,4 +447,5 @@ def write_coverage_report(spark, sf):
     report = verdict.select(F.to_json(F.struct(F.struct(*verdict.columns).alias("gate"), *nested.values())).alias("json"))
     path = D.scratch(spark, "coverage-report", sf)
     report.write.mode("overwrite").text(path)
-    return spark.read.text(path).select(F.col("value").alias("json"))
+    rows = spark.read.text(path).select(F.from_json("value", _REPORT).alias("r")).select("r.gate.*", "r.articles.*", "r.metrics.*")
+    return rows.withColumn("avg_len", F.round("avg_len", 4))

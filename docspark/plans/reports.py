@@ -44,7 +44,9 @@ def append_audit(spark, sf):
     from docspark.sources import sinks, tables
 
     path = D.scratch(spark, "audit-log", sf)
-    sinks.replace_audit(audit(spark, sf), path)
+    late = F.coalesce(F.col("confidence"), F.lit(0)) >= 50
+    sinks.replace_audit(audit(spark, sf).filter(~late), path)
+    sinks.append_audit(audit(spark, sf).filter(late), path)
     return tables.load_audit(spark, path).drop("date")
 
 

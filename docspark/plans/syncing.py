@@ -26,14 +26,32 @@ def _narrow(chunks):
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------
-@query("scan_files")
+_LISTING = f"""listing AS (SELECT page_id, '/data/' || CASE WHEN page_id % 5 = 0 THEN {q(P.EXCLUDED_FOLDERS[0])} || '/' ELSE '' END || page_id || '/'
+ || regexp_replace(url, '^[a-z]+://', '') || ['.pdf', '.HWP', '.hwpx', '.txt'][page_id % 4 + 1] AS path, strlen(html) AS length FROM pages)"""
+
+
+def page_files(spark, sf):
+    """The web pages as files: two roots, of which the second repeats every third file."""
+    i = F.col("page_id")
+    folder = F.when(i % 5 == 0, P.EXCLUDED_FOLDERS[0] + "/").otherwise("")
+    ending = F.element_at(F.array(*(F.lit(x) for x in (".pdf", ".HWP", ".hwpx", ".txt"))), (i % 4 + 1).cast("int"))
+    path = F.concat(F.lit("/data/"), folder, i.cast("string"), F.lit("/"), F.regexp_replace("url", "^[a-z]+://", ""), ending)
+    files = D.table(spark, sf, "pages").select(
+        i, path.alias("path"), F.timestamp_seconds(i).alias("modificationTime"), F.octet_length("html").cast("bigint").alias("length"), F.encode("html", "UTF-8").alias("content")
+    )
+    first = files.withColumn("root_no", F.lit(0))
+    return first.unionByName(files.filter(i % 3 == 0).withColumn("root_no", F.lit(1)))
+
+
+@query("scan_files", f"""WITH {_LISTING} SELECT path, lower(split_part(path, '.', -1)) AS suffix, length AS size_bytes, 0 AS root_no, page_id::DOUBLE AS mtime FROM listing
+ WHERE page_id % 5 <> 0 AND page_id % 4 <> 3 AND length >= {P.MIN_FILE_SIZE}""")
 def scan_files(spark, sf):
-    return files.scan_files(spark, [sf], ("parquet",)).withColumn("name", F.element_at(F.split("path", "/"), -1)).select("name", "suffix", "size_bytes")
+    return files.indexable(page_files(spark, sf)).select("path", "suffix", "size_bytes", "root_no", "mtime")
 
 
-@query("hash_files")
+@query("hash_files", f"WITH {_LISTING} SELECT path, length AS size_bytes, sha256(html) AS sha256 FROM listing JOIN pages USING (page_id)")
 def hash_files(spark, sf):
-    return files.hash_files(spark, [sf]).withColumn("name", F.element_at(F.split("path", "/"), -1)).select("name", "size_bytes", "sha256")
+    return files.hashed(page_files(spark, sf).filter("root_no = 0"))
 
 
 @query("hash_documents", "SELECT doc_id, octet_length(encode(text)) AS size_bytes, sha256(text) AS sha256 FROM documents")
@@ -45,12 +63,12 @@ def hash_documents(spark, sf):
 _PAGES_SQL = "SELECT source_file, p + 1 AS page_num, md5(substr(text, p * 3000 + 1, 3000)) AS text_md5 FROM (SELECT *, unnest(range(0, greatest(1, (length(text) + 2999) // 3000))) AS p FROM corpus)"
 
 
-@query("load_pages_json", with_corpus(" " + _PAGES_SQL))
+@query("load_pages_json", with_corpus(" " + _PAGES_SQL.replace("SELECT source_file,", "SELECT CASE WHEN doc_id % 10 = 0 THEN 'unnamed' ELSE source_file END AS source_file,", 1)))
 def load_pages_json(spark, sf):
+    """Every tenth cache has no file name."""
     path = D.scratch(spark, "page-cache", sf)
-    D.corpus(spark, sf).select("source_file", "pages").write.mode("overwrite").json(path)
-    docs = spark.read.schema("source_file string, pages array<struct<page_num:int,text:string>>").json(path)
-    rows = docs.select("source_file", F.explode("pages").alias("p"))
+    D.corpus(spark, sf).select(F.when(F.col("doc_id") % 10 != 0, F.col("source_file")).alias("source_file"), "pages").write.mode("overwrite").json(path)
+    rows = tables.load_pages_json(spark, path, "unnamed", one_per_file=False).select("source_file", F.explode("pages").alias("p"))
     return rows.select("source_file", F.col("p.page_num").cast("bigint").alias("page_num"), F.md5(F.col("p.text").cast("binary")).alias("text_md5"))
 
 

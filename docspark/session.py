@@ -28,8 +28,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared folder that belongs to this application."""
-    return "/".join([checkpoint_dir(spark).rstrip("/"), spark.sparkContext.applicationId, *parts])
+    """A path under the shared folder that belongs to this application; the application's folder goes when it ends."""
+    own = "/".join([checkpoint_dir(spark).rstrip("/"), spark.sparkContext.applicationId])
+    if spark.conf.get("spark.docspark.scratch", None) != own:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        spark.conf.set("spark.docspark.scratch", own)
+    return "/".join([own, *parts])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

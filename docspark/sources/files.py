@@ -11,18 +11,12 @@ from docspark import profiles as P
 from docspark.functions.names import nfc
 
 
-def scan_files(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...] = P.SUPPORTED_SUFFIXES) -> DataFrame:
-    """path, root_no, suffix, mtime and size_bytes of the files under the roots that can be indexed.
+def indexable(listing: DataFrame, suffixes: tuple[str, ...] = P.SUPPORTED_SUFFIXES) -> DataFrame:
+    """path, root_no, suffix, mtime and size_bytes of the files in a listing (path, root_no, modificationTime, length) that can be indexed.
 
-    Only file status is read: the content column is pruned away. A file met under two roots counts once.
+    A file met under two roots counts once, for the first of them.
     """
-
-    def under(no: int, root: str) -> DataFrame:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        return files.select("path", F.lit(no).alias("root_no"), "modificationTime", "length")
-
-    rows = reduce(DataFrame.unionByName, [under(i, r) for i, r in enumerate(roots)])
-    rows = rows.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    rows = listing.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     excluded = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in P.EXCLUDED_FOLDERS]))
     kept = rows.filter(F.col("suffix").isin(*suffixes) & ~excluded & (F.col("length") >= P.MIN_FILE_SIZE))
     return kept.select(
@@ -31,10 +25,24 @@ def scan_files(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...]
     ).groupBy("path").agg(*[F.min_by(c, "root_no").alias(c) for c in ("suffix", "mtime", "size_bytes")], F.min("root_no").alias("root_no"))
 
 
-def hash_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, size_bytes and sha256 of the files under the given paths."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+def scan_files(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...] = P.SUPPORTED_SUFFIXES) -> DataFrame:
+    """The indexable files under the roots. Only file status is read: the content column is pruned away."""
+
+    def under(no: int, root: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return files.select("path", F.lit(no).alias("root_no"), "modificationTime", "length")
+
+    return indexable(reduce(DataFrame.unionByName, [under(i, r) for i, r in enumerate(roots)]), suffixes)
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """path, size_bytes and sha256 of files (path, length, content)."""
     return files.select(
-        nfc(F.regexp_replace("path", "^file:/+", "/")).alias("path"), F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
+        nfc(F.regexp_replace("path", "^file:/+", "/")).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
     )
+
+
+def hash_files(spark: SparkSession, roots: list[str], touched: DataFrame) -> DataFrame:
+    """path, size_bytes and sha256 of the files under the roots that are in ``touched`` (path); the paths stay in Spark."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
+    return hashed(files).join(touched.select("path"), "path", "left_semi")

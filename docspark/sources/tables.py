@@ -11,9 +11,9 @@ from docspark.session import path_exists
 from docspark.sources.sinks import CSV
 
 
-def load_pages_json(spark: SparkSession, path: str, default_name: str = "") -> DataFrame:
-    """Page caches ``{source_file, pages: [{page_num, text}]}`` as document rows with a pages array."""
-    docs = spark.read.schema(schemas.PAGE_CACHE).option("multiLine", True).json(path)
+def load_pages_json(spark: SparkSession, path: str, default_name: str = "", one_per_file: bool = True) -> DataFrame:
+    """Page caches ``{source_file, pages: [{page_num, text}]}`` as document rows with a pages array; one JSON text per file, or per line."""
+    docs = spark.read.schema(schemas.PAGE_CACHE).option("multiLine", one_per_file).json(path)
     return docs.select(F.coalesce("source_file", F.lit(default_name)).alias("source_file"), "pages")
 
 
