@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docspark import profiles as P
 from docspark.functions import questions as Q
+from docspark.functions.names import nfc
 from docspark.operators import bm25, dense, matching
 from docspark.session import settle
 
@@ -51,7 +52,8 @@ def ranked(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
 def page_hits(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks on pages the question names, at most 20 per page: question_id, page, seq, chunk_id."""
     asked = questions.select("question_id", F.posexplode("target_pages").alias("seq", "page"))
-    per_page = ranked(chunks.select("page", "chunk_id"), ["page"], P.PAGE_CANDIDATES, "chunk_id").drop("rank")
+    named = chunks.select("page", "chunk_id").join(asked.select("page").distinct(), "page", "left_semi")
+    per_page = ranked(named, ["page"], P.PAGE_CANDIDATES, "chunk_id").drop("rank")
     return asked.join(per_page, "page")
 
 
@@ -127,14 +129,13 @@ def category(doc_name: Column) -> Column:
 
 def category_top1(nearest: DataFrame, chunks: DataFrame) -> DataFrame:
     """Best chunk of each category among the nearest 200 of a comparing question."""
-    rows = nearest.join(chunks.select("chunk_id", category(F.col("doc_name")).alias("category")), "chunk_id")
+    rows = nearest.join(chunks.select("chunk_id", "doc_name"), "chunk_id").withColumn("category", category(nfc(F.col("doc_name")))).drop("doc_name")
     return ranked(rows.filter("category <> ''").drop("rank"), ["question_id", "category"], 1, F.desc("score"), "chunk_id")
 
 
 def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, index: DataFrame) -> DataFrame:
     """question_id, step, seq, sub, chunk_id, score: all candidate lists in arrival order."""
-    nearest = settle(dense.top_k(questions, vectors, P.FANOUT_CANDIDATES))
-    plain = nearest.filter(F.col("rank") <= P.VECTOR_CANDIDATES).select(
+    plain = dense.top_k(questions, vectors, P.VECTOR_CANDIDATES).select(
         "question_id", F.lit(VECTOR).alias("step"), F.lit(0).alias("seq"), F.lit(0).alias("sub"), "chunk_id", "score"
     )
     paged = page_hits(questions, chunks).select(
@@ -144,8 +145,8 @@ def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, inde
     filters = settle(text_filters(questions))
     matches = settle(filter_matches(filters, chunks, index))
     listed = filtered_lists(filters, matches, nearest_matches(filters, matches, questions, vectors))
-    comparing = questions.filter("comparison_intent").select("question_id")
-    fanned = category_top1(nearest.join(comparing, "question_id", "left_semi"), chunks).select(
+    comparing = dense.top_k(questions.filter("comparison_intent"), vectors, P.FANOUT_CANDIDATES)
+    fanned = category_top1(comparing, chunks).select(
         "question_id", F.lit(FANOUT).alias("step"), F.lit(0).alias("seq"), F.lit(0).alias("sub"), "chunk_id",
         F.round(F.col("score") + P.BOOST_FANOUT, 6).alias("score"),
     )
@@ -174,10 +175,10 @@ def doc_hint_boost(pooled: DataFrame, questions: DataFrame, chunks: DataFrame) -
     rows = pooled.join(questions.select("question_id", "doc_name_hint"), "question_id").join(
         chunks.select("chunk_id", "doc_name"), "chunk_id"
     )
-    hint = F.trim("doc_name_hint")
+    hint = nfc(F.trim("doc_name_hint"))
     boosted = F.round(F.col("score") + P.BOOST_DOC_NAME, 6)
     return rows.withColumn(
-        "score", F.when((hint != "") & F.contains(F.col("doc_name"), hint), boosted).otherwise(F.col("score"))
+        "score", F.when((hint != "") & F.contains(nfc(F.col("doc_name")), hint), boosted).otherwise(F.col("score"))
     ).drop("doc_name_hint")
 
 
@@ -187,7 +188,7 @@ def category_swap(pooled: DataFrame, questions: DataFrame, top_k: int) -> DataFr
     ``pooled`` needs doc_name. Slots are taken from the last backwards in fixed category order, without re-sorting.
     """
     rows = pooled.join(questions.select("question_id", "comparison_intent"), "question_id")
-    rows = rows.withColumn("category", category(F.col("doc_name")))
+    rows = rows.withColumn("category", category(nfc(F.col("doc_name"))))
     by_question = W.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     by_category = W.partitionBy("question_id", "category").orderBy(F.desc("score"), "chunk_id")
     rows = rows.withColumn("rank", F.row_number().over(by_question)).withColumn("place", F.row_number().over(by_category))

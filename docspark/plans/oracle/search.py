@@ -280,3 +280,18 @@ SMART = INDEX + ASK + [VECTORS, ASKED, NEAREST, FILTERS, CANDIDATES]
 
 def stmt(body: str, *ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " " + body
+
+
+def typed(ctes: list[str], doc_type: str) -> list[str]:
+    """The statements over the chunks of one type; BM25 ranks all chunks and drops other types after its top rows."""
+    out = []
+    for cte in ctes:
+        if cte is CHUNKS:
+            out += [cte.replace("\nchunks AS (", "\nevery_chunk AS ("), f"chunks AS (SELECT * FROM every_chunk WHERE doc_type = '{doc_type}')"]
+        elif cte is BM25:
+            out += [CHUNK_TOKENS.replace("chunk_tokens AS", "every_token AS").replace("FROM chunks", "FROM every_chunk")]
+            out += [cte.replace("chunk_tokens", "every_token").replace("bm25 AS MATERIALIZED", "every_bm25 AS MATERIALIZED")]
+            out += ["bm25 AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM every_bm25 WHERE chunk_id IN (SELECT chunk_id FROM chunks))"]
+        else:
+            out.append(cte)
+    return out

@@ -267,6 +267,13 @@ def smart_search(spark, sf):
     return out.select("question_id", F.col("slot").cast("bigint").alias("slot"), "chunk_id", "score", "n_sources")
 
 
+@query("smart_search_typed", S.stmt("SELECT question_id, slot, chunk_id, score, n_sources FROM smart", *S.typed(S.SMART, "시행령")))
+def smart_search_typed(spark, sf):
+    """The boosted search among the chunks of one document type."""
+    out = R.smart_search(D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.words(spark, sf), doc_type="시행령")
+    return out.select("question_id", F.col("slot").cast("bigint").alias("slot"), "chunk_id", "score", "n_sources")
+
+
 def smart_hits(spark, sf):
     """Result of the boosted search, written once for the queries that go on from it."""
     return D.materialize(
@@ -308,6 +315,16 @@ def hybrid_search(spark, sf):
     return out.select("question_id", "chunk_id", "rrf", "n_lists", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("hybrid_search_typed", S.stmt("SELECT question_id, chunk_id, rrf, n_lists, rank FROM fused", *S.typed([*S.SMART, S.STRUCTURAL, S.BM25, S.FUSED], "시행령")))
+def hybrid_search_typed(spark, sf):
+    """Rank fusion among the chunks of one document type; BM25 ranks all chunks and is filtered after its top 30."""
+    out = R.hybrid_search(
+        D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.bm25_index(spark, sf), D.bm25_terms(spark, sf), doc_type="시행령"
+    )
+    return out.select("question_id", "chunk_id", "rrf", "n_lists", F.col("rank").cast("bigint").alias("rank"))
+
+
+
 @query("confidence", S.stmt("""SELECT question_id, round(CASE WHEN mean IS NOT NULL THEN least(mean * 100, 95.0) WHEN paged THEN 92.0 WHEN structural THEN 87.0 END::DOUBLE, 4) AS confidence,
  concat_ws(',', CASE WHEN paged THEN 'page' END, CASE WHEN structural THEN 'structural' END, CASE WHEN phrase AND NOT paged AND NOT structural THEN 'phrase' END) AS signals
  FROM (SELECT question_id, avg(score) FILTER (WHERE score < 1.0) AS mean, coalesce(bool_or(score >= 1.3), false) AS paged,

@@ -219,3 +219,11 @@ def test_a_page_is_met_by_its_number(spark):
     rows = lookup.read_page(spark.createDataFrame(asked, "request_id bigint, source_file string, page_num string"), docs)
     got = {r.request_id: (r.text, r.error) for r in rows.collect()}
     assert got == {1: ("y", None), 7: ("y", None), 2: ("", "out_of_range"), 3: ("", "not_integer"), 4: ("z", None), 5: ("", "empty"), 6: ("", "not_found")}
+
+
+def test_names_in_decomposed_form_have_a_category(spark):
+    import unicodedata
+
+    chunks = spark.createDataFrame([("a", unicodedata.normalize("NFD", "혁신법 시행령")), ("b", "매뉴얼")], "chunk_id string, doc_name string")
+    nearest = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.4, 2)], "question_id bigint, chunk_id string, score double, rank int")
+    assert {r.category for r in R.category_top1(nearest, chunks).collect()} == {"시행령", "매뉴얼"}
