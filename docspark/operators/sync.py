@@ -108,11 +108,16 @@ def delete_chunks(chunks: DataFrame, gone: DataFrame, key: str = "source_file")
 
 
 def upsert(index: DataFrame, incoming: DataFrame, embeddings: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Incoming rows that have an embedding replace rows of the same id; the others are dropped."""
+    """Incoming rows that have an embedding replace rows of the same id; ``without_vector`` lists the others."""
     embedded = incoming.join(embeddings.select(key), key, "left_semi")
     return index.join(embedded.select(key), key, "left_anti").unionByName(embedded.select(*index.columns))
 
 
+def without_vector(incoming: DataFrame, embeddings: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The ids of incoming rows that an upsert leaves out, because they have no embedding."""
+    return incoming.select(key).join(embeddings.select(key), key, "left_anti")
+
+
 def initial_version(source_file: Column) -> Column:
     """Chunker version assumed for files indexed before a manifest was kept."""
     name = F.element_at(F.split(source_file, "/"), -1)

@@ -140,6 +140,13 @@ def upsert_chunks(spark, sf):
     return out.select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query("upsert_skipped", "SELECT doc_id::VARCHAR AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def upsert_skipped(spark, sf):
+    """Incoming rows without a vector."""
+    incoming = D.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    return Y.without_vector(incoming, D.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id")))
+
+
 @query("delete_chunks", with_chunks(f" SELECT chunk_id, source_file FROM chunks WHERE source_file NOT IN (SELECT source_file FROM toxic_files)", TOXIC_FILES))
 def delete_chunks(spark, sf):
     return Y.delete_chunks(D.chunks(spark, sf), toxic_files(spark, sf)).select("chunk_id", "source_file")
