@@ -10,10 +10,11 @@ A text's tokens are the hashes of its distinct word shingles. Texts link when de
    share a signature. The number of parts belongs to a range of sizes; a text emits combinations for its own range and the next, so that
    partners always meet in one.
 3. *Candidates.* Texts with equal sets are one node. In every signature group the nodes are paired with the smallest of them, which is as many pairs
-   as members, and the linked ones are joined to components. Only groups that still hold several components are compared further, in
-   blocks inside tasks: pairs in one component are skipped, others pass when their sizes and 64 counters of tokens allow a link (an upper
-   bound of the similarity, so nothing is lost).
-4. *Verification.* Candidates are compared token by token, and components follow from all links.
+   as members; those whose sizes and 64 counters of tokens allow a link (an upper bound of the similarity, so nothing is lost) are compared
+   token by token, and the linked ones are joined to components.
+4. *Verification of the rest.* Only groups that still hold several components are compared further, in blocks inside tasks: first by sizes and
+   counters, which leaves the nodes that can have a link to another component, then these token by token. Pairs whose components a link has joined
+   are skipped, so a task hands on fewer links than it has nodes. Components follow from all links.
 
 Cases: a null or blank text has no tokens and links with nothing; with fewer than k words the whole sequence is the only token; repeated rows are
 one node, each returned; ids may repeat, the component is the smallest id of its rows (null ids are ignored in it, and a component of them alone is
@@ -38,6 +39,7 @@ from docspark.session import settle
 
 COUNTERS = 1 << 18
 BLOCK = 1024
+TOKEN_BLOCK = 256
 _MIX = multipliers(8, 11)
 
 
@@ -218,13 +220,12 @@ def _possible(num: int, den: int):
     return run
 
 
-def pairs_within(cell: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, hist: np.ndarray, num: int, den: int) -> np.ndarray:
-    """(2, pairs): pairs of neighbouring rows with one cell number that are in different components and may link.
+def possible_pairs(cell: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, hist: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with one cell number (neighbours) that have different labels and may link.
 
     All rows are compared with the row d places on, for growing d, so small cells cost no loop of their own. In a cell of two blocks only rows of
     different blocks meet.
     """
-    found = [np.zeros((2, 0), np.int64)]
     first = np.arange(len(cell))
     for d in range(1, len(cell)):
         first = first[first + d < len(cell)]
@@ -232,45 +233,79 @@ def pairs_within(cell: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.nd
         if not len(first):
             break
         a, b = first, first + d
-        met = (label[a] != label[b]) & (node[a] != node[b]) & ((side[a] == 0) | (side[a] != side[b])) & may_link(n[a], n[b], 0, num, den)
+        met = (label[a] != label[b]) & ((side[a] == 0) | (side[a] != side[b])) & may_link(n[a], n[b], 0, num, den)
         a, b = a[met], b[met]
         near = may_link(n[a], n[b], np.abs(hist[a] - hist[b]).sum(axis=1, dtype=np.int64), num, den)
-        found.append(np.sort(np.stack((node[a[near]], node[b[near]])), axis=0))
-    return np.unique(np.concatenate(found, axis=1), axis=1)
+        yield a[near], b[near]
 
 
-def _within(num: int, den: int):
-    """Rows come sorted by group and blocks; a cell that a batch does not end is kept for the next."""
+def by_cell(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole cells of rows that come sorted by the keys, with each row's cell number; the cell at a batch's end waits for the next batch."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+        values = np.stack([table.column(c).to_numpy().astype(np.int64) for c in keys])
+        new = np.append(True, (values[:, 1:] != values[:, :-1]).any(axis=0))[: table.num_rows]
+        starts = np.flatnonzero(new)
+        whole = int(starts[-1]) if len(starts) else 0
+        rest = table.slice(whole)
+        yield table.slice(0, whole), np.cumsum(new[:whole])
+    if rest is not None:
+        yield rest, np.zeros(rest.num_rows, np.int64)
+
+
+def _open_rows(num: int, den: int):
+    """hub and node of the rows that have a possible partner of another component in their cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j")])
-            new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))[: table.num_rows]
-            ends = np.flatnonzero(new)
-            whole = int(ends[-1]) if len(ends) else 0
-            rest = table.slice(whole)
-            yield compared(table.slice(0, whole), np.cumsum(new[:whole]))
-        if rest is not None:
-            yield compared(rest, np.zeros(rest.num_rows, np.int64))
-
-    def compared(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
-        node, label, n, side = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
-        found = pairs_within(cell, node, label, n, side, _hist_rows(table.column("hist")), num, den)
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+        for table, cell in by_cell(batches, ("sig", "i", "j")):
+            label, n, side = (table.column(c).to_numpy() for c in ("label", "n", "side"))
+            hit = np.zeros(table.num_rows, bool)
+            for a, b in possible_pairs(cell, label, n, side, _hist_rows(table.column("hist")), num, den):
+                hit[a] = hit[b] = True
+            yield from table.filter(pa.array(hit)).select(["hub", "node"]).to_batches()
+
+    return run
+
+
+def _links(num: int, den: int):
+    """Links between components inside each cell, token by token; pairs whose components a link has joined are skipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cell in by_cell(batches, ("hub", "i", "j")):
+            node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
+            tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+            n = np.array([len(t) for t in tokens], np.int64)
+            hist = np.array([np.frombuffer(histogram(t), np.uint8) for t in tokens], np.int16).reshape(-1, 64)
+            parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def top(x):
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            found = []
+            for a, b in possible_pairs(cell, label, n, side, hist, num, den):
+                for x, y in zip(a.tolist(), b.tolist()):
+                    one, two = top((int(cell[x]), int(label[x]))), top((int(cell[y]), int(label[y])))
+                    if one != two and linked(tokens[x], tokens[y], num, den):
+                        parent[one] = two
+                        found.append((int(node[x]), int(node[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * den >= num * (len(x) + len(y) - both)
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both * den >= num * (len(x) + len(y) - both))
+            pairs = zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist())
+            good = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in pairs]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     return run
@@ -286,28 +321,48 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(_side(small, "a"), "a").join(_side(small, "b"), "b").mapInArrow(_possible(num, den), "a bigint, b bigint").distinct()
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link. Only texts that are in a pair send their tokens, one text of each set."""
-    asked = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+def _token_sets(asked: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, tokens of the asked nodes: one text of each set sends its tokens, the others stay where they are."""
     found = rows.mapInArrow(_sets(k, bitmap.build(asked, "node")), "node bigint, s2 bigint, tokens binary, id bigint")
     one = asked.join(nodes, "node").select("node", "s2", "first")
     sets = found.join(one, ["node", "s2"]).filter(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["node", "s2", "id"])
-    sets = settle_wide(sets.select("node", "tokens"))
+    return settle_wide(sets.select("node", "tokens"))
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+    asked = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = _token_sets(asked, rows, nodes, k)
     return settle_wide(pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").mapInArrow(_verify(num, den), "a bigint, b bigint").distinct())
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in one signature group, found in blocks of about BLOCK members."""
-    known = members.join(labels, members["node"] == labels["labelled"], "left").select("sig", "node", F.coalesce("component", "node").alias("label"))
-    several = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = known.join(several.select("sig", blocks.alias("blocks")), "sig").join(nodes.select("node", "n", "hist"), "node")
+def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """The rows of each key in cells (key, i, j) of two blocks of about ``block`` rows, sorted by cell. side: 0 if both blocks are one, else -1 or 1."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.signum(x - F.col("own")).cast("int").alias("side")))
-    dealt = rows.withColumn("own", own).withColumn("cell", F.explode(cells)).select("sig", "cell.*", "node", "label", "n", "hist")
-    sorted_rows = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return sorted_rows.mapInArrow(_within(num, den), "a bigint, b bigint").distinct()
+    dealt = rows.join(sizes, key).withColumn("own", own).withColumn("cell", F.explode(cells)).select(*rows.columns, "cell.*")
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _open_links(members: DataFrame, labels: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components that share a signature group, as few as join what they join.
+
+    Sizes and histograms, in the signature groups, tell which nodes can have such a link. Those nodes meet once more with their tokens, in the groups of
+    their hub, and are compared there.
+    """
+    known = members.join(labels, members["node"] == labels["labelled"], "left").select("sig", "hub", "node", F.coalesce("component", "node").alias("label"))
+    several = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2")
+    small = nodes.select("node", "n", "hist")
+    groups = _dealt(known.join(several.select("sig"), "sig").join(small, "node"), "sig", BLOCK)
+    open_ = settle(groups.mapInArrow(_open_rows(num, den), "hub bigint, node bigint").distinct())
+    if not open_.limit(1).count():
+        return open_.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    sets = _token_sets(settle(open_.select("node").distinct()), rows, nodes, k)
+    named = open_.join(labels, open_["node"] == labels["labelled"], "left").select("hub", "node", F.coalesce("component", "node").alias("label"))
+    met = _dealt(named, "hub", TOKEN_BLOCK).join(sets, "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return settle_wide(met.mapInArrow(_links(num, den), "a bigint, b bigint").distinct())
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -330,8 +385,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _linked(settle(_filtered(stars, nodes, num, den)), rows, nodes, k, num, den)
     labels = components(links).select(F.col("node").alias("labelled"), "component")
-    open_ = settle(_open_pairs(members.select("sig", "node"), labels, nodes, num, den))
-    more = _linked(open_, rows, nodes, k, num, den) if open_.limit(1).count() else links.limit(0)
+    more = _open_links(members, labels, rows, nodes, k, num, den)
     final = components(links.union(more)) if more.limit(1).count() else labels.withColumnRenamed("labelled", "node")
     of_set = nodes.select(F.col("node").alias("s1"), "s2", "first").join(final.select(F.col("node").alias("s1"), "component"), "s1", "left")
     of_set = of_set.withColumn("component", F.coalesce("component", "s1"))
