@@ -27,12 +27,13 @@ from docspark.session import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 8
-STRIDE = 64
+STRIDE = 16
 _LEAST = -(2**63)
 
 
 def line_words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    """Words between blanks (space, tab, line feed, vertical tab, form feed, carriage return)."""
+    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
 def _halves(words: Column, n: Column) -> list[Column]:
@@ -44,12 +45,16 @@ def _halves(words: Column, n: Column) -> list[Column]:
     return out
 
 
+def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """id, mark, pos, line of every line."""
+    return docs.select(
+        F.coalesce(F.col(id).cast("bigint"), F.lit(_LEAST)).alias("id"), F.hash(F.col(text)).alias("mark"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")
+    )
+
+
 def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     """id, mark, pos, words, n of every line that has words."""
-    lines = docs.select(
-        F.coalesce(F.col(id).cast("bigint"), F.lit(_LEAST)).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")
-    )
-    words = lines.select("id", "mark", "pos", line_words(F.col("line")).alias("words"))
+    words = _lines(docs, id, text).select("id", "mark", "pos", line_words(F.col("line")).alias("words"))
     return words.withColumn("n", F.size("words")).filter("n > 0")
 
 
@@ -106,21 +111,22 @@ def _near(docs: DataFrame, distinct: DataFrame, id: str, text: str) -> DataFrame
     keys = long.select("h1", "h2", F.explode(sides).alias("x")).select("h1", "h2", "x.kind", "x.key")
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     open_ = passing(keys, masks(shared, "key"), "key").groupBy("h1", "h2").agg(F.collect_set("kind").alias("kinds"))
-    open_ = settle(open_.join(long.select("h1", "h2", "first"), ["h1", "h2"]))
-    heads = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / STRIDE).cast("int")), lambda q: F.xxhash64(F.slice("words", F.lit(1), q * STRIDE)))
-    tails = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / STRIDE).cast("int")), lambda q: F.xxhash64(F.slice("words", F.col("n") - q * STRIDE + 1, q * STRIDE)))
-    rows = _rows(docs, id, text)
-    rows = passing(rows.select("id", "mark", "pos", "words", "n", *_hashed(rows)).filter(F.col("n") >= MIN_WORDS), masks(open_, "h1"), "h1")
+    open_ = open_.join(long.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "first", "kinds", F.xxhash64("first").alias("spot"))
+    open_ = settle(open_)
     place = F.struct("id", "mark", "pos")
-    met = rows.withColumn("heads", heads).withColumn("tails", tails).withColumn("first", place).join(open_, ["h1", "h2", "first"])
-    lines = settle(met.dropDuplicates(["h1", "h2"]).select("h1", "h2", "first", "n", "words", "heads", "tails", "kinds"))
-    kind = lines.withColumn("kind", F.explode("kinds"))
-    variants = kind.select("h1", "h2", "first", F.explode(_variants(F.col("n"), F.col("kind") % 2, F.col("kind") >= 2)).alias("variant"))
+    rows = passing(_lines(docs, id, text).withColumn("spot", F.xxhash64(place)), masks(open_, "spot"), "spot")
+    rows = rows.select(place.alias("first"), line_words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
+    lines = settle(rows.join(open_.drop("spot"), "first").dropDuplicates(["h1", "h2"]))
+    runs = F.sequence(F.lit(0), F.floor(F.col("n") / STRIDE).cast("int"))
+    heads = F.transform(runs, lambda q: F.xxhash64(F.slice("words", F.lit(1), q * STRIDE)))
+    tails = F.transform(runs, lambda q: F.xxhash64(F.slice("words", F.col("n") - q * STRIDE + 1, q * STRIDE)))
+    hashed = lines.select("first", "n", "words", heads.alias("heads"), tails.alias("tails"), F.explode("kinds").alias("kind"))
+    variants = hashed.select("first", F.explode(_variants(F.col("n"), F.col("kind") % 2, F.col("kind") >= 2)).alias("variant"))
     least = variants.groupBy("variant").agg(F.min("first").alias("hub"), F.max("first").alias("far")).filter("hub < far").drop("far")
-    pairs = variants.join(least, "variant").filter("hub < first").select("h1", "h2", "hub").distinct()
-    words = lines.select("h1", "h2", "words")
+    pairs = variants.join(least, "variant").filter("hub < first").select("first", "hub").distinct()
     hubs = lines.select(F.col("first").alias("hub"), F.col("words").alias("hub_words"))
-    return pairs.join(words, ["h1", "h2"]).join(hubs, "hub").filter(_one_edit(F.col("words"), F.col("hub_words"))).select("h1", "h2").distinct()
+    met = pairs.join(lines.select("first", "h1", "h2", "words"), "first").join(hubs, "hub")
+    return met.filter(_one_edit(F.col("words"), F.col("hub_words"))).select("h1", "h2").distinct()
 
 
 def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,9 +135,9 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     halves = [F.when(F.col("n") >= MIN_WORDS, h).alias(f"k{i}") for i, h in enumerate(_halves(F.col("words"), F.col("n")))]
     lines = settle(rows.select("id", "mark", "pos", "n", *_hashed(rows), *halves))
     place = F.struct("id", "mark", "pos")
-    distinct = settle(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
+    distinct = settle(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.min("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
     near = _near(docs, distinct, id, text).withColumn("near", F.lit(True))
-    known = distinct.select("h1", "h2", "first", "last").join(near, ["h1", "h2"], "left").filter("near or first < last")
+    known = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").filter("near or times > 1")
     gone = lines.select("h1", "h2", "id", "mark", "pos").join(known, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("first") < place))
     return gone.groupBy("id", "mark").agg(F.collect_set("pos").alias("removed"))
 
@@ -139,7 +145,7 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with the text less its removed lines, and n_lines and n_removed (columns of these names are replaced)."""
     gone = removed_lines(docs, id, text).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
-    marked = docs.withColumn("__id", F.coalesce(F.col(id).cast("bigint"), F.lit(_LEAST))).withColumn("__mark", F.xxhash64(F.col(text)))
+    marked = docs.withColumn("__id", F.coalesce(F.col(id).cast("bigint"), F.lit(_LEAST))).withColumn("__mark", F.hash(F.col(text)))
     met = marked.join(gone, ["__id", "__mark"], "left")
     lines = F.split(F.col(text), "\n")
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed")))
