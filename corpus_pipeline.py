@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import language, line_dedup, mixing, ngram_join, packing
-from docspark.session import settle, ship_package
+from docspark.llm.scratch import settle
+from docspark.session import ship_package
 
 LEAST_SHARE = 0.5
 ORACLE_SQL = None

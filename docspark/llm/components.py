@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.session import settle
+from docspark.llm.scratch import settle
 
 
 def _neighbours(edges: DataFrame) -> DataFrame:

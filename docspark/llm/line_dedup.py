@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.session import settle
+from docspark.llm.scratch import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 8

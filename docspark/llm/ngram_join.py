@@ -33,9 +33,8 @@ from pyspark.sql import functions as F
 
 from docspark.llm import bitmap
 from docspark.llm.components import components
-from docspark.llm.scratch import settle_wide
+from docspark.llm.scratch import discard, settle, settle_wide
 from docspark.llm.words import mix, multipliers, pieces, words
-from docspark.session import settle
 
 COUNTERS = 1 << 18
 BLOCK = 1024
@@ -333,7 +332,9 @@ def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, num: in
     """The pairs (a, b) that link."""
     asked = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     sets = _token_sets(asked, rows, nodes, k)
-    return settle_wide(pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").mapInArrow(_verify(num, den), "a bigint, b bigint").distinct())
+    out = settle_wide(pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").mapInArrow(_verify(num, den), "a bigint, b bigint").distinct())
+    discard(sets)
+    return out
 
 
 def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
@@ -362,7 +363,9 @@ def _open_links(members: DataFrame, labels: DataFrame, rows: DataFrame, nodes: D
     sets = _token_sets(settle(open_.select("node").distinct()), rows, nodes, k)
     named = open_.join(labels, open_["node"] == labels["labelled"], "left").select("hub", "node", F.coalesce("component", "node").alias("label"))
     met = _dealt(named, "hub", TOKEN_BLOCK).join(sets, "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    return settle_wide(met.mapInArrow(_links(num, den), "a bigint, b bigint").distinct())
+    out = settle_wide(met.mapInArrow(_links(num, den), "a bigint, b bigint").distinct())
+    discard(sets)
+    return out
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -380,6 +383,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "
     sigs = settle_wide(rows.mapInArrow(_signatures(k, sizes, bounds, num, den, shared), "sig bigint, node bigint"))
     groups = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").drop("far")
     members = settle(sigs.join(groups, "sig").select("sig", "hub", "node").distinct())
+    discard(sigs)
     of_sets = profile.filter("counter is null and n > 0").groupBy("s1", "s2").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.first("hist").alias("hist"))
     nodes = settle(of_sets.withColumnRenamed("s1", "node"))
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()

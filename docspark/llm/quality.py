@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.words import pieces, words
-from docspark.session import settle
+from docspark.llm.scratch import settle
 
 STATISTICS = 20
 FEATURES = 256

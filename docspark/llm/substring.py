@@ -28,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm import bitmap
-from docspark.llm.scratch import settle_wide
+from docspark.llm.scratch import settle, settle_wide
 from docspark.llm.words import Words, inverse, mix, pieces, powers, words
-from docspark.session import settle
 
 LENGTH = 50
 ANCHOR = 16
