@@ -1,10 +1,14 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document's weighted terms are its word pairs (with marks for its start and end; long words count as several) and how often they occur, hashed to
-2^16 term numbers. For every term and sample, r and c are gamma(2, 1) and b uniform variables that depend on the term number and the sample only. With
-t = floor(ln(weight) / r + b), a sample is the (term, t) of smallest ln(c) - r (t - b) - r. Two documents agree in a sample with a
-probability that equals their generalised Jaccard similarity, sum of minima over sum of maxima of the weights. A fingerprint holds SAMPLES
-samples as 4 hex digits each; likeness is the share of equal ones.
+A document's weighted terms are its word pairs (with marks for its start and end; long words count as several) and how often they occur; a term is
+a hash below TERMS, so texts of any length have next to no two pairs in one term. For every term and sample, r and c are gamma(2, 1) and b uniform
+variables made of a hash of both. With t = floor(ln(weight) / r + b), a sample is the (term, t) of smallest ln(c) - r (t - b) - r. Two documents agree
+in a sample with a probability that equals their generalised Jaccard similarity, sum of minima over sum of maxima of the weights. A fingerprint
+holds SAMPLES samples as 4 hex digits each; likeness is the share of equal ones.
+
+r, b and c come from three independent exponential variables x, y and z: c = x + y, r = ln(c / x) + z, b = z / r. A term of weight 1 has t = 0
+and the value ln(x), so of such terms the one of smallest hash is taken without a logarithm. Terms are taken STEP at a time, so memory does not
+follow the length of a text times the samples.
 
 ``edited`` also fingerprints each text with its last quarter replaced by the start of the next document. Documents are dealt out in ranges of their ids that
 hold each next document too: a range's bounds come from the ids alone, the first document of a range is sent to the range before it as well, so
@@ -30,21 +34,15 @@ from pyspark.sql import functions as F
 from docspark.llm.words import mix, multipliers, pieces, words
 
 SAMPLES = 64
-TERMS = 1 << 16
+TERMS = 1 << 62
+STEP = 1 << 10
 LONG_WORD = 24
 _LEAST = -(2**63)
-_tables: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
 
 
-def variables(samples: int, seed: int) -> tuple[np.ndarray, ...]:
-    """r, b, ln(c) and the value of weight 1, each (terms, samples)."""
-    if (samples, seed) not in _tables:
-        rng = np.random.default_rng(seed)
-        r = rng.standard_gamma(2.0, (TERMS, samples)).astype(np.float32)
-        c = np.log(rng.standard_gamma(2.0, (TERMS, samples))).astype(np.float32)
-        b = rng.random((TERMS, samples), dtype=np.float32)
-        _tables[samples, seed] = r, b, c, c + r * b - r
-    return _tables[samples, seed]
+def variables(samples: int, seed: int) -> np.ndarray:
+    """Odd multipliers of the hashes that x, y and z are made of, (3, samples)."""
+    return multipliers(3 * samples, seed).reshape(3, samples)
 
 
 _PAIR = multipliers(2, 17)
@@ -59,43 +57,66 @@ def _cut_long(column: pa.Array) -> pa.Array:
 
 
 def term_weights(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Term numbers and weights of each text."""
+    """Terms and weights of each text."""
     found = words(_cut_long(column))
     out = []
     for a, b in zip(found.at[:-1].tolist(), found.at[1:].tolist()):
         if a == b:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             continue
         row = np.concatenate((_EDGE, found.hashes[a:b], _EDGE))
         terms = mix(row[:-1] * _PAIR[0] + row[1:] * _PAIR[1]) & np.uint64(TERMS - 1)
-        out.append(np.unique(terms.astype(np.int64), return_counts=True))
+        out.append(np.unique(terms, return_counts=True))
     return out
 
 
-def sample(terms: np.ndarray, weights: np.ndarray, tables: tuple[np.ndarray, ...]) -> np.ndarray:
+def _hashes(terms: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Hash of each sample and term, (samples, terms)."""
+    x = terms[None, :] * keys[:, None]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return x
+
+
+def _exponential(hashes: np.ndarray) -> np.ndarray:
+    """Exponential variables that grow with the hashes."""
+    return -np.log1p(-((hashes >> np.uint64(11)) + 0.5) * 2.0**-53)
+
+
+def sample(terms: np.ndarray, weights: np.ndarray, tables: np.ndarray) -> np.ndarray:
     """16 bits for each sample of a non-empty document."""
-    r, b, c, once = tables
-    best_term, best_t, best = None, None, None
+    rows = np.arange(tables.shape[1])
+    best_term, best_t, best = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
+    terms = terms.astype(np.uint64)
     single = terms[weights == 1]
     if len(single):
-        values = once[single]
-        at = values.argmin(axis=0)
-        best_term, best_t, best = single[at], np.zeros(len(at), np.int64), values[at, np.arange(len(at))]
+        least = np.full(len(rows), np.uint64(2**64 - 1))
+        for i in range(0, len(single), STEP):
+            part = single[i : i + STEP]
+            hashes = _hashes(part, tables[0])
+            at = hashes.argmin(axis=1)
+            own = hashes[rows, at]
+            less = own <= least
+            best_term, least = np.where(less, part[at], best_term), np.where(less, own, least)
+        best = np.log(_exponential(least))
     more = weights > 1
     if more.any():
-        terms, log = terms[more], np.log(weights[more]).astype(np.float32)[:, None]
-        rr, bb = r[terms], b[terms]
-        t = np.floor(log / rr + bb)
-        values = c[terms] - rr * (t - bb) - rr
-        at = values.argmin(axis=0)
-        columns = np.arange(len(at))
-        own = terms[at], t[at, columns].astype(np.int64), values[at, columns]
-        if best is None:
-            best_term, best_t, best = own
-        else:
-            less = own[2] < best
-            best_term, best_t = np.where(less, own[0], best_term), np.where(less, own[1], best_t)
-    return (mix(best_term.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + best_t.astype(np.uint64)) & np.uint64(0xFFFF)).astype(">u2")
+        terms, logs = terms[more], np.log(weights[more])
+        for i in range(0, len(terms), STEP):
+            part, log = terms[i : i + STEP], logs[i : i + STEP]
+            x, y, z = (_exponential(_hashes(part, keys)) for keys in tables)
+            c = x + y
+            r = np.log(c / x) + z
+            b = z / r
+            t = np.floor(log / r + b)
+            values = np.log(c) - r * (t - b) - r
+            at = values.argmin(axis=1)
+            own = values[rows, at]
+            less = own < best
+            best_term, best_t, best = np.where(less, part[at], best_term), np.where(less, t[rows, at].astype(np.int64), best_t), np.where(less, own, best)
+    return (mix(best_term * np.uint64(0x9E3779B97F4A7C15) + best_t.astype(np.uint64)) & np.uint64(0xFFFF)).astype(">u2")
 
 
 def fingerprints(column: pa.Array, samples: int, seed: int) -> list[str]:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import BASE, docs, odd_rows, words
 from pyspark.sql import functions as F
@@ -30,6 +31,26 @@ def test_likeness_is_generalised_jaccard():
     assert (fingerprint.sample(terms, w, tables) == fingerprint.sample(terms[::-1], w, tables)).all()
 
 
+def test_likeness_of_long_texts():
+    """Terms of long texts do not meet by chance, and texts longer than a step agree as their word pairs do."""
+    texts = [" ".join(f"{name}{i}" for i in range(200_000)) for name in "ab"]
+    a, b, both, twice = fingerprint.fingerprints(pa.array([*texts, " ".join(texts), " ".join(texts[:1] * 2)]), 64, 1)
+    assert fingerprint.likeness(a, b) < 0.05
+    assert abs(fingerprint.likeness(a, both) - 0.5) < 0.22 and abs(fingerprint.likeness(a, twice) - 0.5) < 0.22
+    assert fingerprint.likeness(b, twice) < 0.05
+
+
+def test_samples_are_unbiased():
+    """Over many samples the share of equal ones comes close to the generalised Jaccard similarity."""
+    rng, tables = np.random.default_rng(3), fingerprint.variables(4096, 7)
+    for n in (40, 3000):
+        terms = rng.choice(fingerprint.TERMS, n, replace=False)
+        a, b = rng.integers(0, 9, n), rng.integers(0, 9, n)
+        want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        same = (fingerprint.sample(terms[a > 0], a[a > 0], tables) == fingerprint.sample(terms[b > 0], b[b > 0], tables)).mean()
+        assert abs(same - want) < 0.04
+
+
 def brute_edited(rows):
     order = sorted(((-(2**63) if r[0] is None else r[0], r[1] or "") for r in rows))
     out = []
