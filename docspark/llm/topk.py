@@ -9,8 +9,8 @@ selected from the most significant slice downward; rows that tie down to the las
 Index blocks and blocks of queries meet in a grid of row groups and query groups of bounded size; each cell keeps the k best rows of
 a query over all its blocks, so pairs never become rows.
 
-Cases: null vectors, vectors with a null, NaN or infinite component or one whose integer does not fit 32 bits (its scores would not fit
-a long), and rows without id take no part; a query meets vectors of its own length only; rows with the query's id are its own and never
+Cases: null vectors, vectors with a null, NaN or infinite component, and rows without id take no part; a finite component whose integer does not
+fit a long, or a score among the results that does not, stops the query; a query meets vectors of its own length only; rows with the query's id are its own and never
 candidates; repeated rows of other ids are candidates one by one; a query row that is repeated is answered once; with fewer than k
 candidates all are returned; an empty table gives no rows; other columns are not read.
 """
@@ -18,6 +18,7 @@ candidates all are returned; an empty table gives no rows; other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,22 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def quantised(vector: Column, scale: int) -> Column:
     """array<bigint> of floor(scale * x), or null where the vector takes no part."""
-    wide = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < 2.0**31))
-    return F.when(fine, wide)
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when((scaled >= -(2.0**63)) & (scaled < 2.0**63), F.floor(scaled)).otherwise(F.raise_error("a component times the scale does not fit a long").cast("bigint"))
+
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return F.when(fine, F.transform(vector, whole))
 
 
 def _bitmaps(values: np.ndarray, width: int) -> np.ndarray:
-    """(attributes, digits, words) bitmaps of an (rows, attributes) matrix of non-negative integers."""
+    """(attributes, digits, words) bitmaps of an (rows, attributes) matrix of unsigned integers."""
     rows, attributes = values.shape
     words = -(-rows // 64)
     out = np.zeros((attributes, width, words * 8), dtype=np.uint8)
     for digit in range(width):
-        packed = np.packbits(((values >> digit) & 1).astype(np.uint8).T, axis=1, bitorder="little")
+        packed = np.packbits(((values >> np.uint64(digit)) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
         out[:, digit, : packed.shape[1]] = packed
     return out.view(np.uint64)
 
@@ -53,8 +58,9 @@ def _block(ids: np.ndarray, values: np.ndarray) -> dict:
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order]
     low = int(values.min()) if values.size else 0
-    width = max(1, int(values.max() - low).bit_length()) if values.size else 1
-    return {"dim": values.shape[1], "low": low, "width": width, "ids": ids.tobytes(), "slices": _bitmaps(values - low, width).tobytes()}
+    width = max(1, (int(values.max()) - low).bit_length()) if values.size else 1
+    above = values.astype(np.uint64) - np.uint64(low % 2**64)
+    return {"dim": values.shape[1], "low": low, "width": width, "ids": ids.tobytes(), "slices": _bitmaps(above, width).tobytes()}
 
 
 _INDEX = pa.schema([("dim", pa.int32()), ("low", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("slices", pa.binary())])
@@ -170,7 +176,8 @@ def _cell(k: int):
             found.sort(key=lambda x: (-x[0], x[1]))
             out += [(q["query_id"], q["mark"], vec, score) for score, vec in found[:k]]
         columns = list(zip(*out)) or [[], [], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "mark", "vec_id", "score"])
+        kinds = [pa.int64()] * 3 + [pa.decimal128(38, 0)]
+        return pa.table([pa.array([Decimal(x) for x in c] if kind == kinds[3] else c, kind) for c, kind in zip(columns, kinds)], names=["query_id", "mark", "vec_id", "score"])
 
     return run
 
@@ -186,7 +193,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vect
     right = asked.select(
         F.size("q").alias("dim"), "query_id", F.xxhash64("q").alias("mark"), "q", F.pmod(F.xxhash64("query_id", "q"), F.lit(columns)).cast("int").alias("c"),
     ).withColumn("r", every(rows))
-    best = left.groupBy("dim", "r", "c").cogroup(right.groupBy("dim", "r", "c")).applyInArrow(_cell(k), "query_id bigint, mark bigint, vec_id bigint, score bigint")
+    best = left.groupBy("dim", "r", "c").cogroup(right.groupBy("dim", "r", "c")).applyInArrow(_cell(k), "query_id bigint, mark bigint, vec_id bigint, score decimal(38,0)")
     order = W.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    fits = F.col("score").between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**63 - 1)))
+    score = F.when(fits, F.col("score").cast("bigint")).otherwise(F.raise_error("a score does not fit a long").cast("bigint"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))

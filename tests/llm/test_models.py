@@ -160,6 +160,27 @@ def test_top_k(spark, monkeypatch, span):
     assert topk.top_k(topk.build_index(df.limit(0)), df.limit(0), 5).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(20)] + [(100, [1e7, 0.5, -1.0, 2.0]), (101, [-3e9, 1e12, 0.0, 1.0]), (102, [2.0**50, -(2.0**51), 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(x) for x in np.floor(256 * np.array(v))] for i, v in rows}
+    got = rows_of(topk.top_k(topk.build_index(df), df.filter("vec_id in (0, 7)").withColumn("embedding", F.transform("embedding", lambda x: x / 100)), 30), "query_id", "rank", "vec_id", "score")
+    want = []
+    for q in (0, 7):
+        weights = [int(x) for x in np.floor(256 * (np.array(rows[q][1]) / 100))]
+        best = sorted((-sum(a * b for a, b in zip(weights, v)), i) for i, v in ints.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want, key=str) and max(abs(r[3]) for r in got) >= 2**58
+    for vector in ([1e17], [1e10]):  # a component and a score that do not fit
+        one = spark.createDataFrame([(1, vector), (2, vector)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.top_k(topk.build_index(one), one, 5).collect()
+    # a score that does not fit is no reason to stop where better ones are the result
+    low = spark.createDataFrame([(1, [1e10]), (2, [-1e10]), (3, [1e-2])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(topk.build_index(low), low.filter("vec_id = 1"), 1).collect()] == [(3, 2 * 2_560_000_000_000)]
+
+
 def test_signed_digits():
     for weight in range(-70, 70):
         assert sum(sign << place for place, sign in topk.signed_digits(weight)) == weight
