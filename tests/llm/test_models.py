@@ -268,6 +268,31 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(docs(spark, [])).collect() == []
 
 
+def quadratic_padding(lengths, counts, buckets):
+    """Least padding with at most so many buckets, by every split."""
+    best = [0] + [float("inf")] * len(lengths)
+    for _ in range(buckets):
+        cost = lambda i, j: sum(counts[x] * (lengths[j - 1] - lengths[x]) for x in range(i, j))
+        best = [0] + [min(best[i] + cost(i, j) for i in range(j)) for j in range(1, len(lengths) + 1)]
+    return best[-1]
+
+
+def test_bounds_of_long_rows_are_optimal(spark):
+    rng = np.random.default_rng(9)
+    for _ in range(10):
+        lengths = np.sort(rng.choice(5000, 40, replace=False) + 1)
+        counts = rng.integers(1, 30, 40)
+        for k in (1, 3, 7, 40, 50):
+            bounds = packing.choose_bounds(lengths, counts, k)
+            assert len(bounds) <= k and padding(lengths, counts, bounds) == quadratic_padding(lengths.tolist(), counts.tolist(), min(k, 40))
+    long = [257] * 5 + [259] * 3 + [1001, 1003, 1003, 2000, 3333, 3334, 5001]
+    got = packing.pack(docs(spark, [(i, "a " * n, "en", "a", 1) for i, n in enumerate(long)]), buckets=4).collect()
+    lengths, counts = np.unique(long, return_counts=True)
+    assert sum(r.padding for r in got) == quadratic_padding(lengths.tolist(), counts.tolist(), 4) and {r.bound for r in got} <= set(long)
+    same = packing.pack(docs(spark, [(i, "a " * 257, "en", "a", 1) for i in range(9)])).collect()
+    assert {(r.bound, r.padding) for r in same} == {(257, 0)}
+
+
 def test_long_lengths_step_up(spark):
     rows = spark.createDataFrame([(n,) for n in (0, 1, 256, 257, 1000, 99999, 10**9)], "n long").select("n", packing.step_up(F.col("n")).alias("up")).collect()
     assert all(r.n <= r.up <= max(256, r.n * (1 + 1 / packing.STEPS)) and (r.n > 256 or r.n == r.up) for r in rows)
