@@ -34,10 +34,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 80 % of equal 5-word shingles, the one with the smallest id stays."""
+    """Of the rows linked by 80 % of equal 5-word shingles, one stays: the one with the smallest id (a null id only where there is no other), then text hash.
+
+    Rows without a word all stay. Rows with the id and text of one that stays are the same document again; only these few are shuffled by their key.
+    """
     ship_package(spark)
-    kept = ngram_join.join(docs, 5, 80, 100).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    joined = ngram_join.join(docs, 5, 80, 100, marked=True).select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"), "component")
+    rows = joined.groupBy("component", "kept_id", "kept_mark").agg(F.count("*").alias("times"))
+    order = F.struct(F.col("kept_id").isNull().alias("null_id"), "kept_id", "kept_mark", "times")
+    heads = rows.filter("component is not null").groupBy("component").agg(F.min(order).alias("head")).select("head.kept_id", "head.kept_mark", "head.times")
+    kept = settle(heads.union(rows.filter("component is null").select("kept_id", "kept_mark", F.lit(1).cast("bigint"))))
+    repeated = settle(kept.filter("times > 1").drop("times"))
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("mark"))
+    met = F.col("doc.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    once = marked.join(kept.filter("times = 1").drop("times"), met, "left_semi")
+    again = marked.join(repeated, met, "left_semi").select("*", F.col("doc.doc_id").alias("doc_id")).dropDuplicates(["doc_id", "mark"])
+    return once.select("doc.*").union(again.select("doc.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,8 +142,9 @@ class Prefixes:
         return out
 
 
-def _profile(k: int):
-    """Rows of two kinds: a document's size and set name, and the task's counters."""
+def _profile(k: int, marked: bool):
+    """Rows of two kinds: a document's size and set name (and its mark, if rows have one), and the task's counters."""
+    more = ["mark"] if marked else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
@@ -155,12 +156,13 @@ def _profile(k: int):
                 [
                     pa.nulls(len(sets), pa.int32()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()),
                     pa.array([m[1] for m in marks], pa.int64()), pa.array([histogram(s) if len(s) else None for s in sets], pa.binary()),
+                    *(batch.column(c) for c in more),
                 ],
-                names=["counter", "id", "n", "s1", "s2", "hist"],
+                names=["counter", "id", "n", "s1", "s2", "hist", *more],
             )
         at = np.flatnonzero(counters)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), none, pa.array(counters[at]), none, none, pa.nulls(len(at), pa.binary())], names=["counter", "id", "n", "s1", "s2", "hist"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), none, pa.array(counters[at]), none, none, pa.nulls(len(at), pa.binary()), *(none for _ in more)], names=["counter", "id", "n", "s1", "s2", "hist", *more])
 
     return run
 
@@ -368,12 +370,18 @@ def _open_links(members: DataFrame, labels: DataFrame, rows: DataFrame, nodes: D
     return out
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """id, n_shingles, component_id of every row; ``k`` words a shingle, similarity ``num / den``."""
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (1, 2), marked: bool = False) -> DataFrame:
+    """id, n_shingles, component_id of every row; ``k`` words a shingle, similarity ``num / den``.
+
+    ``marked`` adds mark, the xxhash64 of the row's text, and component, which names the row's component also where ids repeat or are null (null for a row
+    without tokens).
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    profile = settle_wide(rows.mapInArrow(_profile(k), "counter int, id bigint, n bigint, s1 bigint, s2 bigint, hist binary"))
-    own = profile.filter("counter is null").select("id", "n", "s1", "s2")
+    texts, mark = (rows.withColumn("mark", F.xxhash64("text")), ["mark"]) if marked else (rows, [])
+    schema = "counter int, id bigint, n bigint, s1 bigint, s2 bigint, hist binary" + (", mark bigint" if marked else "")
+    profile = settle_wide(texts.mapInArrow(_profile(k, marked), schema))
+    own = profile.filter("counter is null").select("id", "n", "s1", "s2", *mark)
     counters = np.zeros(COUNTERS, np.int64)
     for row in profile.filter("counter is not null").groupBy("counter").agg(F.sum("n").alias("n")).toArrow().to_batches():
         counters[row.column("counter").to_numpy()] = row.column("n").to_numpy()
@@ -394,6 +402,6 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "
     of_set = nodes.select(F.col("node").alias("s1"), "s2", "first").join(final.select(F.col("node").alias("s1"), "component"), "s1", "left")
     of_set = of_set.withColumn("component", F.coalesce("component", "s1"))
     least = of_set.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = of_set.join(least, "component").select("s1", "s2", "component_id")
+    named = of_set.join(least, "component").select("s1", "s2", "component_id", *(["component"] if marked else []))
     out = own.join(named, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *((*mark, "component") if marked else ()))

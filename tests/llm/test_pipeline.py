@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from helpers import SCHEMA, docs, odd_rows, words
+from helpers import SCHEMA, docs, odd_rows, sentence, words
 from test_dedup import brute_components, brute_lines, copies
 
 import corpus_pipeline as pipeline
@@ -29,6 +29,15 @@ def test_stages(spark):
     assert all(df.columns == kept.columns for df in (lines, single, mixed))
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, near, b, c, d = sentence(0, 60), sentence(0, 60, p59="x"), sentence(60, 120), sentence(20, 80), " ".join(f"z{i}" for i in range(40))
+    texts = [(1, a), (1, a), (2, near), (2, b), (2, b), (None, near), (None, c), (None, c), (None, d), (None, f"{d} y"), (4, f"{d} y"), (5, ""), (5, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], SCHEMA)
+    got = pipeline.join_near_copies(spark, df.repartition(3), "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (4, f"{d} y"), (5, ""), (5, ""), (None, None)], key=str)
+    assert got.columns == df.columns
+
+
 def test_odd_and_empty_tables(spark):
     for rows in (odd_rows(), []):
         df = docs(spark, rows)
