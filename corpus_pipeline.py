@@ -13,16 +13,23 @@ from docspark.llm import language, line_dedup, mixing, ngram_join, packing
 from docspark.llm.scratch import settle
 from docspark.session import ship_package
 
-LEAST_SHARE = 0.5
+LEAST_FIT = 0.0
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of which no language explains LEAST_SHARE of the words, go; a missing lang is filled in."""
+    """Documents without a letter, or whose trigrams the learned languages together explain less than chance does, go; a missing lang is filled in.
+
+    A text in any number of learned languages stays. With nothing to learn from, every text with a letter stays and a missing lang becomes ``und``.
+    """
     ship_package(spark)
+    model = language.fit(docs)
+    if not model.languages:
+        known = docs.filter(F.col("text").rlike(r"\p{L}"))
+        return known.select(*(F.coalesce("lang", F.lit("und")).alias("lang") if c == "lang" else c for c in docs.columns))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    found = language.predict(rows, language.fit(docs), ["doc"])
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    found = language.predict(rows, model, ["doc"], fitted=True)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("fit") >= LEAST_FIT))
     lang = F.coalesce("doc.lang", "lang_pred").alias("lang")
     return kept.select(*(lang if c == "lang" else F.col(f"doc.{c}") for c in docs.columns))
 

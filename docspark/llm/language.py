@@ -144,7 +144,15 @@ def infer(logs: np.ndarray, at: np.ndarray) -> np.ndarray:
     return shares
 
 
-def _predict(model):
+def fits(logs: np.ndarray, lengths: np.ndarray, shares: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-likelihood per trigram of each document's mixture, less that of a background where all trigram buckets are alike."""
+    most = logs.max(axis=1)
+    mixed = (np.exp(np.maximum(logs - most[:, None], -80)) * np.repeat(shares, np.diff(at), axis=0)).sum(axis=1) + 1e-300
+    sums = _sums(np.stack((np.log(mixed) + most, lengths), axis=1), at)
+    return sums[:, 0] / np.maximum(sums[:, 1], 1) + np.log(BUCKETS)
+
+
+def _predict(model, fitted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, logs = model.value.languages, model.value.logs
         for batch in pieces(batches, "text", PIECE * 4 // max(4, len(languages))):
@@ -154,28 +162,36 @@ def _predict(model):
             if languages and len(grams):
                 total = np.zeros((len(grams) + 1, len(languages)))
                 np.cumsum(logs[grams], axis=0, out=total[1:])
-                shares = infer(total[np.append(begin[1:], len(grams))] - total[begin], found.at)
+                of_words = total[np.append(begin[1:], len(grams))] - total[begin]
+                shares = infer(of_words, found.at)
+                fit_of = fits(of_words, np.diff(np.append(begin, len(grams))), shares, found.at) if fitted else None
             else:
                 shares = np.zeros((len(found), max(1, len(languages))))
+                fit_of = np.zeros(len(found))
             known = letters & (shares.max(axis=1) > 0)
             best = shares.argmax(axis=1)
             names = [languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
             top = np.where(known, np.clip(shares[np.arange(len(best)), best], 0, 1), 0.0)
             mixed = [",".join(f"{languages[i]}:{row[i]:.3f}" for i in np.argsort(-row, kind="stable") if row[i] >= 0.0005) if k else "" for row, k in zip(shares, known.tolist())]
+            more = [pa.array(fit_of, pa.float64())] if fitted else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(names, pa.string()), pa.array(top, pa.float64()), pa.array(mixed, pa.string())], names=["row", "lang_pred", "score", "languages"]
+                [batch.column("row"), pa.array(names, pa.string()), pa.array(top, pa.float64()), pa.array(mixed, pa.string()), *more],
+                names=["row", "lang_pred", "score", "languages", *(["fit"] if fitted else [])],
             )
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row with lang_pred, score and languages (the shares of the chosen set), predicted from the text alone."""
+def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", fitted: bool = False) -> DataFrame:
+    """The columns ``keep`` of every row with lang_pred, score and languages (the shares of the chosen set), predicted from the text alone.
+
+    ``fitted`` adds fit, see ``fits``: below 0 the trigrams are less likely in the learned languages than at random.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     row = F.struct(*(F.col(c) for c in keep)).alias("row")
     rows = docs.select(row, F.col(text).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, languages string"
-    return rows.mapInArrow(_predict(shared), schema).select("row.*", "lang_pred", "score", "languages")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, languages string" + (", fit double" if fitted else "")
+    return rows.mapInArrow(_predict(shared, fitted), schema).select("row.*", "lang_pred", "score", "languages", *(["fit"] if fitted else []))
 
 
 def held_out(id: Column) -> Column:

@@ -29,6 +29,20 @@ def test_stages(spark):
     assert all(df.columns == kept.columns for df in (lines, single, mixed))
 
 
+def test_language_id_keeps_what_learned_languages_explain(spark):
+    rng = random.Random(4)
+    tongues = {"xx": ["ka", "ti", "ro", "mu"], "yy": ["shl", "brn", "göt", "wef"], "zz": ["éa", "ou", "ieu", "ya"]}
+    word = lambda t: "".join(rng.choices(tongues[t], k=rng.randint(1, 4)))
+    rows = [(i, " ".join(word(t) for _ in range(40)), t, "s", 1) for i, t in enumerate(rng.choices(list(tongues), k=150))]
+    mixed = " ".join([word("xx") for _ in range(40)] + [word("yy") for _ in range(30)] + [word("zz") for _ in range(30)])
+    odd = [(900, mixed, None, "s", 1), (901, "Ψξφ ΩΔΘ ЖЩЮ жщю", None, "s", 1), (902, "12 -", None, "s", 1), (903, None, "xx", "s", 1)]
+    got = {r.doc_id: r.lang for r in pipeline.language_id(spark, spark.createDataFrame(rows + odd, SCHEMA), "").collect()}
+    assert set(got) == {r[0] for r in rows} | {900} and got[900] == "xx"
+    unknown = [(r[0], r[1], None, "s", 1) for r in rows + odd]
+    plain = pipeline.language_id(spark, spark.createDataFrame(unknown, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in plain) == sorted({r[0] for r in rows} | {900, 901}) and {r.lang for r in plain} == {"und"}
+
+
 def test_one_row_of_each_group_stays(spark):
     a, near, b, c, d = sentence(0, 60), sentence(0, 60, p59="x"), sentence(60, 120), sentence(20, 80), " ".join(f"z{i}" for i in range(40))
     texts = [(1, a), (1, a), (2, near), (2, b), (2, b), (None, near), (None, c), (None, c), (None, d), (None, f"{d} y"), (4, f"{d} y"), (5, ""), (5, ""), (None, None)]
