@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import fingerprint, language, line_dedup, mixing, ngram_join, oracles, packing, quality, sharding, substring, topk
+from docspark.llm import bpe, fingerprint, language, line_dedup, mixing, ngram_join, oracles, packing, quality, sharding, substring, topk
 from docspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,13 @@ def op8_fourier_quality(spark, sf_dir):
 def op9_length_buckets(spark, sf_dir):
     """All documents in batches of 16 optimal length buckets."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_byte_bpe(spark, sf_dir):
+    """Token ids of every document, and what they decode to."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), tokenizer, ["doc_id"])
+    found = bpe.decode(ids, tokenizer, ["doc_id", "ids"])
+    n_tokens = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
+    return found.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
