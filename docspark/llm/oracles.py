@@ -134,3 +134,103 @@ WITH l AS (
 )
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, texts.text FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN texts USING (r)
 """
+
+_BYTE_STEP = """byte_step AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))
+)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a text beside ``byte_step``."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+
+TRIE = rf"""
+WITH {_BYTE_STEP}, turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS k,
+    struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT conv_id, list(turn ORDER BY k) AS ts, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM turns, byte_step GROUP BY conv_id, t
+), seqs AS (
+  SELECT own.conv_id, list_concat(coalesce(base.ts[1 : own.h], []), own.ts[own.h + 1 :]) AS ts
+  FROM own LEFT JOIN own base ON base.conv_id = own.conv_id - own.conv_id % 20
+), members AS (
+  SELECT conv_id, d, len(ts) AS n_turns, md5(CAST(to_json(ts[1 : d]) AS VARCHAR)) AS name,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(ts[d].x, '[^ 	-
+]+')) END AS words
+  FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM seqs)
+), nodes AS (
+  SELECT d, name, min(conv_id) AS rep, count(*) AS n, any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n_turns = d), '')) AS ends
+  FROM members GROUP BY d, name
+), up AS (
+  SELECT v.d, v.name, p.rep AS parent, p.name AS above FROM nodes v JOIN members m ON m.conv_id = v.rep AND m.d = v.d - 1 JOIN nodes p ON p.d = m.d AND p.name = m.name
+), kids AS (SELECT d - 1 AS d, above AS name, count(*) AS n_children FROM up GROUP BY ALL
+), sums AS (
+  SELECT m.d, m.name, sum(CASE WHEN k.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((u.n - 1) * u.words) AS saved
+  FROM nodes u LEFT JOIN kids k USING (d, name) JOIN members m ON m.conv_id = u.rep AND m.d <= u.d GROUP BY ALL
+)
+SELECT rep AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, CAST(n AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM nodes LEFT JOIN up USING (d, name) LEFT JOIN kids USING (d, name) JOIN sums USING (d, name)
+"""
+
+
+def _put(value: str, cost: str, initial: str) -> str:
+    """A cost in 12 digits and an audit, with an edit put before it; '~' is out of reach."""
+    return f"CASE WHEN {value} = '~' THEN '~' ELSE printf('%012d', CAST({value}[1:12] AS BIGINT) + {cost}) || '{initial}' || {value}[13:] END"
+
+
+def _kept(state: int) -> str:
+    """Least of deleting, keeping and rewriting the row in a state, before insertions."""
+    legal, to = {0: ("'s', 'u'", "CASE WHEN i = 's' THEN v1 ELSE v2 END"), 1: ("'u'", "v2"), 2: ("'a'", "v3"), 3: ("'u'", "v2")}[state]
+    keep = f"CASE WHEN i IN ({legal}) AND NOT must_go THEN {_put(f'({to})', 'more', 'K')} ELSE '~' END"
+    rerole = f"CASE WHEN NOT must_go THEN {_put('v3' if state == 2 else 'v2', 'more + 1', 'R')} ELSE '~' END"
+    return f"least({_put(f'v{state}', '2', 'D')}, {keep}, {rerole})"
+
+
+REPAIR = rf"""
+WITH RECURSIVE {_BYTE_STEP}, hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault FROM conversations, byte_step
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE fault <> 0
+), placed AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k,
+    NOT regexp_matches(text, '[^ 	-
+]') AS blank FROM hurt
+), marked AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY g, role, text ORDER BY k) > 1 AS again FROM placed
+), seen AS (
+  SELECT *, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut, left(role, 1) AS i,
+    lag(left(role, 1)) OVER (PARTITION BY g ORDER BY k) AS j FROM marked
+), counts AS (
+  SELECT g, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+    count(*) FILTER (cut) AS truncated, count(*) FILTER (j IS NOT NULL AND j || i NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM seen GROUP BY g
+), step AS (
+  SELECT g, n + 1 AS k, printf('%012d', 0) AS v0, printf('%012d', 10) || 'II' AS v1, printf('%012d', 5) || 'I' AS v2, printf('%012d', 0) AS v3 FROM counts
+  UNION ALL
+  SELECT g, k, least(b0, {_put("w2", "5", "I")}), least(b1, {_put("w2", "5", "I")}), w2, w3 FROM (
+    SELECT *, least(b2, {_put("b3", "5", "I")}) AS w2, least(b3, {_put("b2", "5", "I")}) AS w3 FROM (
+      SELECT g, k, {", ".join(f"{_kept(q)} AS b{q}" for q in range(4))} FROM (
+        SELECT s.g, s.k - 1 AS k, v0, v1, v2, v3, i, blank OR again AS must_go, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM step s JOIN seen r ON r.g = s.g AND r.k = s.k - 1)))
+), best AS (SELECT g, CAST(v0[1:12] AS BIGINT) AS cost, v0[13:] AS audit FROM step WHERE k = 1
+), letters AS (SELECT g, pos, audit[pos] AS ch FROM (SELECT g, audit, unnest(range(1, length(audit) + 1)) AS pos FROM best)
+), rows_of AS (SELECT g, pos, ch, sum(CASE WHEN ch = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY pos) AS k FROM letters
+), outs AS (
+  SELECT o.g, o.pos, ch, role, text, row_number() OVER w AS nth, first_value(ch = 'K' AND left(role, 1) = 's') OVER w AS led
+  FROM rows_of o LEFT JOIN seen r ON r.g = o.g AND r.k = o.k AND ch <> 'I' WHERE ch <> 'D' WINDOW w AS (PARTITION BY o.g ORDER BY o.pos)
+), texts AS (
+  SELECT g, string_agg(CASE WHEN ch = 'K' THEN role WHEN (nth - CASE WHEN led THEN 2 ELSE 1 END) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN ch = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS body
+  FROM outs GROUP BY g
+), found AS (SELECT counts.*, cost, audit, body FROM counts JOIN best USING (g) LEFT JOIN texts USING (g)
+)
+SELECT o.conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))},
+  coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import bpe, fingerprint, language, line_dedup, mixing, ngram_join, oracles, packing, quality, sharding, substring, topk
+from docspark.llm import bpe, fingerprint, language, line_dedup, mixing, ngram_join, oracles, packing, quality, repair, sharding, substring, topk, trie
 from docspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,16 @@ def op11_byte_bpe(spark, sf_dir):
     found = bpe.decode(ids, tokenizer, ["doc_id", "ids"])
     n_tokens = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
     return found.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query(oracles.REPAIR)
+def op12_structure_repair(spark, sf_dir):
+    """All conversations after planted damage: their faults, the cheapest repair and what it gives."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(rows, repair.damage(rows))
+
+
+@query(oracles.TRIE)
+def op13_prefix_trie(spark, sf_dir):
+    """The prefix trie of all conversations after each took the head of the first one of its twenty."""
+    return trie.nodes(*trie.with_common_heads(trie.sequences(table(spark, sf_dir, "conversations"))))
