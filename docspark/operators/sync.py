@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark import profiles as P
+from docspark.sources.snapshots import SnapshotTable
 
 CLASSES = ("added", "modified", "deleted", "stale_code", "unchanged", "skipped")
 REINDEXED = ("added", "modified", "stale_code")
@@ -56,19 +57,28 @@ def reindex_set(changes: DataFrame) -> DataFrame:
     return changes.filter(F.col("change").isin(*REINDEXED)).select("path").distinct()
 
 
-def apply_chunks(changes: DataFrame, old: DataFrame, new: DataFrame, status: DataFrame) -> DataFrame:
-    """Chunk table after the changes; ``old`` and ``new`` carry a path, ``status`` (path, status) the outcome per file.
+def _replaced(changes: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths whose chunks go, and paths whose new chunks come; ``status`` (path, status) is the outcome per file.
 
-    The chunks of a file are replaced only when its new ones are there or it is known to be empty: a file that failed
-    keeps what it had.
+    The chunks of a file are replaced only when its new ones are there or it is known to be empty: a file that failed keeps what it had.
     """
     outcome = changes.join(status.select("path", "status"), "path", "left")
-    replaced = outcome.filter(
-        (F.col("change") == "deleted") | (F.col("change").isin(*REINDEXED) & F.col("status").isin("ok", "parse_empty", "chunk_empty"))
-    )
-    fresh = outcome.filter(F.col("change").isin(*REINDEXED) & (F.col("status") == "ok"))
-    kept = old.join(replaced.select("path"), "path", "left_anti")
-    return kept.unionByName(new.join(fresh.select("path"), "path", "left_semi").select(*old.columns))
+    again = F.col("change").isin(*REINDEXED)
+    gone = outcome.filter((F.col("change") == "deleted") | (again & F.col("status").isin("ok", "parse_empty", "chunk_empty")))
+    return gone.select("path"), outcome.filter(again & (F.col("status") == "ok")).select("path")
+
+
+def apply_chunks(changes: DataFrame, old: DataFrame, new: DataFrame, status: DataFrame) -> DataFrame:
+    """Chunk rows after the changes; ``old`` and ``new`` carry a path."""
+    gone, fresh = _replaced(changes, status)
+    kept = old.join(gone, "path", "left_anti")
+    return kept.unionByName(new.join(fresh, "path", "left_semi").select(*old.columns))
+
+
+def apply_to_table(table: SnapshotTable, changes: DataFrame, new: DataFrame, status: DataFrame) -> None:
+    """The same in a chunk table whose key is the path, as one snapshot: only the buckets of changed files are read and written."""
+    gone, fresh = _replaced(changes, status)
+    table.upsert(new.join(fresh, "path", "left_semi"), gone)
 
 
 def apply_manifest(changes: DataFrame, manifest: DataFrame, listing: DataFrame, hashes: DataFrame, status: DataFrame) -> DataFrame:
@@ -113,6 +123,11 @@ def upsert(index: DataFrame, incoming: DataFrame, embeddings: DataFrame, key: st
     return index.join(embedded.select(key), key, "left_anti").unionByName(embedded.select(*index.columns))
 
 
+def upsert_table(table: SnapshotTable, incoming: DataFrame, embeddings: DataFrame) -> None:
+    """The same in a chunk table whose key is the chunk's id: only the buckets of the incoming rows are read and written."""
+    table.upsert(incoming.join(embeddings.select(table.key), table.key, "left_semi"))
+
+
 def without_vector(incoming: DataFrame, embeddings: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The ids of incoming rows that an upsert leaves out, because they have no embedding."""
     return incoming.select(key).join(embeddings.select(key), key, "left_anti")

@@ -7,6 +7,7 @@ into its own lines), so the structural operators run over the whole text of the
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,3 +179,8 @@ def merged_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str, sf_dir: str) -> str:
     """A folder of this application for a written result of one table set."""
     return scratch_path(spark, f"{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A folder of this application that nothing has written yet."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")

@@ -14,6 +14,7 @@ from docspark.plans.registry import query
 from docspark.plans.reports import TOXIC_FILES, toxic_files
 from docspark.plans.structure import RAW_PAGES, raw_documents
 from docspark.sources import files, sinks, tables
+from docspark.sources.snapshots import SnapshotTable
 
 CHUNK_SQL = "SELECT chunk_id, doc_name, doc_type, article_no, article_title, page, source_file, md5(text) AS text_md5 FROM "
 
@@ -136,8 +137,10 @@ def upsert_chunks(spark, sf):
     d = D.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "lang", "text")
     incoming = d.select("chunk_id", F.concat(F.upper("lang"), "text").alias("text"))
     vectors = D.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"))
-    out = Y.upsert(d.select("chunk_id", "text"), incoming, vectors)
-    return out.select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    table = SnapshotTable(spark, D.fresh(spark, "upserted"), "chunk_id string, text string", "chunk_id")
+    table.replace(d.select("chunk_id", "text"))
+    Y.upsert_table(table, incoming, vectors)
+    return table.read().select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("upsert_skipped", "SELECT doc_id::VARCHAR AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -276,8 +279,10 @@ def sync_apply_chunks(spark, sf):
     docs = D.corpus(spark, sf).withColumn("text", F.array_join(F.transform("pages", lambda p: p["text"]), ""))
     old = docs.join(D.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(F.concat(F.lit("/corpus/"), "source_file").alias("path"), "text")
     new = D.chunks(spark, sf).select(F.concat(F.lit("/corpus/"), "source_file").alias("path"), "text")
-    out = Y.apply_chunks(changes(spark, sf), old, new, status(spark, sf))
-    return out.select("path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    table = SnapshotTable(spark, D.fresh(spark, "applied"), "path string, text string", "path")
+    table.replace(old)
+    Y.apply_to_table(table, changes(spark, sf), new, status(spark, sf))
+    return table.read().select("path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("write_manifest", with_corpus(" SELECT path, chunker_version, indexed, missing_on_disk FROM manifest", LISTING, MANIFEST))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from docspark import schemas
+from docspark.sources.snapshots import SnapshotTable
+
 CSV = {
     "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
@@ -32,17 +35,8 @@ def replace_audit(events: DataFrame, path: str) -> None:
 
 
 def recreate_index(chunks: DataFrame, path: str) -> None:
-    """Replace the whole chunk table: written next to it, then swapped in, so a failed write leaves the old table as it is."""
-    spark = chunks.sparkSession
-    at = {suffix: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + suffix) for suffix in ("", "-new", "-old")}
-    chunks.write.mode("overwrite").parquet(path + "-new")
-    files = at[""].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(at[""]):
-        files.delete(at["-old"], True)
-        files.rename(at[""], at["-old"])
-    if not files.rename(at["-new"], at[""]):
-        raise OSError(f"the new table could not be moved to {path}")
-    files.delete(at["-old"], True)
+    """Replace the whole chunk table. Readers see the old or the new one whole, also after a stop in between."""
+    SnapshotTable(chunks.sparkSession, path, schemas.CHUNKS).replace(chunks)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

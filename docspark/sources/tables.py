@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docspark import schemas
-from docspark.session import path_exists
 from docspark.sources.sinks import CSV
+from docspark.sources.snapshots import SnapshotTable
 
 
 def load_pages_json(spark: SparkSession, path: str, default_name: str = "", one_per_file: bool = True) -> DataFrame:
@@ -35,10 +35,8 @@ def load_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table; an index that is not there yet reads as empty."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schemas.CHUNKS)
-    return spark.read.schema(schemas.CHUNKS).parquet(path)
+    """The newest snapshot of the chunk table; an index that is not there yet reads as empty."""
+    return SnapshotTable(spark, path, schemas.CHUNKS).read()
 
 
 def index_sample_excluding(chunks: DataFrame, source_file: str, n: int = 5) -> DataFrame:
