@@ -19,8 +19,9 @@ def placed(rows: DataFrame, key: str, order: list[str], total: str | None = None
 
     Rows are cut into ranges of (key, order), so a key that holds a third of all rows lies in many ranges. Places are counted inside a range; only the
     key that a range shares with the one before needs an offset, so offsets are one row per range at most and are broadcast. Keys may be null.
+    The rows are written first, as cutting ranges reads them twice.
     """
-    cut = settle(rows.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id()))
+    cut = settle(settle(rows).repartitionByRange(key, *order).withColumn("part", F.spark_partition_id()))
     inside = W.partitionBy("part", key).orderBy(*order)
     run = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     amount = F.col(total) if total else F.lit(0)
