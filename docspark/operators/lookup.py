@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from docspark import profiles as P
 from docspark.functions import text as X
-from docspark.operators.matching import contains_join
+from docspark.operators.matching import containing_all, contains_join
 from docspark.session import settle
 
 HEADER = "(?md)" + "|".join(P.LOOKUP_HEADER)
@@ -86,10 +86,9 @@ def resolve_doc_name(requests: DataFrame, docs: DataFrame, nfc) -> DataFrame:
     third = settle(third)
     done, left = done.unionByName(third), settle(left.join(third, "doc_name", "left_anti"))
     words = F.filter(F.array_distinct(F.split("full", r"\s+")), lambda w: F.length(w) >= 2)
-    wanted = left.withColumn("words", words).select("doc_name", F.size("words").alias("n"), F.explode("words").alias("needle"))
-    pairs = contains_join(have.select(F.col("lname").alias("hay")), wanted)
-    full = wanted.join(pairs, "needle").groupBy("doc_name", "hay").agg(F.count("*").alias("got"), F.max("n").alias("n"))
-    fourth = tier(full.filter("got = n").join(have, F.col("hay") == F.col("lname")), 4)
+    wanted = left.select(F.col("doc_name").alias("ask"), words.alias("words"))
+    full = containing_all(have.select("lname").distinct(), "lname", "lname", wanted).withColumnRenamed("ask", "doc_name")
+    fourth = tier(full.join(have, "lname"), 4)
     return requests.join(done.unionByName(fourth), "doc_name", "left")
 
 

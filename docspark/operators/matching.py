@@ -1,8 +1,7 @@
 """Substring matching without theta joins.
 
-A short list of needles, of measured size, is looked for in every string as an array. Beyond that bound distinct short strings
-(labels, or the words of the vocabulary) are cut into every substring that is as long as some needle, and joined on it. Either
-way no row meets a row it does not match.
+Needles are looked for by one automaton (``needles.found``), whatever their number. Of several words that must all occur, only the rarest one
+proposes candidates; the others are checked in their texts. So a common word never becomes a row for each chunk that has it.
 """
 
 from __future__ import annotations
@@ -11,44 +10,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.tokens import words
+from docspark.operators.needles import found
+from docspark.session import settle
 
-FEW_NEEDLES = 512
-FEW_NEEDLE_CHARS = 64 * 1024
 
+def contains_join(haystacks: DataFrame, needles: DataFrame) -> DataFrame:
+    """(hay, needle) for every distinct ``hay`` string that contains a distinct ``needle`` string."""
+    return found(haystacks.select("hay").distinct(), "hay", needles, ["hay"])
 
-def few(needles: DataFrame) -> Column | None:
-    """The distinct needles as one array, if their measured number and size are small; else None."""
-    size = needles.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("needle")), F.lit(0)).alias("chars")).first()
-    if size["n"] > FEW_NEEDLES or size["chars"] > FEW_NEEDLE_CHARS:
-        return None
-    return needles.agg(F.array_sort(F.collect_list("needle"))).scalar()
 
+def containing_all(rows: DataFrame, key: str, hay: str, asked: DataFrame) -> DataFrame:
+    """(ask, key) for every row (key, hay) whose string contains all ``words`` of an ask (ask, words), at least one of them.
+
+    Words are counted in a first pass, whose hits are summed where they are found; in a second one only the rarest word of each ask proposes rows.
+    """
+    asked = settle(asked.select("ask", "words"))
+    each = asked.select("ask", F.explode("words").alias("needle"))
+    counts = found(rows, hay, each, [key]).groupBy("needle").agg(F.count("*").alias("n"))
+    first = settle(_rarest(each, counts, "ask"))
+    keep = list(dict.fromkeys((key, hay)))
+    met = first.join(found(rows, hay, first, keep), "needle").join(asked, "ask")
+    return met.filter(F.forall("words", lambda w: F.contains(F.col(hay), w))).select("ask", key)
 
-def contains_join(haystacks: DataFrame, needles: DataFrame) -> DataFrame:
-    """(hay, needle) for every distinct ``hay`` string that contains a distinct ``needle`` string."""
-    needles = needles.select("needle").filter(F.length("needle") > 0).distinct()
-    hays = haystacks.select("hay").distinct()
-    listed = few(needles)
-    if listed is None:
-        return contains_by_cutting(hays, needles)
-    found = F.filter("needles", lambda n: F.contains("hay", n))
-    return hays.withColumn("needles", listed).select("hay", F.explode(found).alias("needle"))
-
-
-def contains_by_cutting(hays: DataFrame, needles: DataFrame) -> DataFrame:
-    """The same for any number of needles, as an equi-join on substrings."""
-    lengths = needles.agg(F.coalesce(F.collect_set(F.length("needle")), F.array().cast("array<int>"))).scalar()
-    hays = hays.withColumn("lengths", lengths)
-    cuts = F.flatten(
-        F.transform(
-            F.filter("lengths", lambda n: n <= F.length("hay")),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("hay") - n + 1), lambda at: F.substring(F.col("hay"), at, n)
-            ),
-        )
-    )
-    cut = hays.select("hay", F.explode(F.array_distinct(cuts)).alias("needle"))
-    return cut.join(needles, "needle").select("hay", "needle")
+
+def _rarest(each: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """key and its rarest needle of the rows (key, needle); keys with a needle that does not occur have no row. ``counts``: needle, n."""
+    order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "needle")
+    least = each.join(counts, "needle", "left").groupBy(key).agg(F.min(order).alias("least"))
+    return least.filter("least.n > 0").select(key, "least.needle")
 
 
 def label_matches(chunks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -65,69 +54,39 @@ def word_index(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
 
 
-def text_matches(chunks: DataFrame, index: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle, chunk_id) for needles that are one word each.
-
-    A short list is looked for in the texts in one pass; a long one goes by way of the words of the vocabulary.
-    """
-    needles = needles.select("needle").filter(F.length("needle") > 0).distinct()
-    listed = few(needles)
-    if listed is None:
-        found = contains_by_cutting(index.select(F.col("word").alias("hay")).distinct(), needles)
-        return index.join(found, index["word"] == found["hay"]).select("needle", "chunk_id").distinct()
-    found = F.filter("needles", lambda n: F.contains("text", n))
-    return chunks.select("chunk_id", "text").withColumn("needles", listed).select(F.explode(found).alias("needle"), "chunk_id")
-
-
-def scan_texts(chunks: DataFrame, needles: DataFrame, n: int) -> DataFrame:
-    """(needle, chunk_id) for ``n`` distinct needles of any kind: the texts are passed over once per 512 needles."""
-    buckets = max(1, -(-n // max(FEW_NEEDLES, 1)))
-    lists = needles.groupBy(F.pmod(F.xxhash64("needle"), F.lit(buckets)).cast("int").alias("bucket")).agg(
-        F.array_sort(F.collect_list("needle")).alias("needles")
-    )
-    rows = chunks.select("chunk_id", "text", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    found = F.filter("needles", lambda n: F.contains("text", n))
-    return rows.join(lists, "bucket").select(F.explode(found).alias("needle"), "chunk_id")
+def vocabulary(index: DataFrame) -> DataFrame:
+    """(word, n): in how many chunks of a word index each word occurs."""
+    return index.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def phrase_tokens(phrase: Column) -> Column:
     return F.array_distinct(F.filter(F.split(phrase, r"\s+"), lambda t: t != ""))
 
 
-def phrase_matches(chunks: DataFrame, index: DataFrame, phrases: DataFrame) -> DataFrame:
+def phrase_matches(chunks: DataFrame, index: DataFrame, phrases: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(phrase, chunk_id): the text contains every whitespace-separated token of the phrase.
 
-    Candidates come from the words inside the tokens; a token with other characters in it is then looked up in the
-    text of its candidates.
+    The words inside the tokens are looked for in the vocabulary ``known`` (word, n; by default counted from the index). The word that the fewest
+    chunks can hold proposes the chunks, by way of the index; all tokens are then looked up in the text of these. A phrase that is one word needs no look-up.
     """
     asked = phrases.select("phrase").distinct().withColumn("tokens", phrase_tokens(F.col("phrase")))
-    pieces = asked.select(
-        "phrase", "tokens",
-        F.array_distinct(F.flatten(F.transform("tokens", words))).alias("pieces"),
-    )
-    wanted = pieces.select("phrase", F.size("pieces").alias("n"), F.explode("pieces").alias("needle"))
-    hits = text_matches(chunks, index, wanted.select("needle"))
-    full = (
-        wanted.join(hits, "needle").groupBy("phrase", "chunk_id").agg(F.count("*").alias("got"), F.max("n").alias("n"))
-        .filter("got = n").select("phrase", "chunk_id")
-    )
-    mixed = pieces.filter(~F.forall("tokens", lambda t: F.regexp_like(t, F.lit("^[가-힣A-Za-z0-9]+$"))))
-    plain = full.join(mixed.select("phrase"), "phrase", "left_anti").unionByName(
-        wordless_matches(chunks, pieces.filter((F.size("pieces") == 0) & (F.size("tokens") > 0)))
-    )
+    asked = settle(asked.withColumn("pieces", F.array_distinct(F.flatten(F.transform("tokens", words)))))
+    each = asked.select("phrase", F.explode("pieces").alias("needle"))
+    inside = settle(found(vocabulary(index) if known is None else known, "word", each, ["word", "n"]))
+    first = settle(_rarest(each, inside.groupBy("needle").agg(F.sum("n").alias("n")), "phrase"))
+    places = index.join(inside.join(first.select("needle").distinct(), "needle").select("needle", "word"), "word").select("needle", "chunk_id").distinct()
+    proposed = first.join(places, "needle").join(asked, "phrase")
+    sure = (F.size("tokens") == 1) & (F.get("tokens", F.lit(0)) == F.col("needle"))
     checked = (
-        full.join(mixed.select("phrase", "tokens"), "phrase").join(chunks.select("chunk_id", "text"), "chunk_id")
+        proposed.filter(~sure).select("phrase", "tokens", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id")
         .filter(F.forall("tokens", lambda t: F.contains("text", t))).select("phrase", "chunk_id")
     )
-    return plain.unionByName(checked)
+    out = proposed.filter(sure).select("phrase", "chunk_id").unionByName(checked)
+    wordless = asked.filter((F.size("pieces") == 0) & (F.size("tokens") > 0))
+    return out if wordless.isEmpty() else out.unionByName(wordless_matches(chunks, wordless))
 
 
 def wordless_matches(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, chunk_id) for phrases (phrase, tokens) without a single word in them, such as marks and signs."""
-    wanted = phrases.select("phrase", F.size("tokens").alias("n"), F.explode("tokens").alias("needle"))
-    needles = wanted.select("needle").distinct()
-    count = needles.count()
-    if count == 0:
-        return phrases.select("phrase", F.lit("").alias("chunk_id")).limit(0)
-    hits = wanted.join(scan_texts(chunks, needles, count), "needle")
-    return hits.groupBy("phrase", "chunk_id").agg(F.count("*").alias("got"), F.max("n").alias("n")).filter("got = n").select("phrase", "chunk_id")
+    """(phrase, chunk_id) for phrases (phrase, tokens) without a single word in them, such as marks and signs: looked for in the texts themselves."""
+    asked = phrases.select(F.col("phrase").alias("ask"), F.col("tokens").alias("words"))
+    return containing_all(chunks, "chunk_id", "text", asked).withColumnRenamed("ask", "phrase")

@@ -82,14 +82,14 @@ def text_filters(questions: DataFrame) -> DataFrame:
     return out
 
 
-def filter_matches(filters: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """field, phrase, chunk_id for every distinct filter; ``index`` holds the words of the chunks."""
+def filter_matches(filters: DataFrame, chunks: DataFrame, index: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """field, phrase, chunk_id for every distinct filter; ``index`` holds the words of the chunks, ``known`` in how many of them each occurs."""
     labels = filters.filter("field = 'label'").select(F.col("phrase").alias("needle")).distinct()
     label_hits = matching.label_matches(chunks, labels).select(
         F.lit("label").alias("field"), F.col("needle").alias("phrase"), "chunk_id"
     )
     phrases = filters.filter("field = 'text'").select("phrase").distinct()
-    text_hits = matching.phrase_matches(chunks, index, phrases).select(F.lit("text").alias("field"), "phrase", "chunk_id")
+    text_hits = matching.phrase_matches(chunks, index, phrases, known).select(F.lit("text").alias("field"), "phrase", "chunk_id")
     return label_hits.unionByName(text_hits)
 
 
@@ -133,7 +133,7 @@ def category_top1(nearest: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked(rows.filter("category <> ''").drop("rank"), ["question_id", "category"], 1, F.desc("score"), "chunk_id")
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, index: DataFrame) -> DataFrame:
+def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, index: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """question_id, step, seq, sub, chunk_id, score: all candidate lists in arrival order."""
     plain = dense.top_k(questions, vectors, P.VECTOR_CANDIDATES).select(
         "question_id", F.lit(VECTOR).alias("step"), F.lit(0).alias("seq"), F.lit(0).alias("sub"), "chunk_id", "score"
@@ -143,7 +143,7 @@ def candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, inde
         F.lit(P.SCAN_SCORE + P.BOOST_PAGE).alias("score"),
     )
     filters = settle(text_filters(questions))
-    matches = settle(filter_matches(filters, chunks, index))
+    matches = settle(filter_matches(filters, chunks, index, known))
     listed = filtered_lists(filters, matches, nearest_matches(filters, matches, questions, vectors))
     comparing = dense.top_k(questions.filter("comparison_intent"), vectors, P.FANOUT_CANDIDATES)
     fanned = category_top1(comparing, chunks).select(
@@ -214,14 +214,17 @@ def category_swap(pooled: DataFrame, questions: DataFrame, top_k: int) -> DataFr
 
 def smart_search(
     questions: DataFrame, chunks: DataFrame, vectors: DataFrame, index: DataFrame, top_k: int = 8,
-    doc_type: str | None = None,
+    doc_type: str | None = None, known: DataFrame | None = None,
 ) -> DataFrame:
-    """Boosted search. ``questions``: hint columns and embedding; result: question_id, slot, chunk_id, score, ..."""
+    """Boosted search. ``questions``: hint columns and embedding; result: question_id, slot, chunk_id, score, ...
+
+    ``known``: the index's ``matching.vocabulary`` where it is kept; for one type it is only an upper bound of the counts, which does as well.
+    """
     chunks = of_type(chunks, doc_type)
     if doc_type is not None:
         vectors = vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
         index = index.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    pooled = doc_hint_boost(pool(candidates(questions, chunks, vectors, index)), questions, chunks)
+    pooled = doc_hint_boost(pool(candidates(questions, chunks, vectors, index, known)), questions, chunks)
     return category_swap(pooled, questions, top_k)
 
 

@@ -150,6 +150,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(spark, "words", sf_dir, lambda: matching.word_index(spread(chunks(spark, sf_dir))))
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(spark, "vocabulary", sf_dir, lambda: matching.vocabulary(words(spark, sf_dir)))
+
+
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(spark, "bm25-index", sf_dir, lambda: bm25.chunk_terms(spread(chunks(spark, sf_dir))))
 

@@ -196,14 +196,14 @@ def filter_pages(spark, sf):
 
 @query("match_text", S.stmt("SELECT DISTINCT field, phrase, chunk_id FROM matches", *S.SMART))
 def match_text(spark, sf):
-    return R.filter_matches(R.text_filters(D.asked(spark, sf)), D.chunks(spark, sf), D.words(spark, sf))
+    return R.filter_matches(R.text_filters(D.asked(spark, sf)), D.chunks(spark, sf), D.words(spark, sf), D.vocabulary(spark, sf))
 
 
 def _filtered(spark, sf, step):
     asked = D.asked(spark, sf)
     filters = R.text_filters(asked).filter(F.col("step") == step)
     chunks = D.chunks(spark, sf)
-    matches = settle(R.filter_matches(filters, chunks, D.words(spark, sf)))
+    matches = settle(R.filter_matches(filters, chunks, D.words(spark, sf), D.vocabulary(spark, sf)))
     nearest = R.nearest_matches(filters, matches, asked, D.vectors(spark, sf))
     return R.filtered_lists(filters, matches, nearest).select(
         "question_id", F.col("seq").cast("bigint").alias("seq"), F.col("sub").cast("bigint").alias("sub"), "chunk_id", "score"
@@ -233,7 +233,7 @@ def category_top1(spark, sf):
 
 
 def _candidates(spark, sf):
-    return D.materialize(spark, "candidates", sf, lambda: R.candidates(D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.words(spark, sf)))
+    return D.materialize(spark, "candidates", sf, lambda: R.candidates(D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.words(spark, sf), D.vocabulary(spark, sf)))
 
 
 @query("candidate_pool", S.stmt("SELECT question_id, chunk_id, score, n_sources FROM pooled", *S.SMART))
@@ -263,14 +263,14 @@ def category_swap(spark, sf):
 
 @query("smart_search", S.stmt("SELECT question_id, slot, chunk_id, score, n_sources FROM smart", *S.SMART))
 def smart_search(spark, sf):
-    out = R.smart_search(D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.words(spark, sf))
+    out = R.smart_search(D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.words(spark, sf), known=D.vocabulary(spark, sf))
     return out.select("question_id", F.col("slot").cast("bigint").alias("slot"), "chunk_id", "score", "n_sources")
 
 
 @query("smart_search_typed", S.stmt("SELECT question_id, slot, chunk_id, score, n_sources FROM smart", *S.typed(S.SMART, "시행령")))
 def smart_search_typed(spark, sf):
     """The boosted search among the chunks of one document type."""
-    out = R.smart_search(D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.words(spark, sf), doc_type="시행령")
+    out = R.smart_search(D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.words(spark, sf), doc_type="시행령", known=D.vocabulary(spark, sf))
     return out.select("question_id", F.col("slot").cast("bigint").alias("slot"), "chunk_id", "score", "n_sources")
 
 
@@ -278,7 +278,7 @@ def smart_hits(spark, sf):
     """Result of the boosted search, written once for the queries that go on from it."""
     return D.materialize(
         spark, "smart-hits", sf,
-        lambda: R.smart_search(D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.words(spark, sf)),
+        lambda: R.smart_search(D.asked(spark, sf), D.chunks(spark, sf), D.vectors(spark, sf), D.words(spark, sf), known=D.vocabulary(spark, sf)),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import questions as Q
 from docspark.functions import tokens as T
-from docspark.operators import bm25, dense, matching
+from docspark.operators import bm25, dense, matching, needles
 from docspark.operators import hints as H
 from docspark.operators import retrieve as R
 
@@ -67,26 +67,39 @@ def test_top_k_within_equals_brute_force(spark, vectors, monkeypatch):
         assert mine == [n[1] for n in nearest([x for x in items if x[0] in set(sets[s])], v, 4)]
 
 
-def test_contains_join_ways_agree(spark):
-    random.seed(5)
-    hays = ["".join(random.choice("ab가") for _ in range(random.randint(1, 9))) for _ in range(60)]
-    needles = ["".join(random.choice("ab가") for _ in range(random.randint(1, 4))) for _ in range(20)]
-    h = spark.createDataFrame([(x,) for x in hays], "hay string")
-    n = spark.createDataFrame([(x,) for x in needles], "needle string")
-    want = {(a, b) for a in hays for b in needles if b in a}
-    assert {tuple(r) for r in matching.contains_join(h, n).collect()} == want
-    assert {tuple(r) for r in matching.contains_by_cutting(h.distinct(), n.distinct()).collect()} == want
+@pytest.mark.parametrize("chars", [needles.GROUP_CHARS, 4000])
+def test_many_overlapping_needles(spark, monkeypatch, chars):
+    """5,000 needles, many inside one another, in one group and in several."""
+    monkeypatch.setattr(needles, "GROUP_CHARS", chars)
+    rng = random.Random(5)
+    hays = ["".join(rng.choice("ab가나") for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", "가" * 300]
+    asked = {"".join(rng.choice("ab가나") for _ in range(rng.randint(1, 9))) for _ in range(20000)}
+    assert len(asked) > 5000
+    h = spark.createDataFrame([(x,) for x in hays] + [(None,)], "hay string")
+    n = spark.createDataFrame([(x,) for x in asked] + [("",)], "needle string")
+    want = {(a, b) for a in hays for b in asked if b in a}
+    got = [tuple(r) for r in matching.contains_join(h, n).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert matching.contains_join(h, n.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bound", [512, 0])
-def test_phrases_need_every_token(spark, monkeypatch, bound):
-    monkeypatch.setattr(matching, "FEW_NEEDLES", bound)
+def test_phrases_need_every_token(spark):
     chunks = spark.createDataFrame([("1", "연구활동비를 사용한다"), ("2", "연구활동비"), ("3", "사용 A/B 시험"), ("4", "A B 시험 ※ ★")], "chunk_id string, text string")
-    phrases = spark.createDataFrame([("연구활동비 사용",), ("A/B",), ("시험",), ("※ ★",), ("※ ☆",), ("시험 ★",)], "phrase string")
+    phrases = spark.createDataFrame([("연구활동비 사용",), ("A/B",), ("시험",), ("※ ★",), ("※ ☆",), ("시험 ★",), ("",), ("없는 시험",)], "phrase string")
     got = {tuple(r) for r in matching.phrase_matches(chunks, matching.word_index(chunks), phrases).collect()}
     assert got == {("연구활동비 사용", "1"), ("A/B", "3"), ("시험", "3"), ("시험", "4"), ("※ ★", "4"), ("시험 ★", "4")}
 
 
+def test_the_rarest_word_proposes(spark, monkeypatch):
+    """A phrase with a word in every second chunk is looked up in the chunks of its rare word only."""
+    chunks = spark.createDataFrame([(str(i), ("공통 " if i % 2 else "") + f"단어{i % 50} 끝") for i in range(1000)], "chunk_id string, text string")
+    phrases = spark.createDataFrame([("공통 단어7",), ("단어8 공통",)], "phrase string")
+    got = matching.phrase_matches(chunks, matching.word_index(chunks), phrases).collect()
+    assert {(r.phrase, int(r.chunk_id) % 50) for r in got} == {("공통 단어7", 7)} and len(got) == 20
+    monkeypatch.setattr(matching.F, "forall", lambda column, check: F.lit(True))  # every proposed chunk passes
+    assert matching.phrase_matches(chunks, matching.word_index(chunks), phrases).count() == 40
+
+
 def test_label_does_not_match_a_branch_article(spark):
     chunks = spark.createDataFrame([("1", "제15조"), ("2", "제15조의2"), ("3", "제15조(목적) (part 1/2)"), ("4", "별표 2")], "chunk_id string, article_no string")
     needles = spark.createDataFrame([("제15조",), ("제15조의2",), ("별표 2",)], "needle string")
