@@ -41,7 +41,8 @@ def _halves(words: Column, n: Column) -> list[Column]:
     out = []
     for longer in (n, n + 1):
         half = F.floor((longer - 1) / 2).cast("int")
-        out += [F.xxhash64(longer, F.lit(0), F.slice(words, F.lit(1), half)), F.xxhash64(longer, F.lit(1), F.slice(words, n - half + 1, half))]
+        first, last = (F.array_join(F.slice(words, at, half), " ") for at in (F.lit(1), n - half + 1))
+        out += [F.xxhash64(longer, F.lit(0), first), F.xxhash64(longer, F.lit(1), last)]
     return out
 
 
@@ -58,8 +59,9 @@ def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     return words.withColumn("n", F.size("words")).filter("n > 0")
 
 
-def _hashed(rows: DataFrame) -> list[Column]:
-    return [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")]
+def _hashed() -> list[Column]:
+    """Name of a line: hashes of its words joined by blanks, as one string is hashed faster than many."""
+    return [F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(1), "joined").alias("h2")]
 
 
 def masks(hashes: DataFrame, column: str) -> DataFrame:
@@ -133,7 +135,7 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     """id, mark, removed: the line numbers that go, for every document that has some."""
     rows = _rows(docs, id, text)
     halves = [F.when(F.col("n") >= MIN_WORDS, h).alias(f"k{i}") for i, h in enumerate(_halves(F.col("words"), F.col("n")))]
-    lines = settle(rows.select("id", "mark", "pos", "n", *_hashed(rows), *halves))
+    lines = settle(rows.withColumn("joined", F.array_join("words", " ")).select("id", "mark", "pos", "n", *_hashed(), *halves))
     place = F.struct("id", "mark", "pos")
     distinct = settle(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.min("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
     near = _near(docs, distinct, id, text).withColumn("near", F.lit(True))
@@ -147,10 +149,11 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     gone = removed_lines(docs, id, text).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
     marked = docs.withColumn("__id", F.coalesce(F.col(id).cast("bigint"), F.lit(_LEAST))).withColumn("__mark", F.hash(F.col(text)))
     met = marked.join(gone, ["__id", "__mark"], "left")
-    lines = F.split(F.col(text), "\n")
+    lines = F.when(F.col("__removed").isNotNull(), F.split(F.col(text), "\n"))
+    n_lines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed")))
     shorter = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
-    out = met.withColumn("__lines", lines).withColumn("n_lines", F.coalesce(F.when(F.col(text).isNotNull(), F.size("__lines")), F.lit(0)).cast("bigint"))
+    out = met.withColumn("__lines", lines).withColumn("n_lines", F.coalesce(n_lines, F.lit(0)).cast("bigint"))
     out = out.withColumn("n_removed", F.coalesce(F.when(F.col("__removed").isNotNull(), F.size("__removed")), F.lit(0)).cast("bigint"))
     out = out.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(shorter))
     return out.drop("__id", "__mark", "__removed", "__lines")
