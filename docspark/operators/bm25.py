@@ -22,11 +22,8 @@ ITEM_BLOCK = 2048
 QUESTION_BLOCK = 512
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """One row per chunk: doc_len and its distinct terms with their counts.
-
-    The counting is run-length over the row's own sorted tokens, so no shuffle is needed.
-    """
+def counted(tokens: Column) -> Column:
+    """The distinct terms of sorted tokens with their counts, by run-length: no shuffle is needed."""
     entry = "array<struct<term:string,tf:int>>"
     start = F.struct(F.array().cast(entry).alias("done"), F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))
 
@@ -40,10 +37,13 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
             F.struct(acc["done"].alias("done"), acc["term"].alias("term"), (acc["tf"] + 1).alias("tf")),
         ).otherwise(F.struct(closed(acc).alias("done"), token.alias("term"), F.lit(1).alias("tf")))
 
+    return F.aggregate(tokens, start, step, closed)
+
+
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """One row per chunk: doc_len and its distinct terms with their counts."""
     rows = chunks.select("chunk_id", F.array_sort(T.chunk_tokens()).alias("tokens"))
-    return rows.select(
-        "chunk_id", F.size("tokens").alias("doc_len"), F.aggregate("tokens", start, step, closed).alias("terms")
-    )
+    return rows.select("chunk_id", F.size("tokens").alias("doc_len"), counted(F.col("tokens")).alias("terms"))
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
@@ -52,10 +52,15 @@ def corpus_stats(index: DataFrame) -> DataFrame:
 
 
 def term_stats(index: DataFrame) -> DataFrame:
-    """term, n_docs_with_term, idf; negative values become a share of the mean over all terms."""
+    """term, df (chunks with the term) and idf over a written index."""
     per_term = index.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = index.agg(F.count("*")).scalar()
-    raw = per_term.select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return with_idf(per_term, index.count())
+
+
+def with_idf(per_term: DataFrame, n: int) -> DataFrame:
+    """term, df, idf of terms (term, df) of ``n`` chunks; negative values become a share of the mean over all terms."""
+    df = settle(per_term.select("term", "df"))
+    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).scalar()
     return raw.select(
         "term", "df", F.when(F.col("raw") < 0, mean * P.BM25_EPSILON).otherwise(F.col("raw")).alias("idf")

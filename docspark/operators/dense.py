@@ -29,13 +29,24 @@ def hashed_counts(rows: pd.Series) -> np.ndarray:
     return out
 
 
-def embed(inputs: Column, encode: Callable[[pd.Series], np.ndarray] = hashed_counts) -> Column:
-    """Vector column of ``inputs``; ``encode`` maps one Arrow batch of inputs to a matrix."""
+def embed(inputs: Column, encode: Callable[[pd.Series], np.ndarray] = hashed_counts, safe: bool = False) -> Column:
+    """Vector column of ``inputs``; ``encode`` maps one Arrow batch of inputs to a matrix.
+
+    ``safe``: where a batch fails, its inputs are tried one by one, and those that fail get no vector.
+    """
+
+    def encoded(batch: pd.Series) -> list:
+        try:
+            return list(encode(batch))
+        except Exception:
+            if not safe:
+                raise
+            return [None] if len(batch) == 1 else [encoded(batch.iloc[i : i + 1].reset_index(drop=True))[0] for i in range(len(batch))]
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(encode(batch))) if len(batch) else pd.Series([], dtype=object)
+            yield pd.Series(encoded(batch) if len(batch) else [], dtype=object)
 
     return run(inputs)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import questions as Q
 from docspark.operators import bm25, chunking, dense, hints, matching
+from docspark.operators.search_index import SearchIndex, ingest
 from docspark.session import materialize, scratch_path, spread
 
 PAGE_CHARS = 3000
@@ -188,3 +189,23 @@ def scratch(spark: SparkSession, name: str, sf_dir: str) -> str:
 def fresh(spark: SparkSession, name: str) -> str:
     """A folder of this application that nothing has written yet."""
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def changed_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The corpus in a search index, by three runs, once per application.
+
+    First come two thirds of the files, every fifth of them with its pages in reverse order and without the last one, and files that do not belong to the corpus;
+    then the fifths as they are and the other files; then the foreign files go.
+    """
+    path = scratch(spark, "changed-index", sf_dir)
+    index = SearchIndex(spark, path)
+    if index.table.versions():
+        return index
+    docs, i = corpus(spark, sf_dir), F.col("doc_id")
+    foreign = docs.filter(i % 7 == 0).withColumn("source_file", F.concat(F.lit("foreign "), "source_file"))
+    early = docs.filter(i % 3 != 0).withColumn("pages", F.when(i % 5 == 0, F.slice(F.reverse("pages"), F.lit(1), F.greatest(F.size("pages") - 1, F.lit(1)))).otherwise(F.col("pages")))
+    ingest(index, early.unionByName(foreign))
+    ingest(index, docs.filter((i % 3 == 0) | (i % 5 == 0)))
+    gone = foreign.select("source_file")
+    index.update(chunks(spark, sf_dir).limit(0), gone)
+    return index

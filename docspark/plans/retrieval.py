@@ -163,16 +163,35 @@ def cosine_pairs(spark, sf):
     return dense.score_pairs(pairs, asked, D.vectors(spark, sf)).select("question_id", "chunk_id", "score")
 
 
-@query("bm25_index", S.stmt(
-    "SELECT chunk_id, doc_len::BIGINT AS doc_len, term, tf, df, round(idf, 6) AS idf FROM postings JOIN idf USING (term)", *S.INDEX, *S.ASK, S.BM25))
-def bm25_index(spark, sf):
-    index, terms = D.bm25_index(spark, sf), D.bm25_terms(spark, sf)
+_POSTINGS = "SELECT chunk_id, doc_len::BIGINT AS doc_len, term, tf, df, round(idf, 6) AS idf FROM postings JOIN idf USING (term)"
+
+
+def _postings(index, terms):
     posted = index.select("chunk_id", F.col("doc_len").cast("bigint").alias("doc_len"), F.explode("terms").alias("t"))
     return posted.select("chunk_id", "doc_len", F.col("t.term").alias("term"), F.col("t.tf").cast("bigint").alias("tf")).join(
         terms.select("term", "df", F.round("idf", 6).alias("idf")), "term"
     ).select("chunk_id", "doc_len", "term", "tf", "df", "idf")
 
 
+@query("bm25_index", S.stmt(_POSTINGS, *S.INDEX, *S.ASK, S.BM25))
+def bm25_index(spark, sf):
+    return _postings(D.bm25_index(spark, sf), D.bm25_terms(spark, sf))
+
+
+@query("incremental_index", S.stmt(_POSTINGS, *S.INDEX, *S.ASK, S.BM25))
+def incremental_index(spark, sf):
+    """The index after two changes and a deletion, which must be that of the whole corpus: the terms."""
+    index = D.changed_index(spark, sf)
+    return _postings(index.postings(), index.terms())
+
+
+@query("incremental_vectors", S.stmt("SELECT chunk_id, array_to_string(list_transform(vec, lambda x: x::BIGINT), ',') AS counts FROM vectors", *S.INDEX, S.VECTORS))
+def incremental_vectors(spark, sf):
+    """The same: the vectors."""
+    rows = D.changed_index(spark, sf).vectors()
+    return rows.select("chunk_id", F.array_join(F.transform("embedding", lambda x: x.cast("bigint").cast("string")), ",").alias("counts"))
+
+
 @query("bm25_search", S.stmt("SELECT question_id, chunk_id, score, rank FROM bm25", *S.INDEX, *S.ASK, S.BM25))
 def bm25_search(spark, sf):
     out = bm25.search(D.bm25_index(spark, sf), D.bm25_terms(spark, sf), D.asked(spark, sf), text="searched")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from docspark import profiles as P
 from docspark.functions.names import nfc
 from docspark.functions.pages import raw_dump
+from docspark.operators import search_index
 from docspark.operators import sync as Y
+from docspark.operators.search_index import SearchIndex
 from docspark.plans import derived as D
 from docspark.plans.oracle.base import WS, q, with_chunks, with_corpus
 from docspark.plans.registry import query
@@ -248,7 +250,8 @@ def status(spark, sf):
 
 @query("ingest_files", with_chunks(" SELECT source_file, status, doc_type, page_count, n_chunks FROM status", LISTING, STATUS))
 def ingest_files(spark, sf):
-    return status(spark, sf).drop("path")
+    """The corpus chunked, embedded and indexed, with one status row per file."""
+    return search_index.ingest(SearchIndex(spark, D.fresh(spark, "ingested-index")), D.corpus(spark, sf))
 
 
 @query("apply_summary", with_chunks(""" SELECT count(*) FILTER (WHERE change IN ('added', 'modified', 'stale_code') AND status = 'ok') AS indexed, count(*) FILTER (WHERE change = 'deleted') AS deleted,

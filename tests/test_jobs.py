@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docspark import profiles as P
 from docspark import schemas
 from docspark.operators import answers, evidence, quality, sync, usage
+from docspark.operators.search_index import SearchIndex
 from docspark.session import scratch_path
 from docspark.sources import files, tables
 from docspark.streaming import audit, outcomes
@@ -89,7 +90,7 @@ def test_a_file_that_arrives_again_replaces_its_chunks(spark, tmp_path):
         docs = spark.createDataFrame([("a.pdf", "혁신법", "법률", [(1, text)])], schema)
         ingest.upsert_documents(docs, str(tmp_path / "table"))
     ingest.upsert_documents(spark.createDataFrame([("b.pdf", "혁신법", "법률", [(1, text)])], schema), str(tmp_path / "table"))
-    rows = tables.scan_index(spark, str(tmp_path / "table")).collect()
+    rows = SearchIndex(spark, str(tmp_path / "table")).chunks().collect()
     assert sorted((r.source_file, r.article_no) for r in rows) == [(f, a) for f in ("a.pdf", "b.pdf") for a in ("제1조(목적)", "제2조(정의)")] and "가" * 50 not in "".join(r.text for r in rows)
 
 
