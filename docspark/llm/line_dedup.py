@@ -33,7 +33,11 @@ _LEAST = -(2**63)
 
 def line_words(line: Column) -> Column:
     """Words between blanks (space, tab, line feed, vertical tab, form feed, carriage return)."""
-    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), "")
+    rare = "\t\n\x0b\x0c\r"
+    odd = F.contains(line, F.lit(rare[0]))
+    for blank in rare[1:]:
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.array_remove(F.split(F.when(odd, F.translate(line, rare, "     ")).otherwise(line), " "), "")
 
 
 def _halves(words: Column, n: Column) -> list[Column]:
