@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark import profiles as P
+from docspark.streaming.audit import EventLog
 
 
-def hourly_outcomes(calls: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """channel, hour, n_ok, n_failed of calls (channel, ts, ok); works on a stream, which drops rows later than the watermark."""
-    windowed = calls.withWatermark("ts", watermark).groupBy("channel", F.window("ts", "1 hour"))
-    counts = windowed.agg(F.count(F.when(F.col("ok"), 1)).alias("n_ok"), F.count(F.when(~F.col("ok"), 1)).alias("n_failed"))
-    return counts.select("channel", F.col("window.start").alias("hour"), "n_ok", "n_failed")
+def outcome_log(spark: SparkSession, path: str) -> EventLog:
+    """A log of calls (event_id, channel, ts, ok) that counts them by channel, hour and outcome."""
+    return EventLog(spark, path, "event_id bigint, channel bigint, ts timestamp, ok boolean, hour timestamp", ["date", "channel", "hour", "ok"], time="ts")
+
+
+def hourly_outcomes(log: EventLog) -> DataFrame:
+    """channel, hour, n_ok, n_failed of all calls in the log."""
+    n = lambda ok: F.coalesce(F.sum(F.when(F.col("ok") == ok, F.col("n"))), F.lit(0))
+    return log.counts().groupBy("channel", "hour").agg(n(True).alias("n_ok"), n(False).alias("n_failed"))
 
 
 def failure_runs(calls: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from docspark.operators import answers, evidence, quality, sync, usage
 from docspark.operators.search_index import SearchIndex
 from docspark.session import scratch_path
 from docspark.sources import files, tables
-from docspark.streaming import audit, outcomes
+from docspark.streaming import outcomes
 
 NOW, OLD = P.CHUNKER_VERSION, P.LEGACY_VERSION
 
@@ -68,20 +68,6 @@ def test_failure_runs(spark):
     assert [g[1:] for g in got] == [(4, False), (5, True), (2, False)] and got[2][0] == datetime(2024, 1, 1) + timedelta(seconds=90000)
 
 
-def test_late_rows_do_not_count(spark, tmp_path):
-    """The watermark drops a row that comes after its hour is closed; other hours keep their last state."""
-    log, start = str(tmp_path / "log"), datetime(2024, 1, 1)
-    schema = "channel bigint, ts timestamp, ok boolean"
-    for no, rows in enumerate([[(1, 0, True), (1, 1, False)], [(1, 10, True)], [(1, 11, True)], [(1, 0, False), (1, 10, False)]]):
-        one = spark.createDataFrame([(c, start + timedelta(hours=h), ok) for c, h, ok in rows], schema)
-        one.coalesce(1).write.mode("append").parquet(log)
-        stream = spark.readStream.schema(schema).parquet(log)
-        counted = outcomes.hourly_outcomes(stream).withColumn("day", F.to_date("hour"))
-        audit.keep_updates(counted, str(tmp_path / "out"), str(tmp_path / "state"), ["day", "hour", "channel"])
-    got = {(r.hour - start).seconds // 3600: (r.n_ok, r.n_failed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {0: (1, 0), 1: (0, 1), 10: (1, 1), 11: (1, 0)}
-
-
 def test_a_file_that_arrives_again_replaces_its_chunks(spark, tmp_path):
     from docspark.streaming import ingest
 
