@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from docspark import profiles as P
 
 
+FEW_PARTS = 32
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(P.WHITESPACE))
 
@@ -21,15 +24,38 @@ def nonblank(parts: Column) -> Column:
 
 
 def running_starts(lengths: Column, gap: int = 0) -> Column:
-    """Start offset of every part, given the part lengths (one more entry than parts: the end)."""
+    """Start offset of every part, given the part lengths (one more entry than parts: the end).
+
+    Few parts are added up one by one. Many are added in doubling steps: after step k every entry holds the sum of the last 2^k, so n parts take n log n.
+    """
     zero = F.array(F.lit(0))
-    return F.aggregate(lengths, zero, lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n + F.lit(gap)))
+    one_by_one = F.aggregate(lengths, zero, lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n + F.lit(gap)))
+
+    def double(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: x + F.when(i >= back, F.get(acc, i - back)).otherwise(F.lit(0)))
+
+    shifted = F.concat(zero, F.transform(lengths, lambda n: n + F.lit(gap)))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(lengths) + 1)).cast("int"))
+    return F.when(F.size(lengths) <= FEW_PARTS, one_by_one).otherwise(F.aggregate(steps, shifted, double))
 
 
 def offset_to_page(offset: Column, boundaries: Column) -> Column:
-    """As-of lookup: the last page that starts at or before ``offset`` (1 when there is none)."""
+    """As-of lookup: the last page that starts at or before ``offset`` (1 when there is none). Pages come in order; many are searched by halving."""
     hit = F.filter(boundaries, lambda b: b["start"] <= offset)
-    return F.when(F.size(hit) > 0, F.element_at(hit, -1)["page_num"]).otherwise(F.lit(1))
+    listed = F.when(F.size(hit) > 0, F.element_at(hit, -1)["page_num"]).otherwise(F.lit(1))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        after = F.get(boundaries, middle)["start"] <= offset
+        moved = F.struct(F.when(after, middle + 1).otherwise(acc["low"]).alias("low"), F.when(after, acc["high"]).otherwise(middle).alias("high"))
+        return F.when(acc["low"] < acc["high"], moved).otherwise(acc)
+
+    whole = F.struct(F.lit(0).alias("low"), F.size(boundaries).alias("high"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(boundaries) + 1)).cast("int"))
+    before = F.aggregate(steps, whole, halve, lambda acc: acc["low"])
+    found = F.coalesce(F.get(boundaries, before - 1)["page_num"], F.lit(1))
+    return F.when(F.size(boundaries) <= FEW_PARTS, listed).otherwise(F.when(before > 0, found).otherwise(F.lit(1)))
 
 
 def pack(parts: Column, limit: int = P.MAX_CHUNK_LEN) -> Column:

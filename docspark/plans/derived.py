@@ -7,8 +7,10 @@ into its own lines), so the structural operators run over the whole text of the
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,3 +211,19 @@ def changed_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     gone = foreign.select("source_file")
     index.update(chunks(spark, sf_dir).limit(0), gone)
     return index
+
+
+def write_files(folder: str):
+    """A task that writes rows (path, content) as files under a folder, and beside each one that holds something else."""
+
+    def run(batches):
+        files, root = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder))
+        for batch in batches:
+            for path, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content"))):
+                files.create_dir((root + path).rsplit("/", 1)[0], recursive=True)
+                for name, held in ((path, content), (path + ".other", b"other")):
+                    with files.open_output_stream(root + name) as out:
+                        out.write(held)
+            yield batch.select(["path"])
+
+    return run

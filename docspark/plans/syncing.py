@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docspark import profiles as P
@@ -15,6 +17,7 @@ from docspark.plans.oracle.base import WS, q, with_chunks, with_corpus
 from docspark.plans.registry import query
 from docspark.plans.reports import TOXIC_FILES, toxic_files
 from docspark.plans.structure import RAW_PAGES, raw_documents
+from docspark.session import settle
 from docspark.sources import files, sinks, tables
 from docspark.sources.snapshots import SnapshotTable
 
@@ -54,7 +57,14 @@ def scan_files(spark, sf):
 
 @query("hash_files", f"WITH {_LISTING} SELECT path, length AS size_bytes, sha256(html) AS sha256 FROM listing JOIN pages USING (page_id)")
 def hash_files(spark, sf):
-    return files.hashed(page_files(spark, sf).filter("root_no = 0"))
+    """The web pages written as files, and all of them touched; beside each lies a file that is not."""
+    folder = D.fresh(spark, "page-files")
+    at = re.sub("^file:/+", "/", folder)
+    named = F.regexp_replace("path", "/([^/]*)$", "/f-$1")  # names that start with a dot are not listed
+    pages = page_files(spark, sf).filter("root_no = 0").select(named.alias("path"), "content")
+    touched = settle(pages.mapInArrow(D.write_files(folder), "path string").select(F.concat(F.lit(at), "path").alias("path")))
+    path = F.regexp_replace(F.substring("path", len(at) + 1, 1 << 20), "/f-([^/]*)$", "/$1")
+    return files.hash_files(spark, [folder], touched).select(path.alias("path"), "size_bytes", "sha256")
 
 
 @query("hash_documents", "SELECT doc_id, octet_length(encode(text)) AS size_bytes, sha256(text) AS sha256 FROM documents")

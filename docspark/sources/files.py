@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark import profiles as P
 from docspark.functions.names import nfc
+from docspark.session import spread
+
+STEP = 1 << 20
 
 
 def indexable(listing: DataFrame, suffixes: tuple[str, ...] = P.SUPPORTED_SUFFIXES) -> DataFrame:
@@ -35,14 +43,32 @@ def scan_files(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...]
     return indexable(reduce(DataFrame.unionByName, [under(i, r) for i, r in enumerate(roots)]), suffixes)
 
 
-def hashed(files: DataFrame) -> DataFrame:
-    """path, size_bytes and sha256 of files (path, length, content)."""
-    return files.select(
-        nfc(F.regexp_replace("path", "^file:/+", "/")).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
-    )
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, size_bytes and sha256 of the files at raw_path, read in steps of STEP bytes; both are null for a file that cannot be read."""
+    for batch in batches:
+        sizes, shas = [], []
+        for uri in batch.column("raw_path").to_pylist():
+            size, state = 0, hashlib.sha256()
+            try:
+                files, path = fs.FileSystem.from_uri(re.sub("^file:/+", "/", uri))
+                with files.open_input_stream(path) as stream:
+                    while step := stream.read(STEP):
+                        state.update(step)
+                        size += len(step)
+                sizes.append(size)
+                shas.append(state.hexdigest())
+            except (OSError, pa.ArrowInvalid):
+                sizes.append(None)
+                shas.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), pa.array(shas, pa.string())], names=["path", "size_bytes", "sha256"])
 
 
 def hash_files(spark: SparkSession, roots: list[str], touched: DataFrame) -> DataFrame:
-    """path, size_bytes and sha256 of the files under the roots that are in ``touched`` (path); the paths stay in Spark."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-    return hashed(files).join(touched.select("path"), "path", "left_semi")
+    """path, size_bytes and sha256 of the files under the roots that are in ``touched`` (path).
+
+    The roots are listed, not read: only the touched paths are opened, each by the task that has it, in steps, so a file may be of any size.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select(F.col("path").alias("raw_path"))
+    named = listed.withColumn("path", nfc(F.regexp_replace("raw_path", "^file:/+", "/")))
+    wanted = named.join(touched.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.min("raw_path").alias("raw_path"))
+    return spread(wanted).mapInArrow(digests, "path string, size_bytes bigint, sha256 string")

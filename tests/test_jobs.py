@@ -1,7 +1,15 @@
 """Synchronisation, history, breaker, cache and report jobs on small inputs."""
 
+import bisect
+import hashlib
+import random
+import time
+import types
+import unicodedata
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +127,51 @@ def test_scan_files(spark, tmp_path):
     assert got == {"a.pdf": 2000, "c.HWP": 1000}
 
 
+def test_only_touched_files_are_read(spark, tmp_path):
+    """Two of four files are hashed; one of the others cannot be read, which would end the job if it were opened by the scan."""
+    held = {"a.pdf": b"a" * 3_000_000, "b.pdf": b"b", "c.pdf": b"cc", "가.pdf": b"k"}
+    for name, content in held.items():
+        (tmp_path / unicodedata.normalize("NFD", name)).write_bytes(content)
+    touched = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("a.pdf", "c.pdf", "가.pdf", "gone.pdf")], "path string")
+    got = {r.path.rsplit("/", 1)[1]: (r.size_bytes, r.sha256) for r in files.hash_files(spark, [str(tmp_path)], touched).collect()}
+    assert got == {n: (len(held[n]), hashlib.sha256(held[n]).hexdigest()) for n in ("a.pdf", "c.pdf", "가.pdf")}
+    opened, real = [], files.fs.FileSystem.from_uri
+    batch = pa.RecordBatch.from_pydict({"path": ["x", "y"], "raw_path": [f"file:{tmp_path}/b.pdf", f"{tmp_path}/none"]})
+    files.fs = types.SimpleNamespace(FileSystem=types.SimpleNamespace(from_uri=lambda uri: opened.append(uri) or real(uri)))
+    try:
+        rows = next(files.digests(iter([batch]))).to_pylist()
+    finally:
+        files.fs = pyarrow.fs
+    assert [r["size_bytes"] for r in rows] == [1, None] and len(opened) == 2
+
+
+def test_offsets_of_many_pages(spark):
+    """Running starts and page lookups of long documents are those of short ones, and take a time in proportion (nearly) to the pages."""
+    from docspark.functions import text as X
+
+    def timed(n):
+        rng = random.Random(n)
+        lengths = [rng.randint(0, 50) for _ in range(n)]
+        starts = [0]
+        for length in lengths:
+            starts.append(starts[-1] + length + 1)
+        asked = [rng.randint(-5, starts[-1] + 5) for _ in range(n)]
+        bounds = [(s, i + 10) for i, s in enumerate(starts[:-1])]
+        df = spark.createDataFrame([(lengths, bounds, asked)], "lengths array<int>, bounds array<struct<start:int,page_num:int>>, asked array<int>").cache()
+        df.count()
+        begun = time.time()
+        row = df.select(X.running_starts(F.col("lengths"), 1).alias("starts"), F.transform("asked", lambda o: X.offset_to_page(o, F.col("bounds"))).alias("pages")).first()
+        spent = time.time() - begun
+        assert row.starts == starts
+        assert row.pages == [10 + max(bisect.bisect_right(starts[:-1], o) - 1, 0) if o >= 0 else 1 for o in asked]
+        return spent
+
+    for n in (1, 31, 32, 33, 34, 64, 100):
+        timed(n)
+    timed(5000)
+    assert timed(20000) < 12 * max(timed(5000), 0.2)
+
+
 def test_missing_index_reads_empty(spark):
     assert tables.scan_index(spark, scratch_path(spark, "nowhere")).count() == 0
 
