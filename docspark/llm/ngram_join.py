@@ -312,6 +312,16 @@ def _verify(num: int, den: int):
     return run
 
 
+def _possibly_met(live):
+    """The signatures that more than one node may have; the others need not be shuffled again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.holds(live.value, batch.column("sig").to_numpy().view(np.uint64))))
+
+    return run
+
+
 def _side(df: DataFrame, x: str) -> DataFrame:
     return df.select(*(F.col(c).alias({"node": x}.get(c, f"{c}_{x}")) for c in df.columns))
 
@@ -389,9 +399,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "
     bounds = tuple(int((usual + 6 * usual**0.5 + 16) * 16**i) for i in range(len(sizes) - 1))
     shared = spark.sparkContext.broadcast(counters)
     sigs = settle_wide(rows.mapInArrow(_signatures(k, sizes, bounds, num, den, shared), "sig bigint, node bigint"))
-    groups = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").drop("far")
-    members = settle(sigs.join(groups, "sig").select("sig", "hub", "node").distinct())
+    groups = settle(sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").drop("far"))
+    met = sigs.mapInArrow(_possibly_met(bitmap.build(groups, "sig")), "sig bigint, node bigint")
+    members = settle(met.join(groups, "sig").select("sig", "hub", "node").distinct())
     discard(sigs)
+    discard(groups)
     of_sets = profile.filter("counter is null and n > 0").groupBy("s1", "s2").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.first("hist").alias("hist"))
     nodes = settle(of_sets.withColumnRenamed("s1", "node"))
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
