@@ -14,6 +14,7 @@ from docspark.functions import text as X
 
 ARTICLE_HEADER = "(?md)" + "|".join(P.ARTICLE_PATTERNS)
 FAQ_MARKER = "(?i)" + "|".join(P.FAQ_PATTERNS)
+FAQ_ANCHORED = "(?md)" + P.FAQ_ANCHORED
 
 
 def with_full_text(docs: DataFrame) -> DataFrame:
@@ -91,9 +92,9 @@ def _cut(full_text: Column, pattern: str) -> Column:
     )
 
 
-def _with_cuts(docs: DataFrame) -> DataFrame:
+def _with_cuts(docs: DataFrame, anchored: bool = False) -> DataFrame:
     """Adds ``cuts`` and ``cut_starts`` for the documents whose route cuts on markers."""
-    cuts = F.when(F.col("route") == "faq", _cut(F.col("full_text"), FAQ_MARKER))
+    cuts = F.when(F.col("route") == "faq", _cut(F.col("full_text"), FAQ_ANCHORED if anchored else FAQ_MARKER))
     none = F.array().cast("array<struct<head:string,body:string>>")
     docs = docs.withColumn("faq_cuts", F.coalesce(cuts, none))
     docs = docs.withColumn(
@@ -143,15 +144,19 @@ def article_segments() -> Column:
     )
 
 
-def faq_segments() -> Column:
+def faq_segments(anchored: bool = False) -> Column:
+    """One segment per question or answer marker; ``anchored`` keeps the text before the first one as a preamble."""
     cuts, starts, bounds = F.col("cuts"), F.col("cut_starts"), F.col("boundaries")
-    return F.transform(
+    lead = X.strip(F.left("full_text", F.get(starts, F.lit(0))))
+    preamble = segment(lead, F.lit(P.PREAMBLE_LABEL), F.lit(""), first_page(bounds), F.lit(0), F.get(starts, F.lit(0)))
+    marked = F.transform(
         cuts,
         lambda c, i: segment(
             X.strip(F.concat(c["head"], c["body"])), F.concat(F.lit("FAQ-"), (i + 1).cast("string")), F.lit(""),
             X.offset_to_page(F.get(starts, i), bounds), F.get(starts, i), F.get(starts, i + 1),
         ),
     )
+    return F.when(F.length(lead) >= P.MIN_CHUNK_LEN, F.concat(F.array(preamble), marked)).otherwise(marked) if anchored else marked
 
 
 def page_segments() -> Column:
@@ -179,14 +184,17 @@ def appendix_segments() -> Column:
     )
 
 
-def split_segments(docs: DataFrame) -> DataFrame:
-    """One row per segment: the document columns plus route, seg_no, seg_text, label, title, page, start, end."""
+def split_segments(docs: DataFrame, anchored: bool = False) -> DataFrame:
+    """One row per segment: the document columns plus route, seg_no, seg_text, label, title, page, start, end.
+
+    ``anchored``: questions and answers are cut only where a marker starts a line, in capitals, and no text before the first one is lost.
+    """
     keep = [c for c in docs.columns if c != "pages"]
-    rows = _with_cuts(with_full_text(docs).withColumn("route", route(F.col("source_file"), F.col("doc_type"))))
+    rows = _with_cuts(with_full_text(docs).withColumn("route", route(F.col("source_file"), F.col("doc_type"))), anchored)
     segs = (
         F.when(F.col("route") == "appendix", appendix_segments())
         .when(F.col("route") == "manual", page_segments())
-        .when(F.col("route") == "faq", faq_segments())
+        .when(F.col("route") == "faq", faq_segments(anchored))
         .otherwise(article_segments())
     )
     rows = rows.select(*keep, "route", "boundaries", F.posexplode(segs).alias("seg_no", "seg"))
@@ -223,9 +231,9 @@ def split_parts(segments: DataFrame) -> DataFrame:
     )
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """Chunk rows in the canonical schema; ``chunk_id`` is a hash of file, segment and part."""
-    parts = split_parts(split_segments(docs)).filter(F.length("text") >= P.MIN_CHUNK_LEN)
+def chunk_documents(docs: DataFrame, anchored: bool = False) -> DataFrame:
+    """Chunk rows in the canonical schema; ``chunk_id`` is a hash of file, segment and part. ``anchored``: see ``split_segments``."""
+    parts = split_parts(split_segments(docs, anchored)).filter(F.length("text") >= P.MIN_CHUNK_LEN)
 
     def given(name: str, default) -> Column:
         return F.col(name) if name in docs.columns else F.lit(default)

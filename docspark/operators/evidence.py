@@ -79,10 +79,10 @@ def statute_text(articles: Column) -> Column:
     return F.array_join(F.flatten(F.transform(articles, article)), "\n")
 
 
-def evidence_union(questions: DataFrame, retrieved: DataFrame, law: DataFrame, extra: DataFrame) -> DataFrame:
+def evidence_union(questions: DataFrame, retrieved: DataFrame, law: DataFrame, extra: DataFrame, placeholder_text: str = P.PLACEHOLDER) -> DataFrame:
     """question_id, place and evidence columns: retrieval, then law, then other sources.
 
-    Each part carries ``rank``. A page or article lookup left without evidence gets a placeholder row.
+    Each part carries ``rank``. A page or article lookup left without evidence gets a row with the placeholder text.
     """
     parts = [
         part.select("question_id", F.lit(no).alias("part"), F.col("rank").cast("bigint").alias("rank"), *COLUMNS)
@@ -93,7 +93,7 @@ def evidence_union(questions: DataFrame, retrieved: DataFrame, law: DataFrame, e
     placeholder = bare.select(
         "question_id", F.lit(3).alias("part"), F.lit(1).cast("bigint").alias("rank"), F.col("doc_name_hint").alias("doc_name"), F.lit("").alias("doc_type"),
         F.lit("").alias("article_no"), F.lit("").alias("article_title"), F.coalesce(F.get("target_pages", F.lit(0)), F.lit(0)).cast("bigint").alias("page"),
-        F.lit(P.PLACEHOLDER).alias("text"),
+        F.lit(placeholder_text).alias("text"),
     )
     place = F.row_number().over(W.partitionBy("question_id").orderBy("part", "rank"))
     return rows.unionByName(placeholder).withColumn("place", place.cast("bigint")).drop("part", "rank")
@@ -118,15 +118,18 @@ def build_context(rows: DataFrame) -> DataFrame:
     return _blocks(rows, _labelled(("문서명", "doc_name"), ("문서유형", "doc_type"), ("조문번호", "article_no"), ("조문제목", "article_title"), ("페이지", "page")))
 
 
-def user_prompts(questions: DataFrame, rows: DataFrame, histories: DataFrame) -> DataFrame:
-    """Prompt per question: mode hint, history, evidence and the question."""
+def user_prompts(
+    questions: DataFrame, rows: DataFrame, histories: DataFrame,
+    history_head: str = P.HISTORY_HEAD, lookup_hint: str = P.LOOKUP_HINT, comparison_hint: str = P.COMPARISON_HINT,
+) -> DataFrame:
+    """Prompt per question: mode hint (``{kind}`` in that of look-ups stands for the kind), history, evidence and the question."""
     contexts = _blocks(rows, _labelled(("문서명", "doc_name"), ("조문", "article_no"), ("페이지", "page")))
     out = questions.join(contexts, "question_id", "left").join(histories, "question_id", "left")
     hint = (
-        F.when(F.col("kind").isin("page_lookup", "article_lookup"), F.replace(F.lit(P.LOOKUP_HINT), F.lit("{kind}"), F.col("kind")))
-        .when(F.col("kind") == "comparison", P.COMPARISON_HINT).otherwise("")
+        F.when(F.col("kind").isin("page_lookup", "article_lookup"), F.replace(F.lit(lookup_hint), F.lit("{kind}"), F.col("kind")))
+        .when(F.col("kind") == "comparison", comparison_hint).otherwise("")
     )
-    history = F.when(F.coalesce("history", F.lit("")) != "", F.concat(F.lit(P.HISTORY_HEAD), "history", F.lit("\n\n"))).otherwise("")
+    history = F.when(F.coalesce("history", F.lit("")) != "", F.concat(F.lit(history_head), "history", F.lit("\n\n"))).otherwise("")
     return out.select("question_id", F.concat(
         hint, history, F.lit("[검색된 근거]\n"), F.coalesce("context", F.lit(P.NO_EVIDENCE)), F.lit("\n\n[질문]\n"), "question"
     ).alias("prompt"))

@@ -91,3 +91,22 @@ def test_part_page_follows_the_text(spark):
     got = sorted(chunks(spark, "a.pdf", "시행령", *pages), key=lambda c: int(c.article_no.split("part ")[1].split("/")[0]))
     assert got[0].page == 1 and got[-1].page == 3
     assert [c.page for c in got] == sorted(c.page for c in got)
+
+
+def test_anchored_questions(spark):
+    """Markers inside a line and small letters do not cut, and the text before the first marker stays."""
+    from docspark import profiles as P
+    from docspark.operators import chunking
+
+    lead = "이 문서는 자주 묻는 것을 모은 것으로 질문과 답변의 순서로 적혀 있습니다. " * 2
+    first = "Q1. 연구비의 용도는 무엇인가요, 그리고 문 앞에서 q 라고 적힌 것은? " + "설명 " * 20
+    second = "○ 답변 사용 가능한 비목을 확인합니다. " + "내용 " * 20
+    docs = spark.createDataFrame(
+        [("자주 묻는 FAQ.pdf", "FAQ", "FAQ", [(1, lead + "\n" + first), (2, second)])],
+        "source_file string, doc_name string, doc_type string, pages array<struct<page_num:int,text:string>>",
+    )
+    loose = [r.seg_text for r in chunking.split_segments(docs).orderBy("seg_no").collect()]
+    got = chunking.split_segments(docs, anchored=True).orderBy("seg_no").collect()
+    assert [r.seg_text for r in got] == [lead.strip(), first.strip(), second.strip()] and len(loose) > 3
+    assert [(r.label, r.page) for r in got] == [(P.PREAMBLE_LABEL, 1), ("FAQ-1", 1), ("FAQ-2", 2)]
+    assert chunking.chunk_documents(docs, anchored=True).count() >= 2
