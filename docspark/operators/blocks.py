@@ -31,6 +31,11 @@ class Best:
         self.held[question] = ids, scores
         self.rows += len(ids)
 
+    def floor(self, question: object) -> float:
+        """The score that an item has to reach to be among the k best so far."""
+        _, scores = self.held.get(question, ((), ()))
+        return float(scores.min()) if len(scores) == self.k else float("-inf")
+
     @property
     def full(self) -> bool:
         return self.rows > HELD_ROWS

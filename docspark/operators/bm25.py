@@ -20,6 +20,8 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_BYTES = 64
 ITEM_BLOCK = 2048
 QUESTION_BLOCK = 512
+QUESTION_BLOCKS_HELD = 64
+ROUNDING = 1e-6
 
 
 def counted(tokens: Column) -> Column:
@@ -90,33 +92,59 @@ def _pack_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _scored(k: int):
-    """Scores of blocks of chunks against blocks of questions, by sums over the terms both hold; k rows per question and task."""
+class _Asked:
+    """A block of questions, taken apart once per task: its distinct terms, and for each question the places of its terms and their weights."""
+
+    def __init__(self, terms: pa.Array, asked: pa.Array, weights: np.ndarray):
+        self.known = terms.unique()
+        at = pc.index_in(terms, self.known).to_numpy(zero_copy_only=False)
+        names = asked.dictionary_encode()
+        of = names.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(len(names.dictionary) + 1))
+        self.questions = [(q, at[order[a:b]], weights[order[a:b]]) for q, a, b in zip(names.dictionary.to_pylist(), cuts, cuts[1:])]
+
+
+def _scored(k: int, prune: bool = True, counts: dict[str, int] | None = None):
+    """Scores of blocks of chunks against blocks of questions, by sums over the terms both hold; k rows per question and task.
+
+    The largest gain of each term in a block bounds the scores there: a question whose bound is below its k-th best score so far passes the block by
+    (``prune``). ``counts`` takes how many blocks were scored and skipped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(k)
+        best, blocks = Best(k), {}
         for batch in batches:
             for row in range(batch.num_rows):
+                number = batch.column("block")[row].as_py()
+                if number not in blocks:
+                    if len(blocks) >= QUESTION_BLOCKS_HELD:
+                        blocks.clear()
+                    terms, names, weights = (batch.column(c)[row].values for c in ("term", "asked", "weight"))
+                    blocks[number] = _Asked(terms, names, weights.to_numpy(zero_copy_only=False))
+                asked = blocks[number]
                 ids = np.array(batch.column("ids")[row].as_py(), dtype=object)
                 sizes = batch.column("sizes")[row].values.to_numpy(zero_copy_only=False)
                 gains = batch.column("gains")[row].values.to_numpy(zero_copy_only=False)
-                asked_terms, asked = batch.column("term")[row].values, batch.column("asked")[row].values.to_pylist()
-                weights = batch.column("weight")[row].values.to_numpy(zero_copy_only=False)
-                known = asked_terms.unique()
-                at = pc.index_in(batch.column("terms")[row].values, known).fill_null(-1).to_numpy(zero_copy_only=False)
+                at = pc.index_in(batch.column("terms")[row].values, asked.known).fill_null(-1).to_numpy(zero_copy_only=False)
                 chunk, hit = np.repeat(np.arange(len(ids)), sizes), at >= 0
                 order = np.argsort(at[hit], kind="stable")
                 chunk, gain, term = chunk[hit][order], gains[hit][order], at[hit][order]
-                start = np.searchsorted(term, np.arange(len(known) + 1))
-                asked_at = pc.index_in(asked_terms, known).to_numpy(zero_copy_only=False)
-                by_question: dict[str, list[int]] = {}
-                for i, question in enumerate(asked):
-                    by_question.setdefault(question, []).append(i)
-                for question, entries in by_question.items():
+                start = np.searchsorted(term, np.arange(len(asked.known) + 1))
+                top, held = np.zeros(len(asked.known)), start[1:] > start[:-1]
+                if held.any():
+                    top[held] = np.maximum.reduceat(gain, start[:-1][held])
+                for question, places, weights in asked.questions:
+                    bound = float((np.maximum(weights, 0) * top[places]).sum())
+                    skip = bound <= 0 or (prune and bound + ROUNDING < best.floor(question))
+                    if counts is not None:
+                        counts["skipped" if skip else "scored"] = counts.get("skipped" if skip else "scored", 0) + 1
+                    if skip:
+                        continue
                     score = np.zeros(len(ids))
-                    for i in entries:
-                        a, b = start[asked_at[i]], start[asked_at[i] + 1]
-                        score[chunk[a:b]] += weights[i] * gain[a:b]
+                    for place, weight in zip(places.tolist(), weights.tolist()):
+                        a, b = start[place], start[place + 1]
+                        score[chunk[a:b]] += weight * gain[a:b]
                     score = np.round(score, 6)
                     found = np.flatnonzero(score > 0)
                     if len(found):
@@ -133,7 +161,7 @@ def search(index: DataFrame, terms: DataFrame, questions: DataFrame, top_n: int
 
     A blocked top-k: chunks are packed where they lie, each with all its terms, so the index is not shuffled. Questions come in
     blocks of about QUESTION_BLOCK; a task scores its chunks against a block and hands on ``top_n`` rows per question, so no
-    (question, chunk) pair becomes a row. Question blocks are broadcast while the asked terms' measured size is under
+    (question, chunk) pair becomes a row; a block that cannot reach a question's k-th best score so far is passed by. Question blocks are broadcast while the asked terms' measured size is under
     BROADCAST_BYTES, beyond that the blocks meet in a salted equi-join.
     """
     spark = index.sparkSession
@@ -158,7 +186,7 @@ def search(index: DataFrame, terms: DataFrame, questions: DataFrame, top_n: int
         salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         salted = packed_asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).join(salted, ["block", "salt"])
-    columns = ["ids", "sizes", "terms", "gains", "asked", "term", "weight"]
+    columns = ["block", "ids", "sizes", "terms", "gains", "asked", "term", "weight"]
     best = met.select(*columns).mapInArrow(_scored(top_n), "asked string, chunk_id string, score double")
     kind = questions.schema["question_id"].dataType
     scores = best.select(F.col("asked").cast(kind).alias("question_id"), "chunk_id", "score")

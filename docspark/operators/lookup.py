@@ -4,38 +4,87 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Callable
 from functools import lru_cache
+from re import _constants, _parser
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from docspark import profiles as P
 from docspark.functions import text as X
 from docspark.operators.matching import containing_all, contains_join
 from docspark.session import settle
 
+SEARCH_SECONDS = 1.0
 HEADER = "(?md)" + "|".join(P.LOOKUP_HEADER)
 
 
 @lru_cache(maxsize=4096)
-def compiled(query: str) -> re.Pattern:
-    """The query as a case-blind pattern, or as a literal where it is none."""
+def compiled(query: str) -> regex.Pattern:
+    """The query as a case-blind pattern, or as a literal where it is none; run by an engine that can be stopped."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            return re.compile(query, re.IGNORECASE | re.MULTILINE)
+            re.compile(query, re.IGNORECASE | re.MULTILINE)
+            return regex.compile(query, regex.IGNORECASE | regex.MULTILINE)
+        except (re.error, regex.error, OverflowError, RecursionError):
+            return regex.compile(re.escape(query), regex.IGNORECASE)
+
+
+def _runs(parts) -> list[str]:
+    """Strings that every match of a parsed pattern holds: runs of characters without case that stand side by side and cannot be left out."""
+    runs, run = [], ""
+    for kind, value in parts:
+        if kind is _constants.LITERAL and chr(value).lower() == chr(value).upper() == chr(value).casefold():
+            run += chr(value)
+            continue
+        runs, run = runs + [run], ""
+        if kind is _constants.SUBPATTERN:
+            runs += _runs(value[3])
+        elif kind in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+            runs += _runs(value[2])
+    return runs + [run]
+
+
+@lru_cache(maxsize=4096)
+def required(query: str) -> str:
+    """The longest string without case that every match of the query holds, from its parse tree; empty if there is none."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            if re.compile(query, re.IGNORECASE | re.MULTILINE).flags & re.VERBOSE:
+                return ""
+            parts = _parser.parse(query, re.IGNORECASE | re.MULTILINE)
         except (re.error, OverflowError, RecursionError):
-            return re.compile(re.escape(query), re.IGNORECASE)
+            parts = _parser.parse(re.escape(query), re.IGNORECASE)
+    return max(_runs(parts), key=len)
+
+
+@F.pandas_udf(StringType())
+def required_text(queries: pd.Series) -> pd.Series:
+    return queries.map(lambda q: required(q) if q is not None else "")
 
 
-@F.pandas_udf(StructType([StructField("match", StringType()), StructField("at", IntegerType())]))
-def first_match(queries: pd.Series, texts: pd.Series) -> pd.DataFrame:
-    """First match of each query in its text and its place from 1; the engine that decides whether a query is a pattern also runs it."""
-    found = [compiled(q).search(t) if t is not None else None for q, t in zip(queries, texts)]
-    return pd.DataFrame({"match": [m.group() if m else None for m in found], "at": [m.start() + 1 if m else 0 for m in found]})
+def first_match(limit_s: float) -> Callable[..., Column]:
+    """First match of each query in its text, its place from 1, and whether the search was stopped after ``limit_s`` seconds."""
+
+    @F.pandas_udf(StructType([StructField("match", StringType()), StructField("at", IntegerType()), StructField("stopped", BooleanType())]))
+    def run(queries: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for query, text in zip(queries, texts):
+            try:
+                found = compiled(query).search(text, timeout=limit_s) if text is not None else None
+                rows.append((found.group(), found.start() + 1, False) if found else (None, 0, False))
+            except TimeoutError:
+                rows.append((None, 0, True))
+        return pd.DataFrame(rows, columns=["match", "at", "stopped"])
+
+    return run
 
 
 def quoted(label: Column) -> Column:
@@ -112,13 +161,21 @@ def read_page(requests: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select("request_id", "source_file", page.cast("bigint").alias("page"), "text", F.length("text").cast("bigint").alias("char_count"), "error")
 
 
-def search_text(requests: DataFrame, pages: DataFrame, max_results: int = 5) -> DataFrame:
+def _searched(requests: DataFrame, pages: DataFrame, limit_s: float) -> DataFrame:
+    """The requests on every page of their document that holds what their pattern cannot do without, with the outcome ``m``."""
+    asked = requests.filter(~X.is_blank(F.coalesce("query", F.lit(""))))
+    needed = asked.select("query").distinct().withColumn("needed", required_text("query"))
+    rows = asked.join(needed, "query").join(pages, "source_file").filter((F.col("needed") == "") | F.contains("text", F.col("needed")))
+    return rows.withColumn("m", first_match(limit_s)("query", "text"))
+
+
+def search_text(requests: DataFrame, pages: DataFrame, max_results: int = 5, limit_s: float = SEARCH_SECONDS) -> DataFrame:
     """First match per page of a case-blind pattern (request_id, source_file, query), on the first pages that match.
 
-    ``pages``: source_file, page_num, text. A query that is no valid pattern is taken literally.
+    ``pages``: source_file, page_num, text. A query that is no valid pattern is taken literally. Only pages that hold the string which the pattern requires
+    reach the pattern, and a pattern has ``limit_s`` seconds for a page; ``stopped_searches`` tells where that was too little.
     """
-    asked = requests.filter(~X.is_blank(F.coalesce("query", F.lit(""))))
-    rows = asked.join(pages, "source_file").withColumn("m", first_match("query", "text")).filter("m.match is not null")
+    rows = _searched(requests, pages, limit_s).filter("m.match is not null")
     order = W.partitionBy("request_id").orderBy("page_num")
     first = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_results)
     first = first.withColumn("match", F.col("m.match")).withColumn("at", F.col("m.at"))
@@ -128,6 +185,11 @@ def search_text(requests: DataFrame, pages: DataFrame, max_results: int = 5) ->
     return first.select("request_id", "source_file", F.col("page_num").alias("page"), "match", excerpt.alias("excerpt"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def stopped_searches(requests: DataFrame, pages: DataFrame, limit_s: float = SEARCH_SECONDS) -> DataFrame:
+    """request_id, source_file, page of the searches that took longer than the limit, so their page counts as not matched."""
+    return _searched(requests, pages, limit_s).filter("m.stopped").select("request_id", "source_file", F.col("page_num").alias("page"))
+
+
 def list_articles(docs: DataFrame) -> DataFrame:
     """Every structural header per page, in order."""
     rows = docs.select("source_file", F.explode("pages").alias("p"))

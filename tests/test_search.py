@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,59 @@ def test_names_in_decomposed_form_have_a_category(spark):
     chunks = spark.createDataFrame([("a", unicodedata.normalize("NFD", "혁신법 시행령")), ("b", "매뉴얼")], "chunk_id string, doc_name string")
     nearest = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.4, 2)], "question_id bigint, chunk_id string, score double, rank int")
     assert {r.category for r in R.category_top1(nearest, chunks).collect()} == {"시행령", "매뉴얼"}
+
+
+def test_blocks_are_passed_by(monkeypatch):
+    """Bounds skip blocks without changing a row; the blocks with a rare term's chunks are scored."""
+    rng = random.Random(8)
+    terms = [f"t{i}" for i in range(60)]
+
+    def batch(block):
+        held = [rng.sample(terms[:50], 6) + (["rare"] if block == 2 and i == 3 else []) for i in range(40)]
+        gains = [[rng.random() for _ in h] for h in held]
+        asked = [(f"q{i % 7}", t, rng.uniform(-0.2, 3)) for i, t in enumerate(terms[:40])] + [("q1", "rare", 9.0), ("q9", "rare", 5.0), ("q9", terms[0], 0.01)]
+        rows = {
+            "block": pa.array([0], pa.int32()), "ids": pa.array([[f"c{block:03d}-{i:02d}" for i in range(40)]]), "sizes": pa.array([[len(h) for h in held]], pa.list_(pa.int32())),
+            "terms": pa.array([[t for h in held for t in h]]), "gains": pa.array([[g for gs in gains for g in gs]]), "asked": pa.array([[a[0] for a in asked]]),
+            "term": pa.array([[a[1] for a in asked]]), "weight": pa.array([[a[2] for a in asked]]),
+        }
+        return pa.RecordBatch.from_pydict(rows)
+
+    rng_state = rng.getstate()
+    out, counted = {}, {}
+    for prune in (True, False):
+        rng.setstate(rng_state)
+        first = [batch(b) for b in range(30)]
+        fixed = first[0]
+        same = [pa.RecordBatch.from_pydict({c: (fixed if c in ("asked", "term", "weight") else b).column(c) for c in b.schema.names}) for b in first]
+        counted[prune] = {}
+        got = pa.Table.from_batches(list(bm25._scored(1, prune, counted[prune])(iter(same)))).to_pylist()
+        out[prune] = sorted((r["asked"], r["chunk_id"], r["score"]) for r in got)
+    assert out[True] == out[False] and len(out[True]) == 8
+    assert dict((q, c) for q, c, _ in out[True])["q9"] == "c002-03"
+    assert counted[True]["skipped"] > counted[False].get("skipped", 0) + 20
+
+
+def test_required_strings():
+    from docspark.operators import lookup
+
+    for query, needed in ((r"제\d+조의\d", "조의"), ("연구활동비를 사", "연구활동비를 사"), ("별표 1(", "별표 1("), (r"(가나|다라)", ""), (r"(마바사)+아?", "마바사"), ("abc", ""), ("a1-2b", "1-2"),
+                          (r"(?x) 가 나", ""), (r"가{0,3}나다*", "나"), (r"[가-하]", ""), ("(?:가(?:나다))라", "가나다라"), ("", "")):
+        assert lookup.required(query) == needed, query
+    rng = random.Random(1)
+    for _ in range(300):
+        query = "".join(rng.choice(["가", "나", "1", "a", ".", "[가나]", "(가1)", "가?", "나+", "(?:1|가)", "\\d", "B"]) for _ in range(5))
+        text = "".join(rng.choice("가나1aAbB ") for _ in range(12))
+        if lookup.compiled(query).search(text):
+            assert lookup.required(query) in text, (query, text)
+
+
+def test_a_pattern_that_does_not_end(spark):
+    """Nested repeats stop at the limit and are reported; other pages and patterns are found."""
+    from docspark.operators import lookup
+
+    pages = spark.createDataFrame([("f", 1, "a" * 60 + "!"), ("f", 2, "가나 aaa"), ("f", 3, "다")], "source_file string, page_num long, text string")
+    asked = spark.createDataFrame([(1, "f", "(a|aa)+$"), (2, "f", "가나")], "request_id long, source_file string, query string")
+    assert {(r.request_id, r.page) for r in lookup.search_text(asked, pages, limit_s=0.3).collect()} == {(1, 2), (2, 2)}
+    stopped = {(r.request_id, r.page) for r in lookup.stopped_searches(asked, pages, limit_s=0.3).collect()}
+    assert stopped == {(1, 1)}
