@@ -199,14 +199,9 @@ def list_articles(docs: DataFrame) -> DataFrame:
     return rows.select("source_file", "page", F.col("pos").cast("bigint").alias("pos"), label.alias("article_no"))
 
 
-def article_span(requests: DataFrame, docs: DataFrame) -> DataFrame:
-    """Text of a requested label (request_id, source_file, article_no) up to the next header, or whole pages that name it.
-
-    Every request works on its own document row. A header that is missing, or whose text is under 100 characters,
-    falls back to the first three of the five first pages that mention the label.
-    """
-    rows = requests.join(docs.select("source_file", "pages"), "source_file")
-    rows = rows.withColumn("full", F.array_join(F.transform("pages", lambda p: p["text"]), "\n"))
+def _with_cuts(docs: DataFrame) -> DataFrame:
+    """Adds the whole text, its page boundaries and its header cuts (start, length and normalised label)."""
+    rows = docs.withColumn("full", F.array_join(F.transform("pages", lambda p: p["text"]), "\n"))
     rows = rows.withColumn("heads", F.regexp_extract_all("full", F.lit(HEADER), F.lit(0))).withColumn("bodies", F.split("full", HEADER))
     rows = rows.withColumn("page_starts", X.running_starts(F.transform("pages", lambda p: F.length(p["text"])), gap=1))
     rows = rows.withColumn("boundaries", F.zip_with(
@@ -214,9 +209,48 @@ def article_span(requests: DataFrame, docs: DataFrame) -> DataFrame:
         lambda p, s: F.struct(s.alias("start"), p["page_num"].alias("page_num"))))
     seg_lengths = F.zip_with("heads", F.slice("bodies", F.lit(2), F.size("heads")), lambda h, b: F.length(h) + F.length(b))
     rows = rows.withColumn("ends", X.running_starts(seg_lengths)).withColumn("lead", F.length(F.get("bodies", F.lit(0))))
-    rows = rows.withColumn("cuts", F.zip_with(
+    return rows.withColumn("cuts", F.zip_with(
         "heads", F.slice("ends", F.lit(1), F.size("heads")),
         lambda h, s: F.struct((s + F.col("lead")).alias("start"), F.length(h).alias("n"), F.regexp_replace(h, r"[\s■◎●]", "").alias("label"))))
+
+
+def segment_table(docs: DataFrame) -> DataFrame:
+    """source_file, norm, body, start_page, end_page: the first segment of every label of every document, up to the next header.
+
+    A document is cut once, whatever is asked of it.
+    """
+    rows = _with_cuts(docs.select("source_file", "pages")).select("source_file", "full", "boundaries", "cuts", F.posexplode("cuts").alias("no", "cut"))
+    nxt = F.get("cuts", F.col("no") + 1)["start"]
+    rows = rows.withColumn("start", F.col("cut.start")).withColumn("end", F.coalesce(nxt, F.length("full")))
+    body = F.coalesce(X.strip(F.substring(F.col("full"), F.col("start") + 1, F.col("end") - F.col("start"))), F.lit(""))
+    pages = [X.offset_to_page(at, F.col("boundaries")).alias(c) for c, at in (("start_page", F.col("start")), ("end_page", F.greatest(F.col("start"), F.col("end") - 1)))]
+    cut = rows.select("source_file", F.col("cut.label").alias("norm"), F.col("no"), body.alias("body"), *pages)
+    first = F.min_by(F.struct("body", "start_page", "end_page"), "no").alias("s")
+    return cut.groupBy("source_file", "norm").agg(first).select("source_file", "norm", "s.*")
+
+
+def article_span(requests: DataFrame, docs: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """Text of a requested label (request_id, source_file, article_no) up to the next header, or whole pages that name it.
+
+    Labels are met in the segment table (by default that of the documents that are asked for). Only requests for other wordings, and those whose segment is missing
+    or under 100 characters, look at their document: they get the text at the wording, or the first three of the five first pages that mention it.
+    """
+    if segments is None:
+        segments = segment_table(docs.join(requests.select("source_file").distinct(), "source_file", "left_semi"))
+    norm = F.regexp_replace("article_no", r"\s+", "")
+    asked = requests.select("request_id", "source_file", "article_no", norm.alias("norm"), F.regexp_like(norm, F.lit(P.LOOKUP_LABEL)).alias("known"))
+    long = segments.filter(F.length("body") >= P.ARTICLE_BODY_MIN)
+    met = settle(asked.join(long, ["source_file", "norm"], "left").withColumn("direct", F.col("known") & F.col("body").isNotNull()))
+    hwp = F.regexp_like(F.lower("source_file"), F.lit(r"\.hwpx?$"))
+    page = lambda c: F.when(hwp, F.lit(1)).otherwise(F.col(c)).cast("bigint").alias(c)
+    found = met.filter("direct").select("request_id", "source_file", "article_no", F.col("body").alias("text"), page("start_page"), page("end_page"), F.lit("header").alias("matched_via"))
+    rest = met.filter("not coalesce(direct, false)").select("request_id", "source_file", "article_no")
+    return found.unionByName(_span_in_text(rest, docs))
+
+
+def _span_in_text(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same with the whole document of each request at hand."""
+    rows = requests.join(_with_cuts(docs.join(requests.select("source_file").distinct(), "source_file", "left_semi").select("source_file", "pages")), "source_file")
     norm = F.regexp_replace("article_no", r"\s+", "")
     known = F.regexp_like(norm, F.lit(P.LOOKUP_LABEL))
     hit = F.get(F.filter("cuts", lambda c: c["label"] == F.col("norm")), F.lit(0))

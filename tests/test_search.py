@@ -297,3 +297,20 @@ def test_a_pattern_that_does_not_end(spark):
     assert {(r.request_id, r.page) for r in lookup.search_text(asked, pages, limit_s=0.3).collect()} == {(1, 2), (2, 2)}
     stopped = {(r.request_id, r.page) for r in lookup.stopped_searches(asked, pages, limit_s=0.3).collect()}
     assert stopped == {(1, 1)}
+
+
+def test_segments_give_the_same_spans(spark):
+    """Requests served from the segment table get what a look at their whole document gives."""
+    from docspark.operators import lookup
+
+    rng = random.Random(6)
+    rows = []
+    for d in range(6):
+        pages = ["\n".join(rng.choice(["제3조(목적)", "제3조의2(범위)", "별표 1", "부칙", "본문 " * 60, "짧다", "제3조 참조"]) for _ in range(6)) for _ in range(3)]
+        rows.append((f"f{d}.pdf", [(i + 1, t) for i, t in enumerate(pages)]))
+    docs = spark.createDataFrame(rows, "source_file string, pages array<struct<page_num:int,text:string>>")
+    labels = ["제3조", "제 3조", "제3조의2", "별표 1", "부칙", "본문", "제9조", "없는 말", "짧다", None]
+    asked = spark.createDataFrame([(d * 100 + i, f"f{d}.pdf", label) for d in range(7) for i, label in enumerate(labels)], "request_id long, source_file string, article_no string")
+    got = {tuple(r) for r in lookup.article_span(asked, docs).collect()}
+    assert got == {tuple(r) for r in lookup._span_in_text(asked, docs).collect()} and len(got) == 60
+    assert {r[6] for r in got} == {"header", "fallback", "none"}
