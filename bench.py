@@ -31,7 +31,7 @@ BUILDS = {
     "build_words": lambda spark, sf: matching.word_index(derived.spread(derived.chunks(spark, sf))),
     "build_vocabulary": lambda spark, sf: matching.vocabulary(derived.words(spark, sf)),
     "build_bm25_index": lambda spark, sf: bm25.chunk_terms(derived.spread(derived.chunks(spark, sf))),
-    "build_bm25_terms": lambda spark, sf: bm25.term_stats(bm25.chunk_terms(derived.spread(derived.chunks(spark, sf)))),
+    "build_bm25_terms": lambda spark, sf: bm25.term_stats(derived.bm25_index(spark, sf)),
 }
 
 
