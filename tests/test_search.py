@@ -108,6 +108,27 @@ def test_label_does_not_match_a_branch_article(spark):
     assert got == {("제15조", "1"), ("제15조", "3"), ("제15조의2", "2"), ("별표 2", "4")}
 
 
+def test_tokens_are_those_of_the_expressions(spark):
+    """The batch functions against Spark's own expressions: odd letters, particles, nulls, and a term of every count."""
+    texts = ["", " ", None, "\u212aelvin İstanbul ÀB straße", "혁신법에서는 연구개발비를 ABC는 Ab제3조의 에서는 가에서는 비용은요 사용자는", "x yy YY zzz " * 40, "가나다라마는 가나다는\n부터까지 기관으로부터"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    shorter = lambda w: F.regexp_replace(w, T.LONG_PARTICLE, "$1")
+    stripped = lambda w: F.when(shorter(w) != w, shorter(w)).otherwise(F.regexp_replace(w, T.SHORT_PARTICLE, "$1"))
+    normal = F.transform(T.words(F.col("t")), lambda w: F.when(F.regexp_like(w, F.lit("[가-힣]")), stripped(w)).otherwise(F.lower(w)))
+    hashed = lambda t: F.conv(F.left(F.md5(t.cast("binary")), F.lit(4)), 16, 10).cast("int") % 64
+    plain = rows.select("i", F.filter(normal, lambda t: F.length(t) >= 2).alias("tokens")).select("i", "tokens", F.transform("tokens", hashed).alias("buckets"))
+    made = rows.select("i", T.index_tokens(F.col("t")).alias("got"), T.token_buckets(F.col("t"), 64).alias("places"), T.counted_tokens(F.col("t")).alias("c"))
+    for r in plain.join(made, "i").collect():
+        assert r.got == (r.tokens or []) and r.places == (r.buckets or []) and r.c.doc_len == len(r.got)
+        assert [tuple(t) for t in r.c.terms] == sorted((t, r.got.count(t)) for t in set(r.got))
+
+
+def test_a_worker_keeps_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(T, "KEPT_WORDS", 3)
+    kept = T._Kept(str.upper)
+    assert [kept[x] for x in "abcdabcd"] == list("ABCDABCD") and len(kept) <= 3
+
+
 def test_tokens(spark):
     text = "연구활동비를 사용용도 Budget 매뉴얼에서는 A 3D프린터는"
     got = spark.createDataFrame([(text,)], "t string").select(T.index_tokens(F.col("t")).alias("k")).first().k
