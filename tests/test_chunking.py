@@ -110,3 +110,30 @@ def test_anchored_questions(spark):
     assert [r.seg_text for r in got] == [lead.strip(), first.strip(), second.strip()] and len(loose) > 3
     assert [(r.label, r.page) for r in got] == [(P.PREAMBLE_LABEL, 1), ("FAQ-1", 1), ("FAQ-2", 2)]
     assert chunking.chunk_documents(docs, anchored=True).count() >= 2
+
+
+def test_segments_are_cut_once(spark):
+    """Every document is searched for headers once per route, and a segment is split into parts once."""
+    row = [("a.pdf", "혁신법", "시행령", [(1, "제1조(목적)\n" + "가나다라마 " * 30)])]
+    docs = spark.createDataFrame(row, "source_file string, doc_name string, doc_type string, pages array<struct<page_num:int,text:string>>").localCheckpoint()
+    plan = C.chunk_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and plan.count(C.X.item_boundary(C.P.ITEM_MARKERS)) == 1
+
+
+def test_headers_start_lines(spark):
+    """The joined header pattern finds what the single patterns find."""
+    text = "\n \n부 칙\n제1조(가) 나\n    제2조(다)\n   제3조 (라\n마)\n■ 별표 4\n별표\n 별표 없음\n가 제5조(사)\n\n\n◎ 별표 6 (아)\n부칙"
+    got = spark.createDataFrame([(text,)], "t string").select(
+        F.regexp_extract_all("t", F.lit(C.ARTICLE_HEADER), F.lit(0)).alias("new"), F.regexp_extract_all("t", F.lit("(?md)" + "|".join(C.P.ARTICLE_PATTERNS)), F.lit(0)).alias("old")).first()
+    assert got.new == got.old and len(got.new) > 4
+
+
+def test_offsets_do_not_read_the_text_for_every_cut(spark):
+    """The start of each cut, with a text before the first one; no lambda holds the length of the whole text."""
+    text = "머리말\n" + "".join(f"제{n}조(목적)\n" + "가나 " * n + "\n" for n in range(1, 60))
+    docs = spark.createDataFrame([(text, "articles")], "full_text string, route string").localCheckpoint()
+    cut = C._with_cuts(docs)
+    got = cut.select("cut_starts", "cuts").first()
+    assert [text[a:].startswith(c.head) for a, c in zip(got.cut_starts, got.cuts)] == [True] * 59 and got.cut_starts[-1] == len(text)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert not [part for part in plan.split("lambdafunction(")[1:] if "length(full_text" in part.split(", lambda ")[0]]
