@@ -68,6 +68,20 @@ def test_top_k_within_equals_brute_force(spark, vectors, monkeypatch):
         assert mine == [n[1] for n in nearest([x for x in items if x[0] in set(sets[s])], v, 4)]
 
 
+def test_members_of_many_sets_are_shuffled_once(spark, vectors, monkeypatch):
+    """Vectors meet the numbers of their sets and are packed where they lie; the salted way gives the same rows."""
+    monkeypatch.setattr(dense, "ITEM_BLOCK", 7)
+    items, asked = vectors
+    members = spark.createDataFrame([(str(s), i) for s in range(12) for n, (i, _) in enumerate(items) if n % 12 >= s], "s string, chunk_id string")
+    wanted = spark.createDataFrame([(str(s), f"{q}:{s}", v) for q, v in asked for s in range(13)], "s string, asked string, embedding array<double>")
+    rows = spark.createDataFrame(items, "chunk_id string, embedding array<double>")
+    near = dense.top_k_within(wanted, members, rows, ["s"], 4)
+    assert "collect_list(struct(chunk_id" not in near._jdf.queryExecution().optimizedPlan().toString().replace("#", "")
+    got = sorted(map(tuple, near.select("asked", "chunk_id", "rank").collect()))
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", 0)
+    assert got == sorted(map(tuple, dense.top_k_within(wanted, members, rows, ["s"], 4).select("asked", "chunk_id", "rank").collect())) and len(got) == 7 * 12 * 4
+
+
 @pytest.mark.parametrize("chars", [needles.GROUP_CHARS, 4000])
 def test_many_overlapping_needles(spark, monkeypatch, chars):
     """5,000 needles, many inside one another, in one group and in several."""
