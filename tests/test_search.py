@@ -349,3 +349,14 @@ def test_segments_give_the_same_spans(spark):
     got = {tuple(r) for r in lookup.article_span(asked, docs).collect()}
     assert got == {tuple(r) for r in lookup._span_in_text(asked, docs).collect()} and len(got) == 60
     assert {r[6] for r in got} == {"header", "fallback", "none"}
+
+
+def test_words_are_read_once(spark):
+    """The word index splits no text in an expression, which the filter of an explode would ask for again; null texts have no words."""
+    rows = [("a", "가나 Ab가나 ab, ab 3-4"), ("b", ""), ("c", None), ("d", "!?"), ("e", "다라\n가나")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string").localCheckpoint()
+    got = matching.word_index(chunks)
+    plain = chunks.select("chunk_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 7
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and plan.count("ArrowEvalPython") == 1
