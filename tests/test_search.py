@@ -360,3 +360,20 @@ def test_words_are_read_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 7
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "split(" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_unasked_terms_stay_behind(spark):
+    """A packed index holds the asked terms only, with the gains they had, and searches alike whether they are sent along or not."""
+    rows = [("a", 4, [("x", 2), ("y", 2)]), ("b", 2, [("z", 2)]), ("c", 0, []), ("d", 6, [("w", 1), ("x", 5)])]
+    index = spark.createDataFrame(rows, "chunk_id string, doc_len int, terms array<struct<term:string,tf:int>>")
+    schema = "ids array<string>, sizes array<int>, terms array<string>, gains array<double>"
+
+    def packed(known):
+        rows = index.coalesce(1).mapInArrow(bm25._pack_index(known, 3.0), schema).collect()
+        return [(i, n, t, g) for r in rows for i, n, t, g in [(list(r.ids), list(r.sizes), list(r.terms), list(r.gains))]]
+
+    gain = lambda tf, n: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 3.0))
+    ((ids, sizes, terms, gains),) = packed(spark.sparkContext.broadcast(pa.array(["x", "q"])))
+    assert (ids, sizes, terms) == (["a", "d"], [1, 1], ["x", "x"]) and gains == pytest.approx([gain(2, 4), gain(5, 6)])
+    ((ids, sizes, terms, gains),) = packed(None)
+    assert (ids, sizes, terms) == (["a", "b", "d"], [2, 1, 2], ["x", "y", "z", "w", "x"])
