@@ -377,3 +377,9 @@ def test_unasked_terms_stay_behind(spark):
     assert (ids, sizes, terms) == (["a", "d"], [1, 1], ["x", "x"]) and gains == pytest.approx([gain(2, 4), gain(5, 6)])
     ((ids, sizes, terms, gains),) = packed(None)
     assert (ids, sizes, terms) == (["a", "b", "d"], [2, 1, 2], ["x", "y", "z", "w", "x"])
+
+
+def test_a_latin_word_asks_no_pattern(monkeypatch):
+    """Words of ASCII letters and digits are only put in lower case; Korean ones lose one particle."""
+    monkeypatch.setattr(T.re, "search", lambda *_: pytest.fail("searched"))
+    assert [T.normal(w) for w in ("AbC9", "연구에서는", "연구활동비를", "활동을", "A연구에서")] == ["abc9", "연구", "연구활동비", "활동을", "A연구"]
