@@ -352,7 +352,7 @@ def test_segments_give_the_same_spans(spark):
 
 
 def test_words_are_read_once(spark):
-    """The word index splits no text in an expression, which the filter of an explode would ask for again; null texts have no words."""
+    """The word index reads its texts in one batch function, not in split expressions; null texts have no words."""
     rows = [("a", "가나 Ab가나 ab, ab 3-4"), ("b", ""), ("c", None), ("d", "!?"), ("e", "다라\n가나")]
     chunks = spark.createDataFrame(rows, "chunk_id string, text string").localCheckpoint()
     got = matching.word_index(chunks)
