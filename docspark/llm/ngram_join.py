@@ -9,11 +9,12 @@ A text's tokens are the hashes of its distinct word shingles. Texts link when de
    c - k + 1 before no combination is shared. A prefix is extended until rare tokens and parts together can miss t + 1, so linked texts
    share a signature. The number of parts belongs to a range of sizes; a text emits combinations for its own range and the next, so that
    partners always meet in one.
-3. *Candidates.* Texts with equal sets are one node. In every signature group the nodes are paired with the smallest of them, which is as many pairs
-   as members; those whose sizes and 64 counters of tokens allow a link (an upper bound of the similarity, so nothing is lost) are compared
-   token by token, and the linked ones are joined to components.
+3. *Candidates.* Texts with equal sets are one node. Signatures are shuffled once, sorted; a pass over them keeps the groups of several nodes. In every
+   group the nodes are paired with the smallest of them, which is as many pairs as members; those whose sizes and 64 counters of tokens allow a link
+   (an upper bound of the similarity, so nothing is lost) are compared token by token, and the linked ones are joined to components.
 4. *Verification of the rest.* Only groups that still hold several components are compared further, in blocks inside tasks: first by sizes and
-   counters, which leaves the nodes that can have a link to another component, then these token by token. Pairs whose components a link has joined
+   64 counters, then by a sketch of a counter for every two to four tokens (the same bound, but as sharp for long texts as for short ones). That leaves
+   the nodes that can have a link to another component, and only these meet with their tokens. Pairs whose components a link has joined
    are skipped, so a task hands on fewer links than it has nodes. Components follow from all links.
 
 Cases: a null or blank text has no tokens and links with nothing; with fewer than k words the whole sequence is the only token; repeated rows are
@@ -28,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,20 @@ def set_marks(tokens: np.ndarray) -> tuple[int, int]:
     return one - (one >> 63 << 64), two - (two >> 63 << 64)
 
 
+class Recent:
+    """The last sets that a task met, one in each of 2^16 slots. It knows most copies again and takes no set for another."""
+
+    def __init__(self):
+        self.slots: dict[int, tuple[int, int]] = {}
+
+    def new(self, name: tuple[int, int]) -> bool:
+        slot = name[0] & 0xFFFF
+        if self.slots.get(slot) == name:
+            return False
+        self.slots[slot] = name
+        return True
+
+
 def needed(n: int, num: int, den: int) -> int:
     """Tokens that a partner must share with a set of n."""
     return -(-n * num // den)
@@ -169,34 +185,95 @@ def _profile(k: int, marked: bool):
 
 def _signatures(k: int, sizes, bounds, num: int, den: int, counters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = Prefixes(counters.value, sizes, bounds, num, den)
+        prefixes, recent = Prefixes(counters.value, sizes, bounds, num, den), Recent()
         for batch in pieces(batches, "text"):
-            sets = [s for s in token_sets(batch.column("text"), k) if len(s)]
-            found = [prefixes.signatures(s) for s in sets]
+            named = [(s, set_marks(s)) for s in token_sets(batch.column("text"), k) if len(s)]
+            named = [(s, name) for s, name in named if recent.new(name)]
+            found = [prefixes.signatures(s) for s, _ in named]
             if found:
-                nodes = np.repeat(np.array([set_marks(s)[0] for s in sets], np.int64), [len(f) for f in found])
+                nodes = np.repeat(np.array([name[0] for _, name in named], np.int64), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], names=["sig", "node"])
 
     return run
 
 
+def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sig, hub, node of the signatures that several nodes have, each node once; hub is the smallest. The rows come sorted by sig and node.
+
+    Of a group that a batch does not end, only its hub, its last node and whether that is the hub are held.
+    """
+    held = None
+    for batch in batches:
+        sig, node = (batch.column(c).to_numpy() for c in ("sig", "node"))
+        if not len(sig):
+            continue
+        new_sig = np.append(True, sig[1:] != sig[:-1])
+        new_node = np.append(True, node[1:] != node[:-1]) | new_sig
+        if held is not None and held[0] == sig[0]:
+            new_sig[0], new_node[0] = False, held[2] != node[0]
+        sig, node, starts = sig[new_node], node[new_node], new_sig[new_node]
+        if not len(sig):
+            continue
+        group = np.cumsum(starts)
+        hubs = np.append(0 if held is None else held[1], node[starts])[group]
+        after_hub = np.append(held is not None and held[2] == held[1], starts[:-1]) & ~starts
+        to = np.flatnonzero(~starts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([sig[after_hub], sig[to]])), pa.array(np.concatenate([hubs[after_hub], hubs[to]])), pa.array(np.concatenate([hubs[after_hub], node[to]]))],
+            names=["sig", "hub", "node"],
+        )
+        held = (sig[-1], hubs[-1], node[-1])
+
+
 def histogram(tokens: np.ndarray) -> bytes:
     """64 counters of a set, up to 255. Their distance is at most the number of tokens that only one of two sets has."""
     return np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """``histogram`` with a counter for every two to four tokens, 64 at least."""
+    bits = max(6, (len(tokens) - 1).bit_length() - 2)
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(counters: np.ndarray, width: int) -> np.ndarray:
+    return counters if len(counters) == width else counters.reshape(width, -1).sum(axis=1, dtype=np.int64)
+
+
+def sketch_gap(x: np.ndarray, y: np.ndarray) -> int:
+    """At most the number of tokens that only one of two sets has, from their sketches as int16."""
+    width = min(len(x), len(y))
+    return int(np.abs(folded(x, width) - folded(y, width)).sum(dtype=np.int64))
+
+
+def row_keys(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What ``_row_key`` gives in Spark."""
+    ids = ids.view(np.uint64)
+    return nodes.view(np.uint64) ^ ids ^ (ids << np.uint64(bitmap.SHIFT)) ^ (ids << np.uint64(2 * bitmap.SHIFT))
+
+
+def _row_key(node: str, id: str):
+    """A value of the set and the id of a row, with the id in the bits of every probe of a bitmap."""
+    known = F.coalesce(F.col(id), F.lit(0).cast("bigint"))
+    return F.col(node).bitwiseXOR(known).bitwiseXOR(F.shiftleft(known, bitmap.SHIFT)).bitwiseXOR(F.shiftleft(known, 2 * bitmap.SHIFT))
+
+
 def _sets(k: int, live):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
         for batch in pieces(batches, "text"):
             sets = token_sets(batch.column("text"), k)
-            nodes = np.array([set_marks(s)[0] if len(s) else 0 for s in sets], np.int64)
-            rows = [i for i in np.flatnonzero(bitmap.holds(live.value, nodes.view(np.uint64))).tolist() if len(sets[i])]
+            names = [set_marks(s) for s in sets]
+            nodes = np.array([name[0] for name in names], np.int64)
+            ids = pc.fill_null(batch.column("id"), 0).to_numpy()
+            wanted = np.flatnonzero(bitmap.holds(live.value, row_keys(nodes, ids))).tolist()
+            rows = [i for i in wanted if len(sets[i]) and recent.new(names[i])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(nodes[rows]), pa.array([set_marks(sets[i])[1] for i in rows], pa.int64()),
-                    pa.array([sets[i].tobytes() for i in rows], pa.binary()), batch.column("id").take(pa.array(rows, pa.int64())),
+                    pa.array(nodes[rows]), pa.array([names[i][1] for i in rows], pa.int64()), pa.array([len(sets[i]) for i in rows], pa.int64()),
+                    pa.array([sketch(sets[i]) for i in rows], pa.binary()), pa.array([sets[i].tobytes() for i in rows], pa.binary()),
                 ],
-                names=["node", "s2", "tokens", "id"],
+                names=["node", "s2", "n", "sketch", "tokens"],
             )
 
     return run
@@ -269,6 +346,24 @@ def _open_rows(num: int, den: int):
     return run
 
 
+def _near_rows(num: int, den: int):
+    """hub, node and label of the rows that have a possible partner of another component in their cell, by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cell in by_cell(batches, ("hub", "i", "j")):
+            label, n, side = (table.column(c).to_numpy() for c in ("label", "n", "side"))
+            sketches = [np.frombuffer(x, np.uint8).astype(np.int16) for x in table.column("sketch").to_pylist()]
+            hist = np.array([folded(x, 64) for x in sketches], np.int32).reshape(-1, 64)
+            hit = np.zeros(table.num_rows, bool)
+            for a, b in possible_pairs(cell, label, n, side, hist, num, den):
+                for x, y in zip(a.tolist(), b.tolist()):
+                    if not (hit[x] and hit[y]) and may_link(n[x], n[y], sketch_gap(sketches[x], sketches[y]), num, den):
+                        hit[x] = hit[y] = True
+            yield from table.filter(pa.array(hit)).select(["hub", "node", "label"]).to_batches()
+
+    return run
+
+
 def _links(num: int, den: int):
     """Links between components inside each cell, token by token; pairs whose components a link has joined are skipped."""
 
@@ -277,7 +372,8 @@ def _links(num: int, den: int):
             node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
             tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
             n = np.array([len(t) for t in tokens], np.int64)
-            hist = np.array([np.frombuffer(histogram(t), np.uint8) for t in tokens], np.int16).reshape(-1, 64)
+            sketches = [np.frombuffer(sketch(t), np.uint8).astype(np.int16) for t in tokens]
+            hist = np.array([folded(x, 64) for x in sketches], np.int32).reshape(-1, 64)
             parent: dict[tuple[int, int], tuple[int, int]] = {}
 
             def top(x):
@@ -289,7 +385,7 @@ def _links(num: int, den: int):
             for a, b in possible_pairs(cell, label, n, side, hist, num, den):
                 for x, y in zip(a.tolist(), b.tolist()):
                     one, two = top((int(cell[x]), int(label[x]))), top((int(cell[y]), int(label[y])))
-                    if one != two and linked(tokens[x], tokens[y], num, den):
+                    if one != two and may_link(n[x], n[y], sketch_gap(sketches[x], sketches[y]), num, den) and linked(tokens[x], tokens[y], num, den):
                         parent[one] = two
                         found.append((int(node[x]), int(node[y])))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -323,49 +419,61 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
 
 
 def _token_sets(asked: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, tokens of the asked nodes: one text of each set sends its tokens, the others stay where they are."""
-    found = rows.mapInArrow(_sets(k, bitmap.build(asked, "node")), "node bigint, s2 bigint, tokens binary, id bigint")
-    one = asked.join(nodes, "node").select("node", "s2", "first")
-    sets = found.join(one, ["node", "s2"]).filter(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["node", "s2", "id"])
-    return settle_wide(sets.select("node", "tokens"))
+    """node, s2, n, sketch, tokens of the asked nodes, written where the texts are read.
+
+    A text is taken if a bitmap may hold its set and its id as the first of the set. So other nodes and repeats may be among the rows, but few.
+    """
+    firsts = asked.join(nodes, "node").select(_row_key("node", "first").alias("key"))
+    return settle_wide(rows.mapInArrow(_sets(k, bitmap.build(settle(firsts), "key")), "node bigint, s2 bigint, n bigint, sketch binary, tokens binary"))
+
+
+def _by_node(sets: DataFrame, *columns: str) -> DataFrame:
+    """node and these columns, each set once."""
+    return sets.select("node", "s2", *columns).repartition("node").dropDuplicates(["node", "s2"]).drop("s2")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link."""
     asked = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     sets = _token_sets(asked, rows, nodes, k)
-    out = settle_wide(pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").mapInArrow(_verify(num, den), "a bigint, b bigint").distinct())
+    of_node = _by_node(sets, "tokens")
+    out = settle_wide(pairs.join(_side(of_node, "a"), "a").join(_side(of_node, "b"), "b").mapInArrow(_verify(num, den), "a bigint, b bigint").distinct())
     discard(sets)
     return out
 
 
-def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """The rows of each key in cells (key, i, j) of two blocks of about ``block`` rows, sorted by cell. side: 0 if both blocks are one, else -1 or 1."""
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+def _cells(rows: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame:
+    """The rows of the keys in ``sizes`` (key, size), once for each cell (key, i, j) of two blocks of about ``block`` rows. side: 0 if both blocks are one, else -1 or 1."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"), F.signum(x - F.col("own")).cast("int").alias("side")))
-    dealt = rows.join(sizes, key).withColumn("own", own).withColumn("cell", F.explode(cells)).select(*rows.columns, "cell.*")
-    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    dealt = rows.join(sizes.select(key, blocks.alias("blocks")), key).withColumn("own", own)
+    return dealt.withColumn("cell", F.explode(cells)).select(*rows.columns, "cell.*")
+
+
+def _met(cells: DataFrame, key: str) -> DataFrame:
+    return cells.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def _open_links(members: DataFrame, labels: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between different components that share a signature group, as few as join what they join.
 
-    Sizes and histograms, in the signature groups, tell which nodes can have such a link. Those nodes meet once more with their tokens, in the groups of
-    their hub, and are compared there.
+    Sizes and histograms, in the signature groups, tell which nodes can have such a link. Those nodes meet once more in the groups of their hub, first
+    with their sketches, and the ones that still can have a link with their tokens.
     """
     known = members.join(labels, members["node"] == labels["labelled"], "left").select("sig", "hub", "node", F.coalesce("component", "node").alias("label"))
     several = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2")
-    small = nodes.select("node", "n", "hist")
-    groups = _dealt(known.join(several.select("sig"), "sig").join(small, "node"), "sig", BLOCK)
+    groups = _met(_cells(known, several, "sig", BLOCK).join(nodes.select("node", "n", "hist"), "node"), "sig")
     open_ = settle(groups.mapInArrow(_open_rows(num, den), "hub bigint, node bigint").distinct())
     if not open_.limit(1).count():
         return open_.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     sets = _token_sets(settle(open_.select("node").distinct()), rows, nodes, k)
     named = open_.join(labels, open_["node"] == labels["labelled"], "left").select("hub", "node", F.coalesce("component", "node").alias("label"))
-    met = _dealt(named, "hub", TOKEN_BLOCK).join(sets, "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    out = settle_wide(met.mapInArrow(_links(num, den), "a bigint, b bigint").distinct())
+    sketched = _cells(named, named.groupBy("hub").agg(F.count("*").alias("size")), "hub", BLOCK).join(_by_node(sets, "n", "sketch"), "node")
+    near = settle_wide(_met(sketched, "hub").mapInArrow(_near_rows(num, den), "hub bigint, node bigint, label bigint").distinct())
+    met = _cells(near, near.groupBy("hub").agg(F.count("*").alias("size")), "hub", TOKEN_BLOCK).join(_by_node(sets, "tokens"), "node")
+    out = settle_wide(_met(met, "hub").mapInArrow(_links(num, den), "a bigint, b bigint").distinct())
     discard(sets)
     return out
 
@@ -388,10 +496,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id: str = "
     usual = float(counters.mean())
     bounds = tuple(int((usual + 6 * usual**0.5 + 16) * 16**i) for i in range(len(sizes) - 1))
     shared = spark.sparkContext.broadcast(counters)
-    sigs = settle_wide(rows.mapInArrow(_signatures(k, sizes, bounds, num, den, shared), "sig bigint, node bigint"))
-    groups = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").drop("far")
-    members = settle(sigs.join(groups, "sig").select("sig", "hub", "node").distinct())
-    discard(sigs)
+    sigs = rows.mapInArrow(_signatures(k, sizes, bounds, num, den, shared), "sig bigint, node bigint").repartition("sig").sortWithinPartitions("sig", "node")
+    members = settle_wide(sigs.mapInArrow(members_of, "sig bigint, hub bigint, node bigint"))
     of_sets = profile.filter("counter is null and n > 0").groupBy("s1", "s2").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.first("hist").alias("hist"))
     nodes = settle(of_sets.withColumnRenamed("s1", "node"))
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()

@@ -81,6 +81,71 @@ def test_every_token_frequent(spark):
                         assert signed[i] & signed[j]
 
 
+def test_members_of_signatures():
+    """Groups of several nodes, each node once, wherever the batches end."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for size in (1, 2, 3, 7, 1000):
+        rows = sorted((rng.randrange(-40, 40), rng.choice([-5, -1, 0, 3, 9])) for _ in range(150))
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows[i : i + size])], names=["sig", "node"]) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in ngram_join.members_of(iter(batches)) for r in b.to_pylist()]
+        nodes = {}
+        for sig, node in rows:
+            nodes.setdefault(sig, set()).add(node)
+        assert sorted(got) == sorted((sig, min(of), node) for sig, of in nodes.items() if len(of) > 1 for node in of)
+
+
+def test_sketches_of_long_sets():
+    """A sketch's distance never exceeds the difference of two sets, and long sets that are far apart do not pass as 64 counters let them."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 257, 1000, 1025, 9000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for share in (0, 0.5, 0.89, 0.95, 1):
+            y = np.unique(np.append(x[: int(n * share)], rng.integers(0, 2**64, n - int(n * share) + rng.integers(0, n // 9 + 1), dtype=np.uint64)))
+            gap = ngram_join.sketch_gap(*(np.frombuffer(ngram_join.sketch(s), np.uint8).astype(np.int16) for s in (x, y)))
+            assert gap <= len(np.setxor1d(x, y))
+    sets = [np.unique(rng.integers(0, 2**64, 9000, dtype=np.uint64)) for _ in range(6)]
+    sets.append(np.delete(sets[0], slice(0, 300)))
+    columns = {"hub": [1] * 7, "i": [0] * 7, "j": [0] * 7, "node": range(7), "label": range(7), "n": [len(s) for s in sets], "side": [0] * 7}
+    table = pa.table({c: pa.array(np.array(v, np.int64)) for c, v in columns.items()}).append_column("sketch", pa.array([ngram_join.sketch(s) for s in sets]))
+    table = table.append_column("hist", pa.array([ngram_join.histogram(s) for s in sets])).append_column("sig", table.column("hub"))
+    passed = {f: sorted(x for b in run(90, 100)(iter(table.to_batches())) for x in b.column("node").to_pylist()) for f, run in (("hist", ngram_join._open_rows), ("sketch", ngram_join._near_rows))}
+    assert passed == {"hist": list(range(7)), "sketch": [0, 6]}
+
+
+def test_components_of_long_texts(spark, monkeypatch):
+    """Sets of 200 to 2500 shingles on both sides of the bound, in groups of several components; ids and rows repeat."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(21)
+    rows = []
+    for length in (200, 500, 1000, 2500):
+        base = [f"l{rng.randrange(3000)}" for _ in range(length)]
+        for i in range(14):
+            body = base + [f"m{rng.randrange(3000)}" for _ in range(rng.randrange(length // 12 + 1))]
+            for at in rng.sample(range(length), length * rng.choice([0, 1, 2, 3, 4]) // 100):
+                body[at] = f"n{rng.randrange(3000)}"
+            rows += [(rng.randrange(60), " ".join(body), "en", "s", 1)] * rng.choice([1, 1, 3])
+    rows += [(None, r[1], "en", "s", 1) for r in rows[:5]]
+    got = [tuple(r) for r in ngram_join.join(docs(spark, rows), 3, 90, 100).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 3, 90, 100)
+
+
+def test_signatures_are_shuffled_once(spark, monkeypatch):
+    """Neither the signatures nor the token sets are written or shuffled before what meets no partner is gone."""
+    written, real = [], ngram_join.settle_wide
+    monkeypatch.setattr(ngram_join, "settle_wide", lambda df: written.append((df.columns, real(df))) or written[-1][1])
+    rows = copies(random.Random(11))
+    assert ngram_join.join(docs(spark, rows), 3, 90, 100).count() == len(rows)
+    assert not any(set(columns) == {"sig", "node"} for columns, _ in written)
+    sets = [table for columns, table in written if "tokens" in columns]
+    assert sets and all("sketch" in table.columns for table in sets)
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert ngram_join.join(none).collect() == []
