@@ -17,7 +17,7 @@ from docspark.plans.oracle.base import WS, q, with_chunks, with_corpus
 from docspark.plans.registry import query
 from docspark.plans.reports import TOXIC_FILES, toxic_files
 from docspark.plans.structure import RAW_PAGES, raw_documents
-from docspark.session import settle
+from docspark.session import settle, spread
 from docspark.sources import files, sinks, tables
 from docspark.sources.snapshots import SnapshotTable
 
@@ -61,7 +61,7 @@ def hash_files(spark, sf):
     folder = D.fresh(spark, "page-files")
     at = re.sub("^file:/+", "/", folder)
     named = F.regexp_replace("path", "/([^/]*)$", "/f-$1")  # names that start with a dot are not listed
-    pages = page_files(spark, sf).filter("root_no = 0").select(named.alias("path"), "content")
+    pages = spread(page_files(spark, sf).filter("root_no = 0").select(named.alias("path"), "content"))
     touched = settle(pages.mapInArrow(D.write_files(folder), "path string").select(F.concat(F.lit(at), "path").alias("path")))
     path = F.regexp_replace(F.substring("path", len(at) + 1, 1 << 20), "/f-([^/]*)$", "/$1")
     return files.hash_files(spark, [folder], touched).select(path.alias("path"), "size_bytes", "sha256")
